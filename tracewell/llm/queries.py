@@ -42,3 +42,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(spark, common.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    from .packing import best_fit_packing
+
+    return best_fit_packing(spark, common.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, 2048, 0)
+
+
+@_query
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    from .token_store import token_store
+
+    return token_store(spark, common.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, 2)
