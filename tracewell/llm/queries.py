@@ -60,3 +60,17 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_store
 
     return token_store(spark, common.table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, 2)
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
