@@ -74,3 +74,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(spark, common.table(spark, sf_dir, "pages"))
