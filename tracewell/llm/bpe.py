@@ -19,12 +19,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import lean, quiet_threads
 from .mphf import MinimalPerfectHash
+from .pretokens import Splitter
 
 #: Pre-tokens that a worker remembers; beyond that it starts anew.
 MEMO_WORDS = 300_000
@@ -34,7 +34,7 @@ class BytePairCodec:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.split = ranks, Splitter(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
         words = list(ranks)
         keys = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
@@ -82,7 +82,7 @@ class BytePairCodec:
             self.memo[w] = (int(self.slot_ids[s]),) if s >= 0 and self.slot_words[s] == b else tuple(self.merge(b))
 
     def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
-        parts = [self.pattern.findall(t) for t in texts]
+        parts = [self.split(t) for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo = self.memo

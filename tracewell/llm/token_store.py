@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, mix64, scratch
 from .mphf import MinimalPerfectHash
-from .wordpieces import id_bytes
+from .wordpieces import id_bytes, id_width
 
 #: Characters that a shard is meant to hold, and ranges of doc_id in which they are counted, for each shard and at least.
 SHARD_CHARS, RANGES_PER_SHARD, LEAST_RANGES = 32_000_000, 8, 2048
@@ -141,21 +141,20 @@ def _shard_of(bounds: np.ndarray, column: pa.Array) -> np.ndarray:
 
 def write_store(docs: DataFrame, uri: str, path: str, pattern: str, end_id: int, bounds: list[int]) -> dict[int, int]:
     """Write every document to the shards below `uri`; the ids of each shard."""
-    cuts, shards = np.array(bounds, np.int64), len(bounds) + 1
+    cuts, shards, size = np.array(bounds, np.int64), len(bounds) + 1, max(id_width(path), 2 if end_id < 65536 else 4)
 
     def encode(batches):
-        own, zip_ = id_bytes(path, pattern), zstandard.ZstdCompressor(level=1)
-        size = 2 if max(own.vocabulary_size, end_id + 1) <= 65536 else 4
-        end = np.array([end_id], "<u4").tobytes()
+        own, zip_ = id_bytes(path, pattern, size), zstandard.ZstdCompressor(level=1)
+        end = int(end_id).to_bytes(size, "little")
         for batch in batches:
-            raw = [zip_.compress(np.frombuffer(own.encode(t) + end, "<u4").astype(f"<u{size}").tobytes()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(cuts, batch.column(0))), batch.column(0), pa.array(raw, pa.binary()), pa.array([size] * len(raw), pa.int32())], ["shard", "doc_id", "ids", "id_size"])
+            raw = [zip_.compress(own.encode(t) + end) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(cuts, batch.column(0))), batch.column(0), pa.array(raw, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches):
         unzip, now, shard = zstandard.ZstdDecompressor(), None, None
         for batch in batches:
             found = []
-            for k, doc_id, raw, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != shard:
                     if now:
                         found.append((shard, now.close()))
@@ -166,7 +165,7 @@ def write_store(docs: DataFrame, uri: str, path: str, pattern: str, end_id: int,
         if now:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([now.close()], pa.int64())], ["shard", "n"])
 
-    encoded = lean(docs, "doc_id", "text").mapInArrow(encode, "shard int, doc_id long, ids binary, id_size int")
+    encoded = lean(docs, "doc_id", "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
     placed = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id")
     return {r["shard"]: r["n"] for r in placed.mapInArrow(write, "shard int, n long").collect()}  # a row for each shard
 

@@ -1,18 +1,16 @@
 """Ids of whole texts by the tokenizers library, for the operators that pack or store them.
 
 The texts are split by the byte-level pattern and each different pre-token goes through the library's model once; a
-worker remembers the last results up to a bound. Ids are kept as little-endian unsigned 32-bit bytes.
+worker remembers the last results up to a bound. Ids are kept as little-endian unsigned bytes, four for each id or two.
 """
 
 from __future__ import annotations
 
 import functools
 
-import numpy as np
-import regex
-
 from .bpe import MEMO_WORDS
 from .common import quiet_threads
+from .pretokens import Splitter
 
 
 def _byte_letters() -> dict[int, str]:
@@ -26,19 +24,23 @@ def _byte_letters() -> dict[int, str]:
 class IdBytes(dict):
     """pre-token -> bytes of its ids, filled on demand."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, width: int):
         super().__init__()
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.vocabulary_size = self.tokenizer.get_vocab_size()
-        self.model, self.pattern, self.letters = self.tokenizer.model, regex.compile(pattern), _byte_letters()
+        size = self.tokenizer.get_vocab_size()
+        if size > 256**width:
+            raise ValueError(f"ids of {size} tokens don't fit {width} bytes")
+        self.packed = [i.to_bytes(width, "little") for i in range(size)]
+        self.model, self.split, self.letters = self.tokenizer.model, Splitter(pattern), _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         plain = word.replace(" ", "Ġ") if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
-        self[word] = found = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+        packed = self.packed
+        self[word] = found = b"".join([packed[t.id] for t in self.model.tokenize(plain)])
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -46,9 +48,17 @@ class IdBytes(dict):
             return b""
         if len(self) > MEMO_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        return b"".join(map(self.__getitem__, self.split(text)))
 
 
 @functools.lru_cache(maxsize=2)
-def id_bytes(path: str, pattern: str) -> IdBytes:
-    return IdBytes(path, pattern)
+def id_bytes(path: str, pattern: str, width: int = 4) -> IdBytes:
+    return IdBytes(path, pattern, width)
+
+
+@functools.lru_cache(maxsize=2)
+def id_width(path: str) -> int:
+    """Bytes that an id of the vocabulary takes."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 65536 else 4
