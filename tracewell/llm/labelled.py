@@ -20,24 +20,22 @@ def remainder(column: str, divisor: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of at most `per_class` labelled rows of each class where `learn` holds.
 
-    Rows are taken in the order of a hash of doc_id; the weights restore the shares of the classes among all such rows.
+    Rows are taken in the order of a hash of doc_id; the weights restore the shares of the classes among all such labels.
     Null texts count as empty; rows whose label is neither 0 nor 1 teach nothing.
     """
     marked = lean(labels, "doc_id", label).filter(F.col(label).isin(0, 1) & learn).dropDuplicates(["doc_id"])
+    counts = {r[label]: r["n"] for r in marked.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = marked.filter(F.col(label) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    chosen = chosen.unionByName(marked.filter(F.col(label) == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     over = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
     rows = (
         lean(docs, "doc_id", "text")
         .withColumn("text", F.coalesce("text", F.lit("")))
+        .join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids at most
         .withColumn("text", F.substring(F.col("text"), F.lit(1) + F.pmod(F.xxhash64("doc_id"), over + 1).cast("int"), F.lit(TRAIN_CHARS)))
-        .join(marked, "doc_id")
     )
-    counts = {r[label]: r["n"] for r in marked.join(lean(docs, "doc_id"), "doc_id", "left_semi").groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts, y = [], []
-    for kind in (0, 1):
-        for r in rows.filter(F.col(label) == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("text").collect():
-            texts.append(r["text"])
-            y.append(kind)
-    y = np.array(y, np.int64)
+    found = sorted((r[label], r["place"], r["doc_id"], r["text"]) for r in rows.select("doc_id", label, "text", F.xxhash64("doc_id").alias("place")).collect())
+    texts, y = [r[3] for r in found], np.array([r[0] for r in found], np.int64)
     share = {k: counts.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
     w = np.array([share[k] for k in y.tolist()], float)
     return texts, y, w / w.mean() if len(w) else w
