@@ -25,7 +25,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .labelled import remainder, sample
 
-SAMPLE, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 6000, 6000, 3, 5.0, 2e-4, 250
+SAMPLE, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 2500, 6000, 3, 5.0, 2e-4, 250
 
 #: Terms of one row are exchanged for each other.
 IDENTITY_TERMS = (
@@ -91,7 +91,8 @@ def train(texts: list[str], y: np.ndarray, w: np.ndarray) -> bytes:
     base = float(np.log(prior / (1 - prior)))
     if len(set(y.tolist())) < 2:
         return pickle.dumps(({}, base))
-    rows = [words(t) for t in texts]
+    one: dict[str, str] = {}  # a single object for each word
+    rows = [{one.setdefault(x, x) for x in words(t)} for t in texts]
     other = {i: s for i, r in enumerate(rows) if (s := swapped(r)) is not None}
     spread = lambda r: {f for x in r for f in word_features(x)}
     seen = {0: Counter(), 1: Counter()}
