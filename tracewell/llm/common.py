@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,42 @@ def quiet_threads() -> None:
     """One core for each Python worker: native libraries start no pools of their own."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+#: Bits of a sieve: 8 MB, whatever the number of ids. More ids only let more rows through.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(ids: DataFrame, column: str):
+    """A condition on an id column that holds for all `ids`, and for few others while they are few.
+
+    The ids set bits of a bitmap of fixed size, so that rows that surely aren't among them need no shuffle.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE_BITS)) + 1
+    found = ids.select(F.bitmap_bucket_number(place(column)).alias("bucket"), F.bitmap_bit_position(place(column)).alias("bit"))
+    bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in found.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # SIEVE_BITS / 32768 rows at most
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    held = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @pandas_udf("boolean")
+    def among(at: pd.Series) -> pd.Series:
+        k = at.to_numpy() - 1
+        return pd.Series((np.frombuffer(held.value, np.uint8)[k >> 3] >> (k & 7)) & 1 == 1)
+
+    return lambda c: among(place(c))
+
+
+def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of `df` whose `column` is among the ids (a table with that one column, each id once)."""
+    return df.filter(sieve(ids, column)(column)).join(ids, column, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, column: str, id_column: str) -> DataFrame:
+    """The rows of `df` whose `column` isn't among the ids; null isn't. Only rows that may be are shuffled."""
+    maybe = sieve(ids, id_column)(column)
+    doubtful = df.filter(maybe)
+    doubtful = doubtful.join(ids, doubtful[column] == ids[id_column], "left_anti")
+    return df.filter(~maybe).unionByName(doubtful)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, saved
+from .common import lean, saved, without
 from .mphf import MinimalPerfectHash
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -129,5 +129,5 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: of equal texts the one with the smallest doc_id."""
-    kept = exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    gone = exact_dedup(spark, docs).filter("NOT kept").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return without(docs, saved(gone, "repeats"), "doc_id", "__gone_id")

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,21 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, saved, text_slices
+from .common import lean, only, saved, text_slices, without
 from .components import components
 from .shingles import band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
-#: Bands and rows: at a similarity of 0.8 all bands miss with a probability of (1 - 0.8**4)**24 = 3e-6.
-WORDS, BANDS, ROWS = 5, 24, 4
-#: The threshold as a fraction, the values compared in each stage, and the posterior below which a pair is dropped.
-THRESHOLD, STAGES, TOLERANCE = (4, 5), (16, 32, 64, 96), 1e-6
+#: Words of a shingle, the threshold as a fraction, and the posterior below which a pair is dropped.
+WORDS, THRESHOLD, TOLERANCE = 5, (4, 5), 1e-6
+
+
+@dataclass(frozen=True)
+class Banding:
+    """Bands of a signature, values in each, and after how many values candidates are judged."""
+
+    bands: int
+    rows: int
+    stages: tuple[int, ...]
+
+
+#: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**4)**24 = 3e-6.
+DOCUMENTS = Banding(24, 4, (16, 32, 64, 96))
 #: Classes of a block, and of a task that takes whole small components.
 BLOCK, TASK = 256, 1024
 
 _SKETCH = "id long, key binary, n int, sig binary"
 
 
-def least_matches(threshold: float = THRESHOLD[0] / THRESHOLD[1], stages=STAGES, tolerance: float = TOLERANCE) -> list[int]:
+def least_matches(stages: tuple[int, ...], threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: float = TOLERANCE) -> list[int]:
     """For each stage of n values, the fewest equal ones with which a pair may still reach the threshold: the posterior of
     that is P(Binomial(n + 1, threshold) <= m) after m matches under a uniform prior."""
     out = []
@@ -55,22 +67,23 @@ def least_matches(threshold: float = THRESHOLD[0] / THRESHOLD[1], stages=STAGES,
     return out
 
 
-def sketch_slice(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def sketch_slice(raw: np.ndarray, offsets: np.ndarray, values: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Key of the shingle set, number of shingles and signature of each text."""
     start, end, first = words_of(raw, offsets)
     hashes, bounds = shingle_hashes(word_hashes(raw, start, end), first, WORDS)
     sets = distinct(hashes, bounds)
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-    return keys, np.array([len(s) for s in sets], np.int32), signatures(hashes, bounds, BANDS * ROWS)
+    return keys, np.array([len(s) for s in sets], np.int32), signatures(hashes, bounds, values)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:
     """(id, key, n, sig) of (id, text) rows."""
+    values = banding.bands * banding.rows
 
     def run(batches):
         for batch in batches:
             for at, n, raw, offsets in text_slices(batch, "text"):
-                keys, sizes, sig = sketch_slice(raw, offsets)
+                keys, sizes, sig = sketch_slice(raw, offsets, values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "key", "n", "sig"])
 
     return docs.select("id", "text").mapInArrow(run, _SKETCH)
@@ -89,25 +102,26 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
-def candidate_ties(classes: DataFrame) -> DataFrame:
+def candidate_ties(classes: DataFrame, banding: Banding) -> DataFrame:
     """(a, b): each class and the smallest class of a bucket that both are in."""
+    bands, per = banding.bands, banding.rows
 
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-            ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(sig, BANDS, ROWS).ravel()), pa.array(ids)], ["bucket", "id"])
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands * per)
+            ids = np.repeat(batch.column(0).to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(sig, bands, per).ravel()), pa.array(ids)], ["bucket", "id"])
 
     rows = saved(classes.filter("n > 0").select("id", "sig").mapInArrow(run, "bucket long, id long"), "bands")
     least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").select("bucket", "b")
     return rows.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def compare(sig_a: np.ndarray, sig_b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def compare(sig_a: np.ndarray, sig_b: np.ndarray | None, stages: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (rows of a, rows of b) that survive all stages; within a, each pair once, if b is None."""
     other = sig_a if sig_b is None else sig_b
     done, alive = 0, None
-    for n, least in zip(STAGES, least_matches(), strict=True):
+    for n, least in zip(stages, least_matches(stages), strict=True):
         if alive is None:
             same = np.zeros((len(sig_a), len(other)), np.uint8)
             for k in range(n):
@@ -164,7 +178,7 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _links(part: pd.DataFrame) -> pd.DataFrame:
+def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
     """Links and local component of the classes of one task: whole components, or two blocks of a large one."""
     out = []
     for comp, rows in part.groupby("comp", sort=False):
@@ -179,7 +193,7 @@ def _links(part: pd.DataFrame) -> pd.DataFrame:
             ids, weight = np.concatenate([a["id"], b["id"]]), np.concatenate([a["size"], b["size"]])
         sig = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) for x in (a, b) if x is not None]
         sets = [[np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in (a, b) if x is not None]
-        i, j = compare(sig[0], sig[1] if b is not None else None)
+        i, j = compare(sig[0], sig[1] if b is not None else None, stages)
         good = verify(sets[0], sets[1] if b is not None else None, i, j)
         i, j = i[good], j[good] + (0 if b is None else len(a))
         links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
@@ -191,12 +205,12 @@ def _links(part: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def similar_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Banding = DOCUMENTS) -> DataFrame:
     """(id, links, label) of the classes (id, n, size, sig) with links; `fetch` gives (id, shingles) of (id) rows.
 
     `links` counts rows of other classes; `label` is the smallest id of the component of links.
     """
-    near = components(candidate_ties(classes))
+    near = components(candidate_ties(classes, banding))
     sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     near = saved(near.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("comp"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "candidates")
     n = near.count()
@@ -207,7 +221,7 @@ def similar_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame])
     pairs = F.transform(numbers, lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
     held = held.withColumn("pair", F.explode(pairs)).select("id", "comp", "blocks", "block", "size", "sig", "shingles", "pair.left", "pair.right")
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(-(-n // TASK) or 1))).otherwise(F.xxhash64("comp", "left", "right"))
-    kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(_links, "id long, links long, root long")
+    kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(lambda part: _links(part, banding.stages), "id long, links long, root long")
     kept = saved(kept, "links")
     labels = components(kept.select(F.col("id").alias("a"), F.col("root").alias("b")))
     total = kept.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
@@ -224,7 +238,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = lean(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
     sketched = saved(sketches(rows), "sketches")
     classes = saved(classes_of(sketched.filter("id IS NOT NULL AND n > 0")), "classes")
-    found = similar_classes(classes, lambda ids: shingle_sets(rows.join(ids, "id")))
+    found = similar_classes(classes, lambda ids: shingle_sets(only(rows, ids, "id")))
     known = classes.select("key", "id", "size").join(found, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     out = sketched.select(F.col("id").alias("doc_id"), "key", "n").join(known, "key", "left")
     own = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
@@ -235,4 +249,4 @@ def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that aren't near copies of the row their class keeps."""
     gone = ngram_join(spark, docs).filter("NOT kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(saved(gone, "near-copies"), F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    return without(docs, saved(gone, "near-copies"), "doc_id", "__gone_id")

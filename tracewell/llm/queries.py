@@ -122,3 +122,10 @@ k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(k.n, 0) AS n_links, least(doc_id, coalesce(m, doc_id)) = doc_id AS kept
 FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id
 """
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(spark, common.table(spark, sf_dir, "documents"))
