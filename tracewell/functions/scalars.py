@@ -83,13 +83,13 @@ PREDICATES = {"EQ": "%s = '%s'", "NE": "%s <> '%s'", "NL": "%s NOT LIKE '%s'", "
 
 
 def predicate(attribute, operator, including, value) -> Column:
-    """A readable predicate; the operator's template, or equality by the including flag; '' without a value (PRJ3)."""
+    """A readable predicate: the operator's template, else = or <> by the including flag; '' without a value (PRJ3)."""
     attribute, value = _c(attribute), present(value)
     flag = F.lower(F.coalesce(present(including), F.lit("")))
     out = F.when(value.isNull() | is_missing(attribute), "")
     for code, template in PREDICATES.items():
-        out = out.when(F.upper(trimmed(operator)) == code, F.format_string(template, attribute, value))
-    return out.when(flag == "true", F.format_string("%s = '%s'", attribute, value)).when(flag == "false", F.format_string("%s <> '%s'", attribute, value)).otherwise("")
+        out = out.when(F.upper(F.coalesce(trimmed(operator), F.lit(""))) == code, F.format_string(template, attribute, value))
+    return out.when(flag.isin("", "true", "1", "yes"), F.format_string("%s = '%s'", attribute, value)).otherwise(F.format_string("%s <> '%s'", attribute, value))
 
 
 def entity_object(x) -> Column:

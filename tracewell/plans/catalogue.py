@@ -111,10 +111,10 @@ def _(df):
     return graph.bottom_up(_edges(df.filter("NOT current_node LIKE 'ATV%'")))
 
 
-@register("column_trace", "trace", """SELECT 'CV_REGION_0.AMOUNT' AS trace_target, 0 AS trace_depth, row_seq FROM trace WHERE current_node = 'CV_REGION_0'
+@register("column_trace", "trace", """SELECT DISTINCT * FROM (SELECT 'CV_REGION_0.AMOUNT' AS trace_target, 0 AS trace_depth, row_seq FROM trace WHERE current_node = 'CV_REGION_0'
 UNION ALL SELECT b.current_node || '.BALANCE', 1, b.row_seq FROM trace b JOIN trace a ON a.current_node = 'CV_REGION_0' AND b.current_node = replace(split_part(a.formula, '.', 1), '"', '')
 UNION ALL SELECT c.current_node || '.ACCTBAL', 2, c.row_seq FROM trace c JOIN trace b ON c.current_node = b.parent_input_object JOIN trace a ON a.current_node = 'CV_REGION_0' AND b.current_node = replace(split_part(a.formula, '.', 1), '"', '')
-UNION ALL SELECT d.current_node || '.TOTAL', 3, d.row_seq FROM trace d JOIN trace c ON d.current_node = c.join_left_object JOIN trace b ON c.current_node = b.parent_input_object JOIN trace a ON a.current_node = 'CV_REGION_0' AND b.current_node = replace(split_part(a.formula, '.', 1), '"', '')""")
+UNION ALL SELECT d.current_node || '.TOTAL', 3, d.row_seq FROM trace d JOIN trace c ON d.current_node = c.join_left_object JOIN trace b ON c.current_node = b.parent_input_object JOIN trace a ON a.current_node = 'CV_REGION_0' AND b.current_node = replace(split_part(a.formula, '.', 1), '"', ''))""")
 def _(df):
     return graph.column_trace(df, _seeds(df, "target", "CV_REGION_0.AMOUNT")).select("trace_target", "trace_depth", "row_seq")
 
@@ -295,7 +295,7 @@ def _(df):
 
 @register("predicate_compose", "lineage", """+ p AS (SELECT row_seq, ['EQ', 'NE', 'NL', 'LE', 'GE', 'LT', 'GT', ''][CAST(row_seq % 8 AS INTEGER) + 1] AS op, ['true', 'false', ''][CAST(row_seq % 3 AS INTEGER) + 1] AS inc, CASE WHEN row_seq % 7 = 0 THEN '' ELSE 'V' || row_seq END AS v FROM lineage)
 SELECT row_seq, CASE WHEN v = '' THEN '' WHEN op = 'EQ' THEN 'A = ''' || v || '''' WHEN op = 'NE' THEN 'A <> ''' || v || '''' WHEN op = 'NL' THEN 'A NOT LIKE ''' || v || '''' WHEN op = 'LE' THEN 'A <= ''' || v || '''' WHEN op = 'GE' THEN 'A >= ''' || v || '''' WHEN op = 'LT' THEN 'A < ''' || v || '''' WHEN op = 'GT' THEN 'A > ''' || v || ''''
-WHEN inc = 'true' THEN 'A = ''' || v || '''' WHEN inc = 'false' THEN 'A <> ''' || v || '''' ELSE '' END AS predicate FROM p""")
+WHEN inc = 'false' THEN 'A <> ''' || v || '''' ELSE 'A = ''' || v || '''' END AS predicate FROM p""")
 def _(df):
     pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("row_seq") % n + 1).cast("int"))
     value = F.when(F.col("row_seq") % 7 == 0, "").otherwise(F.concat(F.lit("V"), F.col("row_seq").cast("string")))
