@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 _NAME = r"(?i)\.(xml|txt)$"
 
 
@@ -19,7 +20,7 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> D
 
 def stream_documents(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     """The same as a stream of new files."""
-    return _only_documents(spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).load(path))
+    return _only_documents(spark.readStream.schema(_FILES).format("binaryFile").option("maxFilesPerTrigger", per_batch).load(path))
 
 
 def in_file_order(files: DataFrame, numbered: bool = True) -> DataFrame:
