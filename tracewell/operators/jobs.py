@@ -189,11 +189,11 @@ def extraction_summary(rows: DataFrame) -> DataFrame:
 
 def field_search(rows: DataFrame, needle: str) -> DataFrame:
     """Edges whose source or target column holds the text, numbered in order of first sight (FLT8, WIN5)."""
-    from pyspark.sql import Window as W
+    from .etl import surrogate_keys
 
     hit = lambda c: F.contains(F.upper(F.coalesce(F.col(c), F.lit(""))), F.lit(needle.upper()))
     found = column_rows(rows).filter(hit("source_column") | hit("target_column")).groupBy("source_object", "target_object").agg(F.min("row_seq").alias("first_seen"))
-    return found.withColumn("number", F.row_number().over(W.orderBy("first_seen")))  # one row for each edge of a search
+    return surrogate_keys(found, ["first_seen"], 1, "number")
 
 
 def flow_groups(records: DataFrame) -> DataFrame:

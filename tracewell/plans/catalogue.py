@@ -467,7 +467,7 @@ def _(df):
     return jobs.text_filter(df, "cust_1").select("row_seq")
 
 
-@register("field_search", "jobs", "SELECT source_object, target_object, min(row_seq) AS first_seen, CAST(row_number() OVER (ORDER BY min(row_seq)) AS INTEGER) AS number FROM jobs WHERE record_type = 'COLUMN_MAPPING' AND contains(source_column, 'O_TOTAL') GROUP BY ALL")
+@register("field_search", "jobs", "SELECT source_object, target_object, min(row_seq) AS first_seen, row_number() OVER (ORDER BY min(row_seq)) AS number FROM jobs WHERE record_type = 'COLUMN_MAPPING' AND contains(source_column, 'O_TOTAL') GROUP BY ALL")
 def _(df):
     return jobs.field_search(df, "o_total")
 
