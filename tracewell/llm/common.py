@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 #: Bytes of text that a numpy pass works on at once; its temporaries take some 60 bytes for each.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
 
 
+#: Partitions of a scan that one task takes where it writes a table: fewer and larger files.
+SPLITS_PER_FILE = 3
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """A scan in fewer partitions; anything with a shuffle stays as it is, since there the sizes are adapted anyway."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // SPLITS_PER_FILE)))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends there, and lost executors cost only their tasks."""
     spark = df.sparkSession
@@ -77,6 +89,7 @@ def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BY
         a, b = int(offsets[first]), int(offsets[last])
         yield first, last - first, raw[a:b], offsets[first : last + 1] - a
         first = last
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -91,27 +104,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is kept for later tasks, which may need other things."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def quiet_threads() -> None:
     """One core for each Python worker: native libraries start no pools of their own."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
-#: Bits of a sieve: 8 MB, whatever the number of ids. More ids only let more rows through.
-SIEVE_BITS = 1 << 26
+#: Bits of a sieve at least and at most (32 KB and 8 MB), and for each id between. Beyond that more rows pass.
+SIEVE_BITS, BITS_PER_ID = (1 << 18, 1 << 26), 16
 
 
 def sieve(ids: DataFrame, column: str):
     """A condition on an id column that holds for all `ids`, and for few others while they are few.
 
-    The ids set bits of a bitmap of fixed size, so that rows that surely aren't among them need no shuffle.
+    The ids set bits of a bitmap of bounded size, so that rows that surely aren't among them need no shuffle.
     """
     from pyspark.sql.functions import pandas_udf
 
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE_BITS)) + 1
+    size = 1 << min(SIEVE_BITS[1], max(SIEVE_BITS[0], BITS_PER_ID * ids.count()) - 1).bit_length()
+    size = min(SIEVE_BITS[1], size)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(size)) + 1
     found = ids.select(F.bitmap_bucket_number(place(column)).alias("bucket"), F.bitmap_bit_position(place(column)).alias("bit"))
-    bits = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for r in found.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # SIEVE_BITS / 32768 rows at most
+    bits = np.zeros(size // 8, np.uint8)
+    for r in found.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # size / 32768 rows
         bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     held = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
 

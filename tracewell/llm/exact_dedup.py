@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, saved, without
+from .common import fewer, lean, saved, without
 from .mphf import MinimalPerfectHash
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -124,7 +124,7 @@ def decisions(rows: DataFrame, shards: int | None = None) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each document, dropped ones too."""
-    return decisions(saved(keyed(docs), "digests"))
+    return decisions(saved(keyed(fewer(docs)), "digests"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean, saved
+from .common import fewer, give_back, lean, saved
 from .wordpieces import id_bytes
 
 #: Rounds of multiplicative weights at most, and the step of their exponents.
@@ -55,6 +55,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int, end_id: int) ->
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
+        own.clear()  # the worker stays for other tasks
+        give_back()
 
     return lean(docs, "doc_id", "text").mapInArrow(run, _PIECES)
 
@@ -176,7 +178,7 @@ def places(plan: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """One row for each piece with its sequence and its place there."""
-    found = saved(pieces(docs, path, pattern, size, end_id), "pieces")
+    found = saved(pieces(fewer(docs), path, pattern, size, end_id), "pieces")
     counts = saved(found.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most
     plan = places(rounded(histogram, fractional(histogram, size), size))

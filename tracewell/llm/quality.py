@@ -89,7 +89,7 @@ def train(texts: list[str], y: np.ndarray, w: np.ndarray) -> bytes:
     return pickle.dumps((pairs, mean, scale, theta, prior))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _scorer(model: bytes) -> CompressionScorer:
     return CompressionScorer(*pickle.loads(model))
 

@@ -6,8 +6,6 @@ shingle's hash combines those of its words. Texts of fewer words than a shingle
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from .common import mix64
@@ -16,15 +14,21 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=4)
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
+    """At least n powers of the base and of its inverse; one pair of arrays is kept, as long as most texts need."""
+    if len(_held[0]) >= n:
+        return _held[0], _held[1]
+    out = []
     with np.errstate(over="ignore"):
-        out = []
         for b in (_BASE, _INVERSE):
             p = np.full(n, np.uint64(b), np.uint64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
+    if n <= 1 << 20:
+        _held[:] = out
     return out[0], out[1]
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, only, saved, sieve, text_slices
+from .common import fewer, lean, mix64, only, saved, sieve, text_slices
 from .components import components
 from .ngram_join import Banding, classes_of, shingle_sets, similar_classes, sketch_slice
 from .shingles import _factors, shingle_hashes, word_hashes, words_of
@@ -167,19 +167,18 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, keeper, shift): words to remove, the document that keeps them, and where they are there."""
-    found = saved(placed(docs), "placed-paragraphs")
+    found = saved(placed(fewer(docs)), "placed-paragraphs")
     least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
     least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"))
     exact = found.join(least, "key").filter("doc_id > keeper AND check = kcheck")
     exact = exact.select("doc_id", "first", (F.col("first") + LEAST).alias("last"), "keeper", (F.col("first") - F.col("kfirst")).alias("shift"))
 
-    rows = saved(lines(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
+    rows = saved(lines(fewer(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
     classes = saved(classes_of(rows.select("id", "key", "n", "sig")), "line-classes")
     wanted = rows.select("id", "doc_id", "first")
     near = similar_classes(classes, lambda ids: shingle_sets(_line_texts(docs, saved(wanted.join(ids, "id"), "wanted-lines"))), LINES)
-    near = saved(near.select("id", "label"), "line-links")
     # copies of a line are one class already; only classes tied to others need a cluster
-    tied = classes.join(near, "id").select("key", "label")
+    tied = classes.join(near.select("id", "label"), "id").select("key", "label")
     held = saved(rows.select("doc_id", "first", "last", "key").join(tied, "key").drop("key"), "clustered-lines")
     keepers = held.groupBy("label").agg(F.min("doc_id").alias("keeper"))
     similar = held.join(keepers, "label").filter("doc_id > keeper").select("doc_id", "first", "last", "keeper", F.lit(None).cast("int").alias("shift"))

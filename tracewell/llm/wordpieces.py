@@ -51,7 +51,7 @@ class IdBytes(dict):
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def id_bytes(path: str, pattern: str, width: int = 4) -> IdBytes:
     return IdBytes(path, pattern, width)
 
