@@ -50,14 +50,14 @@ def _prints(keys: np.ndarray) -> np.ndarray:
 
 def shard_bounds(docs: DataFrame) -> list[int]:
     """Largest doc_id of each shard but the last; every shard has some SHARD_CHARS characters."""
-    rows = lean(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(int(_NULL) + 1)).alias("id"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars"))
+    rows = lean(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars"))
     low, high, chars = rows.agg(F.min("id"), F.max("id"), F.sum("chars")).first()
-    if chars is None:
+    if low is None:
         return []
     shards = -(-chars // SHARD_CHARS)
     ranges = max(LEAST_RANGES, RANGES_PER_SHARD * shards)
     width = max(1, -(-(high - low + 1) // ranges))
-    found = rows.groupBy(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long").alias("k")).agg(F.sum("chars").alias("chars"))
+    found = rows.groupBy(F.floor((F.coalesce("id", F.lit(low)).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long").alias("k")).agg(F.sum("chars").alias("chars"))
     bounds, total = [], 0
     for r in sorted(found.collect(), key=lambda r: r["k"]):  # `ranges` rows at most
         total += r["chars"]
