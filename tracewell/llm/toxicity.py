@@ -25,7 +25,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .labelled import remainder, sample
 
-SAMPLE, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 2500, 6000, 3, 5.0, 2e-4, 250
+SAMPLE, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 2500, 600, 3, 5.0, 1e-4, 250
 
 #: Terms of one row are exchanged for each other.
 IDENTITY_TERMS = (
