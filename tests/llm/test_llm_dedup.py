@@ -57,11 +57,12 @@ def test_kept_rows_have_all_columns(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3] and left.columns == ["doc_id", "text", "keep_id", "label"]
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_of_paths_stars_and_cycles(spark, one_task):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
-    got = dict(components.components(spark.createDataFrame([*pairs, (None, 5)], "a long, b long")).collect())
+    got = dict(components.components(spark.createDataFrame([*pairs, (None, 5)], "a long, b long"), one_task=one_task).collect())
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 160)} == {100} and {got[i] for i in (200, 201, 202)} == {200} and 300 not in got
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def brute_links(rows):

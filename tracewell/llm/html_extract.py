@@ -21,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import lean
+from .common import fewer, lean
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -220,4 +220,4 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return lean(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return fewer(lean(pages, "page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

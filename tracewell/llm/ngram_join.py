@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fewer, give_back, lean, only, saved, text_slices, without
-from .components import components
+from .components import components, local_roots
 from .shingles import band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
 #: Words of a shingle, the threshold as a fraction, and the posterior below which a pair is dropped.
@@ -165,19 +165,6 @@ def verify(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, i: np.ndar
     return good
 
 
-def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
-    while len(i):
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
     """Links and local component of the classes of one task: whole components, or two blocks of a large one."""
     out = []
@@ -200,7 +187,7 @@ def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
         order = np.argsort(ids, kind="stable")  # roots are smallest ids
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
-        root = _local_roots(len(ids), back[i], back[j])[back]
+        root = local_roots(len(ids), back[i], back[j])[back]
         out.append(pd.DataFrame({"id": ids, "links": links.astype(np.int64), "root": ids[order][root]}))
     give_back()
     return pd.concat(out)

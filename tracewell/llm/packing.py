@@ -55,7 +55,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int, end_id: int) ->
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
-        own.clear()  # the worker stays for other tasks
+        id_bytes.cache_clear()  # the worker stays for other tasks
+        del own
         give_back()
 
     return lean(docs, "doc_id", "text").mapInArrow(run, _PIECES)

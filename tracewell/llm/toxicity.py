@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import fewer
 from .labelled import remainder, sample
 
 SAMPLE, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 2500, 600, 3, 5.0, 1e-4, 250
@@ -157,5 +158,5 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     """doc_id, held_out, score and predicted of every document; every fifth label, by crc32, is held out."""
     held = remainder("doc_id", 5) == 0
     score = scorer(fit(docs, labels, ~held))
-    out = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"))
+    out = fewer(docs).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
