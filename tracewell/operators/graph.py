@@ -212,3 +212,13 @@ def bottom_up(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if new.filter("moved").isEmpty():
             break
     return now
+
+
+def barycentres(edges: DataFrame, positions: DataFrame, passes: int = 4) -> DataFrame:
+    """(node, position): each pass moves nodes to the mean position of their neighbours, up and down in turn (WIN6)."""
+    now = positions.select("node", F.col("position").cast("double").alias("position"))
+    for n in range(passes):
+        near, far = ("target", "source") if n % 2 == 0 else ("source", "target")
+        mean = edges.select(F.col(near).alias("node"), F.col(far).alias("other")).join(now.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.avg("position").alias("mean"))
+        now = materialized(now.join(mean, "node", "left").select("node", F.coalesce("mean", "position").alias("position")), "positions")
+    return now

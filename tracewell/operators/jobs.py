@@ -56,6 +56,12 @@ def table_context(rows: DataFrame) -> DataFrame:
     return found.agg(*[F.array_join(F.array_sort(F.collect_set(F.nullif(_text(c), F.lit("")))), ";").alias(c) for c in names])
 
 
+def targets_of_job(rows: DataFrame, job: str) -> DataFrame:
+    """(target_table): what a job writes, without SQL transforms' own names (GRA9)."""
+    own = rows.filter(F.upper("job_name") == job.upper()).select(F.upper(_text("target_object")).alias("target_table"))
+    return own.filter("target_table <> '' AND NOT startswith(target_table, 'SQL:')").distinct()
+
+
 def first_context(rows: DataFrame) -> DataFrame:
     """(table, job_name, workflow_name, dataflow_name) of each target's first record (WIN3)."""
     found = rows.filter(_text("target_object") != "").groupBy(F.upper(_text("target_object")).alias("table")).agg(F.min(F.struct("row_seq", "job_name", "workflow_name", "dataflow_name")).alias("r"))

@@ -151,3 +151,17 @@ def concepts(rows: DataFrame) -> DataFrame:
     """(concept, names): business terms and the technical names behind them (AGG5)."""
     names = rows.select(F.explode(F.array("current_node", "target_column", "source_column")).alias("name")).filter("name IS NOT NULL AND name <> ''")
     return names.distinct().select(S.concept("name").alias("concept"), "name").filter("concept <> ''").groupBy("concept").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def similar_concepts(found: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """(concept, other): terms so alike that they may be one (ENR13); terms meet only those that share their first four letters."""
+    block = found.select("concept", F.lower(F.substring("concept", 1, 4)).alias("block"))
+    both = block.join(block.select(F.col("concept").alias("other"), "block"), "block").filter("concept < other")
+    ratio = 1 - F.levenshtein("concept", "other") / F.greatest(F.length("concept"), F.length("other"))
+    return both.filter(ratio >= threshold).select("concept", "other")
+
+
+def key_relations(rows_: DataFrame) -> DataFrame:
+    """(left, right): concepts whose columns are joined (ENR13)."""
+    joined = rows_.filter(~S.is_missing("join_left_column") & ~S.is_missing("join_right_column"))
+    return joined.select(S.concept("join_left_column").alias("left"), S.concept("join_right_column").alias("right")).filter("left <> '' AND right <> ''").distinct()

@@ -502,3 +502,18 @@ r AS (SELECT 'MART.REGION_2.TOTAL' AS node, 0 AS depth, 'MART.REGION_2.TOTAL' AS
 SELECT 'MART.REGION_2.TOTAL' AS seed, node, depth, path, formula FROM r WHERE depth > 0""", True)
 def _(df):
     return jobs.field_evolution(df, _seeds(df, "target", "MART.REGION_2.TOTAL"))
+
+
+@register("job_trace", "jobs", """+ e AS (SELECT DISTINCT upper(target_object) AS t, upper(source_object) AS s FROM jobs WHERE record_type IN ('COLUMN_MAPPING', 'SQL_TRANSFORM') AND target_object <> '' AND source_object <> ''),
+r AS (SELECT DISTINCT upper(target_object) AS g, upper(target_object) AS n, 0 AS hop FROM jobs WHERE job_name = 'JOB_R' UNION SELECT r.g, e.s, r.hop + 1 FROM r JOIN e ON e.t = r.n WHERE r.hop < 10)
+SELECT g AS target_table, n AS "table", CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY ALL""", True)
+def _(df):
+    return graph.hop_map(jobs.table_edges(df), jobs.targets_of_job(df, "job_r"))
+
+
+@register("similar_concepts", "lineage", r"""+ n AS (SELECT DISTINCT unnest([current_node, target_column, source_column]) AS name FROM lineage WHERE current_node NOT LIKE 'ATV%' AND current_node NOT LIKE 'CV%'),
+t AS (SELECT list_filter(string_split_regex(trim(regexp_replace(ltrim(regexp_replace(name, '([A-Z])', ' \1', 'g')), '[^A-Za-z0-9]+', ' ', 'g')), '\s+'), lambda w: len(w) >= 3) AS w FROM n),
+c AS (SELECT DISTINCT array_to_string(list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), ' ') AS concept FROM t)
+SELECT a.concept, b.concept AS other FROM c a JOIN c b ON lower(a.concept[1:4]) = lower(b.concept[1:4]) AND a.concept < b.concept AND a.concept <> '' AND 1 - levenshtein(a.concept, b.concept) / greatest(len(a.concept), len(b.concept)) >= 0.5""")
+def _(df):
+    return rows.similar_concepts(rows.concepts(df.filter("NOT current_node LIKE 'ATV%' AND NOT current_node LIKE 'CV%'")), 0.5)
