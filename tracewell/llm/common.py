@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,8 +11,12 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch. Texts may be long, so batches are kept small; operators slice them further by bytes.
 BATCH_ROWS = 512
@@ -55,12 +60,72 @@ def fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // SPLITS_PER_FILE)))
 
 
+#: Bytes that a table's writer gathers before it writes them as a row group.
+GROUP_BYTES = 8 << 20
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path that executors' Python can reach, and the path there."""
+    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does when the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def mapped(df: DataFrame, f, ddl: str | StructType, name: str) -> DataFrame:
+    """What `f` makes of the Arrow batches of `df`, as a table in the shared folder.
+
+    Workers write their part themselves, under a name of the attempt that is then moved to that of the partition, so that
+    tasks can be lost or run twice. For a store that pyarrow has no way to, Spark writes.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    schema = StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl
+    try:
+        store, place = filesystem(path)
+        store.create_dir(place, recursive=True)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        df.mapInArrow(f, schema).write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    def write(batches):
+        own, at = filesystem(path)
+        part, held, size, rows, writer = TaskContext.get().partitionId(), [], 0, 0, None
+        attempt = f"{at}/_{part:06d}-{uuid.uuid4().hex}"
+
+        def flush():
+            nonlocal writer, size
+            table_ = pa.Table.from_batches(held)
+            writer = writer or pq.ParquetWriter(own.open_output_stream(attempt), table_.schema, compression="snappy")
+            writer.write_table(table_)
+            held.clear()
+            size = 0
+
+        for batch in f(batches):
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                rows += batch.num_rows
+                if size >= GROUP_BYTES:
+                    flush()
+        if held:
+            flush()
+        if writer:
+            writer.close()
+            own.move(attempt, f"{at}/part-{part:06d}.parquet")
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    df.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    sweep(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends there, and lost executors cost only their tasks."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return mapped(df, lambda batches: batches, df.schema, name)
 
 
 def lean(docs: DataFrame, *columns: str) -> DataFrame:

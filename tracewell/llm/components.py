@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, saved
+from .common import give_back, mapped, saved
 
 #: Edges up to which one task labels the graph.
 ONE_TASK = 1_000_000
@@ -53,7 +53,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     now = saved(both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if now.count() <= one_task:
-        return saved(now.coalesce(1).mapInArrow(_labelled, "node long, label long"), "labels")
+        return mapped(now.coalesce(1), _labelled, "node long, label long", "labels")
     labels = None
     while not now.isEmpty():
         ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

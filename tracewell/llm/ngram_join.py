@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fewer, give_back, lean, only, saved, text_slices, without
+from .common import fewer, give_back, lean, mapped, only, saved, text_slices, without
 from .components import components, local_roots
 from .shingles import band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:
                 keys, sizes, sig = sketch_slice(raw, offsets, values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "key", "n", "sig"])
 
-    return docs.select("id", "text").mapInArrow(run, _SKETCH)
+    return mapped(docs.select("id", "text"), run, _SKETCH, "sketches")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def candidate_ties(classes: DataFrame, banding: Banding) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(band_hashes(sig, bands, per).ravel()), pa.array(ids)], ["bucket", "id"])
 
-    rows = saved(fewer(classes.filter("n > 0").select("id", "sig")).mapInArrow(run, "bucket long, id long"), "bands")
+    rows = mapped(fewer(classes.filter("n > 0").select("id", "sig")), run, "bucket long, id long", "bands")
     least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").select("bucket", "b")
     return rows.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
@@ -224,7 +224,7 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links and kept of every document."""
     rows = lean(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
-    sketched = saved(sketches(fewer(rows)), "sketches")
+    sketched = sketches(fewer(rows))
     classes = saved(classes_of(sketched.filter("id IS NOT NULL AND n > 0")), "classes")
     found = similar_classes(classes, lambda ids: shingle_sets(only(rows, ids, "id")))
     known = classes.select("key", "id", "size").join(found, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))

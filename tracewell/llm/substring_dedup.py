@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fewer, lean, mix64, only, saved, sieve, text_slices
+from .common import fewer, lean, mapped, mix64, only, saved, sieve, text_slices
 from .components import components
 from .ngram_join import Banding, classes_of, shingle_sets, similar_classes, sketch_slice
 from .shingles import _factors, shingle_hashes, word_hashes, words_of
@@ -100,7 +100,7 @@ def placed(docs: DataFrame) -> DataFrame:
                 text, word, key, check = placed_paragraphs(word_hashes(raw, start, end), first)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(word.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "first", "key", "check"])
 
-    return docs.mapInArrow(run, "doc_id long, first int, key long, check long")
+    return mapped(docs, run, "doc_id long, first int, key long, check long", "placed-paragraphs")
 
 
 def line_words(raw: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, keeper, shift): words to remove, the document that keeps them, and where they are there."""
-    found = saved(placed(fewer(docs)), "placed-paragraphs")
+    found = placed(fewer(docs))
     least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
     least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"))
     exact = found.join(least, "key").filter("doc_id > keeper AND check = kcheck")

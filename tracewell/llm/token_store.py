@@ -22,11 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, scratch
+from .common import filesystem, lean, mix64, scratch
 from .mphf import MinimalPerfectHash
 from .wordpieces import id_bytes, id_width
 
@@ -36,10 +35,6 @@ _NULL = np.iinfo(np.int64).min
 _HEAD = struct.Struct("<4sBBxx")
 
 
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def _keys(ids: np.ndarray) -> np.ndarray:
     return mix64(ids.astype(np.int64).view(np.uint64))
 
