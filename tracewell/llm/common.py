@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch. Texts may be long, so batches are kept small; operators slice them further by bytes.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 #: Bytes of text that a numpy pass works on at once; its temporaries take some 60 bytes for each.
 SLICE_BYTES = 1 << 18
@@ -61,7 +61,7 @@ def fewer(df: DataFrame) -> DataFrame:
 
 
 #: Bytes that a table's writer gathers before it writes them as a row group.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -171,6 +171,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def give_back() -> None:
     """Return freed memory to the system: a worker is kept for later tasks, which may need other things."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fewer, give_back, lean, mapped, only, saved, text_slices, without
+from .common import fewer, give_back, lean, mapped, only, saved, sieve, text_slices, without
 from .components import components, local_roots
 from .shingles import band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
@@ -114,7 +114,9 @@ def candidate_ties(classes: DataFrame, banding: Banding) -> DataFrame:
 
     rows = mapped(fewer(classes.filter("n > 0").select("id", "sig")), run, "bucket long, id long", "bands")
     least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").select("bucket", "b")
-    return rows.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    least = saved(least, "shared-buckets")
+    shared = rows.filter(sieve(least.select("bucket"), "bucket")("bucket"))  # most buckets hold one class
+    return shared.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def compare(sig_a: np.ndarray, sig_b: np.ndarray | None, stages: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

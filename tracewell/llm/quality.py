@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fewer
+from .common import fewer, give_back
 from .labelled import newton_logistic, remainder, sample
 
 SAMPLE, PAIRS, PIECE, DICTIONARY, LEVEL = 4000, 3, 1024, 112_640, 3
@@ -100,7 +100,9 @@ def scorer(model: bytes):
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scorer(model).score(texts.tolist()))
+        out = pd.Series(_scorer(model).score(texts.tolist()))
+        give_back()
+        return out
 
     return score
 

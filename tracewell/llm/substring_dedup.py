@@ -170,7 +170,8 @@ def removals(docs: DataFrame) -> DataFrame:
     found = placed(fewer(docs))
     least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
     least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"))
-    exact = found.join(least, "key").filter("doc_id > keeper AND check = kcheck")
+    least = saved(least, "repeated-paragraphs")
+    exact = found.filter(sieve(least.select("key"), "key")("key")).join(least, "key").filter("doc_id > keeper AND check = kcheck")
     exact = exact.select("doc_id", "first", (F.col("first") + LEAST).alias("last"), "keeper", (F.col("first") - F.col("kfirst")).alias("shift"))
 
     rows = saved(lines(fewer(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
