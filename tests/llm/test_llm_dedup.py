@@ -171,6 +171,18 @@ def test_no_long_run_stays_shared(spark, sf_dir):
     assert all(r["text"] == source[r["doc_id"]] for r in got if not r["n_removed"])
 
 
+def test_exact_copies_of_lines_go_whole(spark):
+    rows = []
+    for n in (24, 27, 30, 36, 60):  # most of the shorter ones hold no placed paragraph that both documents share
+        for k in range(4):
+            line = prose(1000 + 10 * n + k, n)
+            rows += [(len(rows) + 1 + j, f"{prose(5000 + 10 * len(rows) + j, 30)}\n{line}\n{prose(7000 + 10 * len(rows) + j, 30)}") for j in range(2)]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark, docs(spark, rows)).collect()}
+    for i, text in rows:
+        before, line, after = text.split("\n")
+        assert got[i]["text"] == (text if i % 2 else f"{before}\n{after}") and got[i]["removed_words"] == (0 if i % 2 else len(line.split()))
+
+
 @pytest.mark.parametrize("name", [n for n in SQL if n.startswith(("op1", "op5"))])
 def test_against_sql(name, spark, sf_dir):
     con = duckdb.connect()

@@ -178,10 +178,10 @@ def removals(docs: DataFrame) -> DataFrame:
     classes = saved(classes_of(rows.select("id", "key", "n", "sig")), "line-classes")
     wanted = rows.select("id", "doc_id", "first")
     near = similar_classes(classes, lambda ids: shingle_sets(_line_texts(docs, saved(wanted.join(ids, "id"), "wanted-lines"))), LINES)
-    # copies of a line are one class already; only classes tied to others need a cluster
-    tied = classes.join(near.select("id", "label"), "id").select("key", "label")
+    # copies of a line are one class, tied to others or not
+    tied = classes.join(near.select("id", "label"), "id", "left").filter("label IS NOT NULL OR size > 1").select("key", F.coalesce("label", "id").alias("label"))
     held = saved(rows.select("doc_id", "first", "last", "key").join(tied, "key").drop("key"), "clustered-lines")
-    keepers = held.groupBy("label").agg(F.min("doc_id").alias("keeper"))
+    keepers = held.groupBy("label").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("top")).filter("keeper < top").drop("top")
     similar = held.join(keepers, "label").filter("doc_id > keeper").select("doc_id", "first", "last", "keeper", F.lit(None).cast("int").alias("shift"))
     return exact.unionByName(similar)
 
