@@ -183,6 +183,24 @@ def test_exact_copies_of_lines_go_whole(spark):
         assert got[i]["text"] == (text if i % 2 else f"{before}\n{after}") and got[i]["removed_words"] == (0 if i % 2 else len(line.split()))
 
 
+def test_passages_inside_lines_go_to_their_ends(spark):
+    rows, shared = [], {}
+    for k, n in enumerate((51, 52, 60, 75, 100, 1500)):
+        passage, i = prose(2000 + k, n), 10 * k + 1
+        rows += [(i + j, f"{prose(3000 + 10 * k + j, 35)} A{j} {passage} B{j} {prose(4000 + 10 * k + j, 2 * n)}") for j in range(3)]
+        shared |= {i + j: passage for j in range(1, 3)}
+    quoted, host = prose(2100, 30), prose(2101, 300)  # a smaller document keeps the end of a passage that others share
+    rows += [(100, f"{prose(3100, 40)} {quoted} {prose(3101, 40)}"), (101, f"{prose(3102, 400)} C1 {host} {quoted} D1"), (102, f"{prose(3103, 400)} C2 {host} {quoted} D2")]
+    unit = prose(2200, 26)  # recurs in its keeper: each end of it is followed where it lies last or first
+    rows += [(110, f"{prose(3110, 40)} {unit} x1 {unit} {unit} y {prose(3111, 40)}"), (111, f"{prose(3112, 40)} E {unit} {unit} F {prose(3113, 40)}")]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark, docs(spark, rows)).collect()}
+    source = dict(rows)
+    for i, passage in shared.items():
+        assert got[i]["text"] == source[i].replace(passage + " ", "") and (got[i]["n_removed"], got[i]["removed_words"]) == (1, len(passage.split()))
+    assert host.split()[0] not in got[102]["text"] and got[102]["text"].split()[-2:] == ["C2", "D2"]
+    assert got[111]["text"] == source[111].replace(f"{unit} {unit} ", "") and got[110]["n_removed"] == 0
+
+
 @pytest.mark.parametrize("name", [n for n in SQL if n.startswith(("op1", "op5"))])
 def test_against_sql(name, spark, sf_dir):
     con = duckdb.connect()

@@ -4,7 +4,8 @@ Units are paragraphs of two kinds. Lines of LEAST words or more go through MinHa
 colliding lines are joined, verified by exact Jaccard similarity, and the components of links cluster them. A passage that
 sits in the middle of a line is found by paragraphs that its own words place: in every WINDOW consecutive starting points
 the one with the smallest 5-gram hash begins a paragraph of LEAST words, so any run of LEAST + WINDOW - 1 (51) words that
-two documents share gives both the same paragraphs; these are joined on one 64-bit hash and verified by another.
+two documents share gives both the same paragraphs; these are joined on one 64-bit hash and verified by another. From there a
+passage is followed left and right, word by word, as far as the document and its keeper agree.
 
 In a cluster the document with the smallest doc_id keeps all its paragraphs and the others lose theirs; repeats within one
 document are no matter. Spans of neighbouring paragraphs with the same keeper become one. A row results for each document:
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fewer, lean, mapped, mix64, only, saved, sieve, text_slices
@@ -33,7 +34,11 @@ LEAST, WINDOW = 24, 28
 #: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**3)**12 = 2e-4.
 LINES = Banding(12, 3, (12, 24, 36))
 
+#: Words compared beyond a paragraph at first, one more than any passage of 51 words can have there, and how this grows where all are equal.
+BEYOND, GROWTH = WINDOW, 16
+
 _HIT = "doc_id long, first int, last int, keeper long, shift int"
+_EDGE = "doc_id long, keeper long, shift int, step int, start int, at int, kat int, more boolean"
 
 
 def _prefix(hashes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +170,82 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "doc_id long, first int, text string").join(wanted, ["doc_id", "first"]).select("id", "text").dropDuplicates(["id"])
 
 
+def _words_beside(docs: DataFrame, asked: DataFrame, count: int) -> DataFrame:
+    """(doc_id, step, at, words): for each asked (doc_id, step, at) the hashes of at most `count` words from there on, or before it, nearest first."""
+    lists = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("step", "at")).alias("places")), "places")
+
+    def run(batches):
+        for batch in batches:
+            places = batch.column(2)
+            for at, n, raw, offsets in text_slices(batch, "text"):
+                start, end, first = words_of(raw, offsets)
+                hashes = word_hashes(raw, start, end)
+                rows, steps, ats, words = [], [], [], []
+                for t in range(n):
+                    own = hashes[first[t] : first[t + 1]]
+                    for place in places[at + t].as_py():
+                        step, k = place["step"], place["at"]
+                        rows.append(at + t)
+                        steps.append(step)
+                        ats.append(k)
+                        words.append((own[k : k + count] if step > 0 else own[max(0, k - count) : k][::-1] if k <= len(own) else own[:0]).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(steps, pa.int32()), pa.array(ats, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "step", "at", "words"])
+
+    held = docs.filter(sieve(lists.select("doc_id"), "doc_id")("doc_id")).join(lists, "doc_id").select("doc_id", "text", "places")
+    found = mapped(held, run, "doc_id long, step int, at int, words binary", "words-beside")
+    return found.groupBy("doc_id", "step", "at").agg(F.min("words").alias("words"))  # rows may repeat a doc_id
+
+
+def extensions(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, first, last, keeper, shift): the words beside hits up to where the document and its keeper differ.
+
+    `hits` are of equal words, at the distance `shift` at their start and `ahead` at their end (a paragraph may recur in its keeper). Ends
+    that another hit covers are left out. Each round compares a bounded number of words, more of them where all were equal.
+    """
+    chain = Window.partitionBy("doc_id", "keeper", "shift").orderBy("first", "last")
+    ends = hits.select("*", F.lag("last").over(chain).alias("before"), F.lag("ahead").over(chain).alias("turn"), F.lead("first").over(chain).alias("after"))
+    left = ends.filter("before IS NULL OR before < first OR turn <> shift").select("doc_id", "keeper", "shift", F.lit(-1).alias("step"), F.col("first").alias("at"), (F.col("first") - F.col("shift")).alias("kat"))
+    right = ends.filter("after IS NULL OR after > last OR ahead <> shift").select("doc_id", "keeper", F.col("ahead").alias("shift"), F.lit(1).alias("step"), F.col("last").alias("at"), (F.col("last") - F.col("ahead")).alias("kat"))
+    edges = saved(left.unionByName(right).distinct().withColumn("start", F.col("at")), "edges")
+    parts, count = [], BEYOND
+
+    while not edges.isEmpty():
+        asked = edges.select("doc_id", "step", "at").unionByName(edges.select(F.col("keeper").alias("doc_id"), "step", F.col("kat").alias("at")))
+        words = saved(_words_beside(docs, asked, count), "words-of-edges")
+
+        def run(batches, count=count):
+            for batch in batches:
+                equal = []
+                for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                    n = min(len(x), len(y)) // 8
+                    differ = np.flatnonzero(np.frombuffer(x, np.uint64, n) != np.frombuffer(y, np.uint64, n))
+                    equal.append(int(differ[0]) if len(differ) else n)
+                same = np.array(equal, np.int32)
+                doc_id, keeper, shift, step, start, at = (batch.column(k) for k in range(6))
+                moved = at.to_numpy() + same * step.to_numpy()
+                yield pa.RecordBatch.from_arrays([doc_id, keeper, shift, step, start, pa.array(moved, pa.int32()), pa.array(moved - shift.to_numpy(), pa.int32()), pa.array(same == count)], ["doc_id", "keeper", "shift", "step", "start", "at", "kat", "more"])
+
+        theirs = words.select(F.col("doc_id").alias("keeper"), "step", F.col("at").alias("kat"), F.col("words").alias("kept"))
+        both = edges.join(words, ["doc_id", "step", "at"]).join(theirs, ["keeper", "step", "kat"])
+        found = mapped(both.select("doc_id", "keeper", "shift", "step", "start", "at", "words", "kept"), run, _EDGE, "followed")
+        parts.append(found.filter("NOT more"))
+        edges, count = found.filter("more").drop("more"), count * GROWTH
+    out = hits.sparkSession.createDataFrame([], _EDGE)
+    for part in parts:
+        out = out.unionByName(part)
+    return out.filter("at <> start").select("doc_id", F.least("start", "at").alias("first"), F.greatest("start", "at").alias("last"), "keeper", "shift")
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, keeper, shift): words to remove, the document that keeps them, and where they are there."""
     found = placed(fewer(docs))
-    least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
-    least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"))
+    least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.min(F.struct("doc_id", "check", -F.col("first"))).alias("e"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
+    least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"), (LEAST - F.col("e.col3")).alias("klast"))
     least = saved(least, "repeated-paragraphs")
     exact = found.filter(sieve(least.select("key"), "key")("key")).join(least, "key").filter("doc_id > keeper AND check = kcheck")
-    exact = exact.select("doc_id", "first", (F.col("first") + LEAST).alias("last"), "keeper", (F.col("first") - F.col("kfirst")).alias("shift"))
+    exact = exact.select("doc_id", "first", (F.col("first") + LEAST).alias("last"), "keeper", (F.col("first") - F.col("kfirst")).alias("shift"), (F.col("first") + LEAST - F.col("klast")).alias("ahead"))
+    exact = saved(exact, "repeated-hits")
+    exact = exact.drop("ahead").unionByName(extensions(docs, exact))
 
     rows = saved(lines(fewer(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
     classes = saved(classes_of(rows.select("id", "key", "n", "sig")), "line-classes")
