@@ -201,6 +201,15 @@ def test_passages_inside_lines_go_to_their_ends(spark):
     assert got[111]["text"] == source[111].replace(f"{unit} {unit} ", "") and got[110]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("gap", range(7))
+def test_gaps_between_neighbouring_paragraphs(gap):
+    merged, closed = substring_dedup.merged, gap <= 4
+    whole, apart = [(10, 58 + gap)], [(10, 34), (34 + gap, 58 + gap)]
+    assert merged([(34 + gap, 58 + gap, 1, 7), (10, 34, 1, 7)]) == (whole if closed else apart)
+    for keeper, shift in ((2, 7), (1, 8), (1, None)):  # another keeper, another place, a line
+        assert merged([(10, 34, 1, 7), (34 + gap, 58 + gap, keeper, shift)]) == (whole if gap == 0 else apart)
+
+
 @pytest.mark.parametrize("name", [n for n in SQL if n.startswith(("op1", "op5"))])
 def test_against_sql(name, spark, sf_dir):
     con = duckdb.connect()

@@ -263,7 +263,7 @@ def merged(spans: list[tuple[int, int, int, int | None]]) -> list[tuple[int, int
     """Spans of (first, last, keeper, shift) as disjoint ones; gaps that two windows leave between them are closed."""
     out: list[list] = []
     for first, last, keeper, shift in sorted(spans, key=lambda s: (s[0], s[1])):
-        if out and (first <= out[-1][1] or (shift is not None and (keeper, shift) == out[-1][2:] and first - out[-1][1] <= WINDOW - LEAST)):
+        if out and (first <= out[-1][1] or (shift is not None and [keeper, shift] == out[-1][2:] and first - out[-1][1] <= WINDOW - LEAST)):
             if last >= out[-1][1]:
                 out[-1][1:] = last, keeper, shift
         else:
