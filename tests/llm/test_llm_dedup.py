@@ -210,6 +210,23 @@ def test_gaps_between_neighbouring_paragraphs(gap):
         assert merged([(10, 34, 1, 7), (34 + gap, 58 + gap, keeper, shift)]) == (whole if gap == 0 else apart)
 
 
+def test_runs_with_recurring_phrases_place_the_same_paragraphs():
+    def keys(*texts):
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        start, end, first = shingles.words_of(raw, np.cumsum([0, *map(len, texts)]))
+        placed = substring_dedup.placed_paragraphs(shingles.word_hashes(raw, start, end), first)
+        return [set(placed[-2][placed[0] == t].tolist()) for t in range(len(texts))]
+
+    for k in (*range(100), 163, 2556, 3780):  # by chance the last three had no paragraph in common
+        phrase, r = prose(k, 8), random.Random(k)
+        shared = " ".join(f"{phrase} {prose(10**5 * (j + 1) + k, 2)}" for j in range(6))
+        one, two = keys(f"{prose(7 * 10**6 + k, r.randint(30, 90))} {shared} {prose(8 * 10**6 + k, 40)} ", f"{prose(9 * 10**6 + k, r.randint(30, 90))} {shared} {prose(11 * 10**6 + k, 50)}")
+        assert one & two
+    raw = np.frombuffer(b"so " * 5000, np.uint8)
+    flat = substring_dedup.placed_paragraphs(shingles.word_hashes(raw, *shingles.words_of(raw, np.array([0, len(raw)]))[:2]), np.array([0, 5000]))
+    assert [x.tolist() for x in flat[:3]] == [[0], [0], [5000]]  # one long paragraph
+
+
 @pytest.mark.parametrize("name", [n for n in SQL if n.startswith(("op1", "op5"))])
 def test_against_sql(name, spark, sf_dir):
     con = duckdb.connect()

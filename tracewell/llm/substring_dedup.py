@@ -3,7 +3,7 @@
 Units are paragraphs of two kinds. Lines of LEAST words or more go through MinHash banding on their word 5-grams:
 colliding lines are joined, verified by exact Jaccard similarity, and the components of links cluster them. A passage that
 sits in the middle of a line is found by paragraphs that its own words place: in every WINDOW consecutive starting points
-the one with the smallest 5-gram hash begins a paragraph of LEAST words, so any run of LEAST + WINDOW - 1 (51) words that
+the one with the smallest 5-gram hash (all of equal ones) begins a paragraph of LEAST words, so any run of LEAST + WINDOW - 1 (51) words that
 two documents share gives both the same paragraphs; these are joined on one 64-bit hash and verified by another. From there a
 passage is followed left and right, word by word, as far as the document and its keeper agree.
 
@@ -48,9 +48,23 @@ def _prefix(hashes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[np.uint64(0)], np.cumsum(hashes * up, dtype=np.uint64)]), down
 
 
-def placed_paragraphs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word in it, hash, second hash) of the paragraphs that the words of several texts place."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def _over_windows(values: np.ndarray, least) -> np.ndarray:
+    """The minimum or maximum of every WINDOW consecutive values."""
+    width = 1
+    while width * 2 <= WINDOW:
+        values = least(values[:-width], values[width:]) if len(values) > width else values[:0]
+        width *= 2
+    rest = WINDOW - width
+    return least(values[:-rest], values[rest:]) if len(values) > rest else values[:0]
+
+
+def placed_paragraphs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word in it, one past the last, hash, second hash) of the paragraphs that the words of several texts place.
+
+    All of equal minima in a window count, so that the words of a run alone decide. Where equal paragraphs of a text meet or
+    overlap they are one, longer than LEAST, that begins and ends as they do.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     n = len(hashes)
     if n < LEAST:
         return none
@@ -59,53 +73,45 @@ def placed_paragraphs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
         grams = np.zeros(n - LEAST + 1, np.uint64)
         for k in range(5):
             grams += hashes[k : k + len(grams)] * factors[k]
-    low = np.uint64((1 << 24) - 1)
-    step, back = np.uint64(0xB5297B), np.uint64(pow(0xB5297B, -1, 1 << 24))  # a permutation of 24 bits, so that equal grams are told apart
-    ranked = (mix64(grams) & ~low) | ((np.arange(len(grams), dtype=np.uint64) * step) & low)
-    texts, starts = [], []
-    sliding = ranked
-    width = 1
-    while width * 2 <= WINDOW:
-        sliding = np.minimum(sliding[:-width], sliding[width:]) if len(sliding) > width else sliding[:0]
-        width *= 2
-    if len(sliding) > WINDOW - width:
-        sliding = np.minimum(sliding[: len(sliding) - (WINDOW - width)], sliding[WINDOW - width :])
-    else:
-        sliding = sliding[:0]
-    chosen = np.zeros(len(ranked), bool)
-    counts = np.diff(first) - LEAST + 1  # starting points of each text
-    for t in np.flatnonzero(counts > 0):
-        a, c = int(first[t]), int(counts[t])
-        if c <= WINDOW:
-            at = np.array([a + int(ranked[a : a + c].argmin())])
-        else:
-            at = np.unique(((sliding[a : a + c - WINDOW + 1] & low) * back) & low).astype(np.int64)
-        texts.append(np.full(len(at), t))
-        starts.append(at)
-    if not texts:
+    ranked = mix64(grams)
+    counts = np.maximum(np.diff(first) - LEAST + 1, 0)  # starting points of each text
+    windows = np.maximum(counts - WINDOW + 1, 0)
+    full = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    # a starting point is chosen if the largest minimum of the windows that hold it is its own
+    minima = np.zeros(len(ranked) + WINDOW - 1, np.uint64)
+    if len(full):
+        minima[full + WINDOW - 1] = _over_windows(ranked, np.minimum)[full]
+    chosen = _over_windows(minima, np.maximum) == ranked if len(full) else np.zeros(len(ranked), bool)
+    for t in np.flatnonzero((counts > 0) & (windows <= 1)):  # one window or less
+        own = slice(int(first[t]), int(first[t] + counts[t]))
+        chosen[own] = ranked[own] == ranked[own].min()
+    at = np.flatnonzero(chosen)
+    if not len(at):
         return none
-    del chosen
-    text, at = np.concatenate(texts), np.concatenate(starts)
+    text = np.searchsorted(first, at, side="right") - 1
     out = []
     with np.errstate(over="ignore"):
         for seed in (11, 12):
             total, down = _prefix(hashes, seed)
             out.append(mix64((total[at + LEAST] - total[at]) * down[at]))
-    return text, at - first[text], out[0], out[1]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1]) | (np.diff(at) > LEAST)])
+    last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + LEAST
+    text, at = text[new], at[new]
+    return text, at - first[text], last - first[text], out[0][new], out[1][new]
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, key, check) of every placed paragraph."""
+    """(doc_id, first, last, key, check) of every placed paragraph."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for at, _, raw, offsets in text_slices(batch, "text"):
                 start, end, first = words_of(raw, offsets)
-                text, word, key, check = placed_paragraphs(word_hashes(raw, start, end), first)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(word.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "first", "key", "check"])
+                text, word, last, key, check = placed_paragraphs(word_hashes(raw, start, end), first)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(word.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "first", "last", "key", "check"])
 
-    return mapped(docs, run, "doc_id long, first int, key long, check long", "placed-paragraphs")
+    return mapped(docs, run, "doc_id long, first int, last int, key long, check long", "placed-paragraphs")
 
 
 def line_words(raw: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,11 +245,11 @@ def extensions(docs: DataFrame, hits: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, keeper, shift): words to remove, the document that keeps them, and where they are there."""
     found = placed(fewer(docs))
-    least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.min(F.struct("doc_id", "check", -F.col("first"))).alias("e"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
-    least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"), (LEAST - F.col("e.col3")).alias("klast"))
+    least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.min(F.struct("doc_id", "check", -F.col("last"))).alias("e"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
+    least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"), (-F.col("e.col3")).alias("klast"))
     least = saved(least, "repeated-paragraphs")
     exact = found.filter(sieve(least.select("key"), "key")("key")).join(least, "key").filter("doc_id > keeper AND check = kcheck")
-    exact = exact.select("doc_id", "first", (F.col("first") + LEAST).alias("last"), "keeper", (F.col("first") - F.col("kfirst")).alias("shift"), (F.col("first") + LEAST - F.col("klast")).alias("ahead"))
+    exact = exact.select("doc_id", "first", "last", "keeper", (F.col("first") - F.col("kfirst")).alias("shift"), (F.col("last") - F.col("klast")).alias("ahead"))
     exact = saved(exact, "repeated-hits")
     exact = exact.drop("ahead").unionByName(extensions(docs, exact))
 
