@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,8 @@ LEAST, WINDOW = 24, 28
 #: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**3)**12 = 2e-4.
 LINES = Banding(12, 3, (12, 24, 36))
 
-#: Words compared beyond a paragraph at first, one more than any passage of 51 words can have there, and how this grows where all are equal.
-BEYOND, GROWTH = WINDOW, 16
-
 _HIT = "doc_id long, first int, last int, keeper long, shift int"
-_EDGE = "doc_id long, keeper long, shift int, step int, start int, at int, kat int, more boolean"
+_EDGE = "doc_id long, keeper long, shift int, step int, start int, at int, kat int, level int, more boolean"
 
 
 def _prefix(hashes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,66 +174,78 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "doc_id long, first int, text string").join(wanted, ["doc_id", "first"]).select("id", "text").dropDuplicates(["id"])
 
 
-def _words_beside(docs: DataFrame, asked: DataFrame, count: int) -> DataFrame:
-    """(doc_id, step, at, words): for each asked (doc_id, step, at) the hashes of at most `count` words from there on, or before it, nearest first."""
-    lists = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("step", "at")).alias("places")), "places")
+def _words_beside(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, step, at, level, words): hashes of at most WINDOW blocks of WINDOW ** level words from each asked place on, or before it, nearest first."""
+    lists = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("step", "at", "level")).alias("places")), "places")
 
     def run(batches):
         for batch in batches:
             places = batch.column(2)
-            for at, n, raw, offsets in text_slices(batch, "text"):
+            for row, n, raw, offsets in text_slices(batch, "text"):
                 start, end, first = words_of(raw, offsets)
                 hashes = word_hashes(raw, start, end)
-                rows, steps, ats, words = [], [], [], []
-                for t in range(n):
-                    own = hashes[first[t] : first[t + 1]]
-                    for place in places[at + t].as_py():
-                        step, k = place["step"], place["at"]
-                        rows.append(at + t)
-                        steps.append(step)
-                        ats.append(k)
-                        words.append((own[k : k + count] if step > 0 else own[max(0, k - count) : k][::-1] if k <= len(own) else own[:0]).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(steps, pa.int32()), pa.array(ats, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "step", "at", "words"])
+                with np.errstate(over="ignore"):
+                    total, down = _prefix(hashes, 13)
+                own = places.slice(row, n)
+                text = np.repeat(np.arange(n), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
+                step, at, level = (x.to_numpy() for x in own.flatten().flatten())
+                size, length = WINDOW ** level.astype(np.int64), np.diff(first)[text]
+                room = np.where(step > 0, np.maximum(length - at, 0), np.where(at <= length, at, 0))
+                blocks = np.minimum(room // size, WINDOW)
+                bounds = np.concatenate([[0], np.cumsum(blocks)])
+                k = np.arange(bounds[-1]) - np.repeat(bounds[:-1], blocks)
+                base, size, step_ = np.repeat(first[:-1][text] + at, blocks), np.repeat(size, blocks), np.repeat(step, blocks)
+                begin = base + np.where(step_ > 0, k, -1 - k) * size
+                with np.errstate(over="ignore"):
+                    words = mix64((total[begin + size] - total[begin]) * down[begin])
+                held = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(words)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + row)), pa.array(step), pa.array(at), pa.array(level), held], ["doc_id", "step", "at", "level", "words"])
 
     held = docs.filter(sieve(lists.select("doc_id"), "doc_id")("doc_id")).join(lists, "doc_id").select("doc_id", "text", "places")
-    found = mapped(held, run, "doc_id long, step int, at int, words binary", "words-beside")
-    return found.groupBy("doc_id", "step", "at").agg(F.min("words").alias("words"))  # rows may repeat a doc_id
+    return mapped(held, run, "doc_id long, step int, at int, level int, words binary", "words-beside")
+
+
+def _followed(batches):
+    """Edges moved over their equal blocks, to be compared in larger ones after as many as were asked for, or else in smaller ones."""
+    for batch in batches:
+        equal = []
+        for x, y in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True):
+            n = min(len(x), len(y)) // 8
+            differ = np.flatnonzero(np.frombuffer(x, np.uint64, n) != np.frombuffer(y, np.uint64, n))
+            equal.append(int(differ[0]) if len(differ) else n)
+        same = np.array(equal, np.int64)
+        shift, step, at, level = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
+        moved = at + same * WINDOW ** level.astype(np.int64) * step
+        all_ = same == WINDOW
+        out = [pa.array(moved.astype(np.int32)), pa.array((moved - shift).astype(np.int32)), pa.array(np.where(all_, level + 1, level - 1).astype(np.int32)), pa.array(all_ | (level > 0))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *out], ["doc_id", "keeper", "shift", "step", "start", "at", "kat", "level", "more"])
 
 
 def extensions(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, first, last, keeper, shift): the words beside hits up to where the document and its keeper differ.
 
     `hits` are of equal words, at the distance `shift` at their start and `ahead` at their end (a paragraph may recur in its keeper). Ends
-    that another hit covers are left out. Each round compares a bounded number of words, more of them where all were equal.
+    that meet another hit of the same kind are left out. Each round compares WINDOW hashes for each end, first of words, then of
+    blocks that grow while all are equal and shrink again to where they differ, so a run of any length costs few bytes.
     """
     chain = Window.partitionBy("doc_id", "keeper", "shift").orderBy("first", "last")
     ends = hits.select("*", F.lag("last").over(chain).alias("before"), F.lag("ahead").over(chain).alias("turn"), F.lead("first").over(chain).alias("after"))
-    left = ends.filter("before IS NULL OR before < first OR turn <> shift").select("doc_id", "keeper", "shift", F.lit(-1).alias("step"), F.col("first").alias("at"), (F.col("first") - F.col("shift")).alias("kat"))
-    right = ends.filter("after IS NULL OR after > last OR ahead <> shift").select("doc_id", "keeper", F.col("ahead").alias("shift"), F.lit(1).alias("step"), F.col("last").alias("at"), (F.col("last") - F.col("ahead")).alias("kat"))
-    edges = saved(left.unionByName(right).distinct().withColumn("start", F.col("at")), "edges")
-    parts, count = [], BEYOND
-
+    left = ends.filter("before IS NULL OR before < first OR turn <> shift").select("doc_id", "keeper", "shift", F.lit(-1).alias("step"), F.col("first").alias("start"))
+    right = ends.filter("after IS NULL OR after > last OR ahead <> shift").select("doc_id", "keeper", F.col("ahead").alias("shift"), F.lit(1).alias("step"), F.col("last").alias("start"))
+    edges = left.unionByName(right).distinct()
+    edges = saved(edges.select("*", F.col("start").alias("at"), (F.col("start") - F.col("shift")).alias("kat"), F.lit(0).alias("level")), "edges")
+    parts = []
     while not edges.isEmpty():
-        asked = edges.select("doc_id", "step", "at").unionByName(edges.select(F.col("keeper").alias("doc_id"), "step", F.col("kat").alias("at")))
-        words = saved(_words_beside(docs, asked, count), "words-of-edges")
-
-        def run(batches, count=count):
-            for batch in batches:
-                equal = []
-                for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
-                    n = min(len(x), len(y)) // 8
-                    differ = np.flatnonzero(np.frombuffer(x, np.uint64, n) != np.frombuffer(y, np.uint64, n))
-                    equal.append(int(differ[0]) if len(differ) else n)
-                same = np.array(equal, np.int32)
-                doc_id, keeper, shift, step, start, at = (batch.column(k) for k in range(6))
-                moved = at.to_numpy() + same * step.to_numpy()
-                yield pa.RecordBatch.from_arrays([doc_id, keeper, shift, step, start, pa.array(moved, pa.int32()), pa.array(moved - shift.to_numpy(), pa.int32()), pa.array(same == count)], ["doc_id", "keeper", "shift", "step", "start", "at", "kat", "more"])
-
-        theirs = words.select(F.col("doc_id").alias("keeper"), "step", F.col("at").alias("kat"), F.col("words").alias("kept"))
-        both = edges.join(words, ["doc_id", "step", "at"]).join(theirs, ["keeper", "step", "kat"])
-        found = mapped(both.select("doc_id", "keeper", "shift", "step", "start", "at", "words", "kept"), run, _EDGE, "followed")
+        asked = edges.select("doc_id", "step", "at", "level").unionByName(edges.select(F.col("keeper").alias("doc_id"), "step", F.col("kat").alias("at"), "level"))
+        words = _words_beside(docs, asked)
+        theirs = words.select(F.col("doc_id").alias("keeper"), "step", F.col("at").alias("kat"), "level", F.col("words").alias("kept"))
+        both = edges.join(words, ["doc_id", "step", "at", "level"]).join(theirs, ["keeper", "step", "kat", "level"])
+        found = both.select("doc_id", "keeper", "shift", "step", "start", "at", "level", "words", "kept").mapInArrow(_followed, _EDGE)
+        far = F.max(F.struct(F.abs(F.col("at") - F.col("start")), "at", "kat", "level", "more")).alias("far")  # rows may repeat a doc_id
+        found = found.groupBy("doc_id", "keeper", "shift", "step", "start").agg(far)
+        found = saved(found.select("doc_id", "keeper", "shift", "step", "start", "far.at", "far.kat", "far.level", "far.more"), "followed")
         parts.append(found.filter("NOT more"))
-        edges, count = found.filter("more").drop("more"), count * GROWTH
+        edges = saved(found.filter("more").drop("more"), "edges")
     out = hits.sparkSession.createDataFrame([], _EDGE)
     for part in parts:
         out = out.unionByName(part)
