@@ -52,17 +52,38 @@ def test_exact_dedup_against_a_history(spark):
     assert groups == {(1, 1), (2, 3), (11, 2), (13, 1)}
 
 
+@pytest.mark.parametrize("at", [0, 3, 6])
+def test_exact_dedup_with_null_and_large_ids(spark, at):
+    rows = [(3, "a"), (4, "a"), (2**53 + 1, "b"), (2**53 + 3, "b"), (2**53 + 5, "c"), (2**63 - 1, "d")]
+    for text, kept in (("a", False), ("b", False), ("e", True)):
+        own = [*rows[:at], (None, text), *rows[at:]]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", own)
+        got = exact_dedup.exact_dedup(spark, docs(spark, own))
+        want = con.sql(SQL["op1_exact_dedup"]).fetchall()
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+        left = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.keep_first(spark, docs(spark, own)).collect()), key=str)
+        assert left == sorted([(3, "a"), (2**53 + 1, "b"), (2**53 + 5, "c"), (2**63 - 1, "d"), *([(None, text)] * kept)], key=str)
+
+
+def test_one_row_of_each_text_stays_where_ids_repeat_or_are_null(spark):
+    rows = [(3, "a"), (3, "a"), (3, "b"), (2, "b"), (None, "a"), (None, "c"), (None, "c"), (5, "d"), (5, "e"), (None, None), (None, "")]
+    left = exact_dedup.keep_first(spark, docs(spark, rows))
+    got = sorted(((r["doc_id"], r["text"] or "") for r in left.collect()), key=str)
+    assert got == sorted([(3, "a"), (2, "b"), (None, "c"), (5, "d"), (5, "e"), (None, "")], key=str)
+
+
 def test_kept_rows_have_all_columns(spark):
     left = exact_dedup.keep_first(spark, docs(spark, [(2, "a"), (1, "a"), (3, None), (4, "")]))
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3] and left.columns == ["doc_id", "text", "keep_id", "label"]
 
 
-@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
-def test_components_of_paths_stars_and_cycles(spark, one_task):
+def test_components_of_paths_stars_and_cycles(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
-    got = dict(components.components(spark.createDataFrame([*pairs, (None, 5)], "a long, b long"), one_task=one_task).collect())
+    got = dict(components.components(spark.createDataFrame([*pairs, (None, 5)], "a long, b long")).collect())
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 160)} == {100} and {got[i] for i in (200, 201, 202)} == {200} and 300 not in got
-    assert components.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_links(rows):
@@ -84,7 +105,7 @@ def test_ngram_join_against_brute_force(spark):
             for _ in range(r.randint(0, 4)):
                 w[r.randrange(len(w))] = f"z{r.randrange(99)}"
             rows.append((len(rows) + 1, " ".join(w)))
-    rows += [(2001, "one two"), (2002, "one  two"), (2003, "one three"), (2004, ""), (2005, None), (2006, " \n"), (2007, rows[0][1]), (None, rows[0][1])]
+    rows += [(2001, "one two"), (2002, "one  two"), (2003, "one three"), (2004, ""), (2005, None), (2006, " \n"), (2007, rows[0][1])]
     got = {r["doc_id"]: r for r in ngram_join.ngram_join(spark, docs(spark, rows)).collect()}
     want = brute_links([r for r in rows if r[0] is not None])
     assert {i: got[i]["n_links"] for i in want} == {i: len(x) for i, x in want.items()}
@@ -99,9 +120,48 @@ def test_ngram_join_against_brute_force(spark):
                     todo += want[x]
     assert {i: got[i]["class_id"] for i in want} == seen
     assert [(got[i]["class_id"], got[i]["n_links"], got[i]["kept"]) for i in (2004, 2005, 2006)] == [(i, 0, True) for i in (2004, 2005, 2006)]
-    assert (got[None]["class_id"], got[None]["n_links"]) == (None, 0)
-    left = {r["doc_id"] for r in ngram_join.keep_one_of_each(spark, docs(spark, rows)).collect()}
-    assert left == {i for i in got if i is None or got[i]["kept"]}
+    left = sorted(r["doc_id"] for r in ngram_join.keep_one_of_each(spark, docs(spark, rows)).collect())
+    assert left == sorted(i for i in got if got[i]["kept"])
+
+
+def test_one_row_of_each_class_stays_where_ids_repeat_or_are_null(spark):
+    words = prose(77, 80).split()
+    near = " ".join([*words[:79], "zz"])
+    rows = [(3, " ".join(words)), (3, " ".join(words)), (None, near), (None, near), (3, "some other text of id three"), (5, near), (6, ""), (None, None), (None, prose(78, 30)), (None, prose(78, 30)), (2**53 + 1, prose(79, 9))]
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(spark, docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(3, 3, 4), (3, 3, 4), (None, 3, 4), (None, 3, 4), (3, 3, 0), (5, 3, 4), (6, 6, 0), (None, None, 0), (None, None, 1), (None, None, 1), (2**53 + 1, 2**53 + 1, 0)], key=str)
+    left = ngram_join.keep_one_of_each(spark, docs(spark, rows))
+    assert left.columns == ["doc_id", "text", "keep_id", "label"]
+    want = [(3, " ".join(words)), (3, "some other text of id three"), (6, ""), (None, None), (None, prose(78, 30)), (2**53 + 1, prose(79, 9))]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(want, key=str)
+
+
+def test_groups_tied_by_chains_of_buckets_meet_in_buckets_alone(spark):
+    edges = [(b, i, 1) for b in range(50) for i in (b, b + 1)]  # a path: every bucket ties two
+    dense = [(100 + b, 1000 + i, 1) for b in range(24) for i in range(8) if i != b]  # a group whose members meet again and again
+    got = {r["id"]: [(g["group"], g["m"]) for g in r["own"]] for r in ngram_join.candidate_groups(spark.createDataFrame([*edges, *dense], "bucket long, id long, n int")).collect()}
+    assert all(m == 2 for i in range(51) for _, m in got[i]) and {len(got[i]) for i in range(1, 50)} == {2}
+    assert {tuple(got[1000 + i]) for i in range(8)} == {((1000, 8),)}
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_links_count_once_however_groups_overlap(spark, whole, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[: 90 + i % 10], f"x{i}", f"y{i}"]) for i in range(40)]
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    if not whole:  # judge every bucket
+        chosen = ngram_join.candidate_groups
+
+        def buckets(rows):
+            every = rows.groupBy("bucket").count().filter("count > 1").withColumnRenamed("count", "m")
+            held = rows.join(every, "bucket").select("id", ngram_join.F.struct("bucket", "m", "m").cast(ngram_join._GROUP).alias("g")).groupBy("id").agg(ngram_join.F.collect_set("g").alias("own"))
+            assert chosen(rows).count() == held.count()
+            return held
+
+        monkeypatch.setattr(ngram_join, "candidate_groups", buckets)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark, docs(spark, rows)).collect()}
+    assert got == {i: len(x) for i, x in brute_links(rows).items()}
 
 
 def test_ngram_join_of_nothing(spark):
@@ -206,7 +266,7 @@ def test_gaps_between_neighbouring_paragraphs(gap):
     merged, closed = substring_dedup.merged, gap <= 4
     whole, apart = [(10, 58 + gap)], [(10, 34), (34 + gap, 58 + gap)]
     assert merged([(34 + gap, 58 + gap, 1, 7), (10, 34, 1, 7)]) == (whole if closed else apart)
-    for keeper, shift in ((2, 7), (1, 8), (1, None)):  # another keeper, another place, a line
+    for keeper, shift in ((2, 7), (1, 8)):  # another keeper, another place
         assert merged([(10, 34, 1, 7), (34 + gap, 58 + gap, keeper, shift)]) == (whole if gap == 0 else apart)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -36,28 +39,29 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a local folder."""
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or where that is unset a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
         found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    return qualified(spark, found)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own view of a path: the store and the place."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-#: Partitions of a scan that one task takes where it writes a table: fewer and larger files.
-SPLITS_PER_FILE = 3
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Spark takes it to have, for workers that know no default store."""
+    store, place = _hadoop(spark, path)
+    return re.sub(r"^file:/+", "file:///", store.makeQualified(place).toString()).rstrip("/")
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """A scan in fewer partitions; anything with a shuffle stays as it is, since there the sizes are adapted anyway."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    return df.coalesce(max(1, -(-df.rdd.getNumPartitions() // SPLITS_PER_FILE)))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
 
 
 #: Bytes that a table's writer gathers before it writes them as a row group.
@@ -69,19 +73,44 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: it does when the driver's JVM has collected what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_steps = threading.local()
 
 
-def mapped(df: DataFrame, f, ddl: str | StructType, name: str) -> DataFrame:
+@contextlib.contextmanager
+def step(spark: SparkSession):
+    """Tables that `mapped` and `saved` make inside go when the block ends, but for those made with keep=True.
+
+    What is kept belongs to the step around this one, or else stays in the shared folder, as results are read from it. At
+    the end the driver's JVM is asked once to collect its garbage, since Spark removes the shuffle files of finished jobs only then.
+    """
+    made: list[str] = []
+    stack = _steps.__dict__.setdefault("stack", [])
+    stack.append(made)
+    try:
+        yield
+    finally:
+        stack.pop()
+        for path in made:
+            store, place = _hadoop(spark, path)
+            store.delete(place, True)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def _own(path: str, keep: bool) -> None:
+    stack = _steps.__dict__.get("stack", [])
+    if len(stack) > keep:
+        stack[-1 - keep].append(path)
+
+
+def mapped(df: DataFrame, f, ddl: str | StructType, name: str, keep: bool = False) -> DataFrame:
     """What `f` makes of the Arrow batches of `df`, as a table in the shared folder.
 
     Workers write their part themselves, under a name of the attempt that is then moved to that of the partition, so that
     tasks can be lost or run twice. For a store that pyarrow has no way to, Spark writes.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    _own(path, keep)
     schema = StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl
     try:
         store, place = filesystem(path)
@@ -119,13 +148,12 @@ def mapped(df: DataFrame, f, ddl: str | StructType, name: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
 
     df.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
-    sweep(spark)
     return spark.read.schema(schema).parquet(path)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends there, and lost executors cost only their tasks."""
-    return mapped(df, lambda batches: batches, df.schema, name)
+    return mapped(df, lambda batches: batches, df.schema, name, keep)
 
 
 def lean(docs: DataFrame, *columns: str) -> DataFrame:
@@ -133,6 +161,22 @@ def lean(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def chosen_rows(docs: DataFrame, decided: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns, given (doc_id, kept) of every row.
+
+    Where a doc_id is null or repeats it can't tell rows apart: `choose` decides over those rows themselves.
+    """
+    with step(docs.sparkSession):
+        per = decided.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count(F.lit(1)) > 1)).alias("__odd"), F.bool_or("kept").alias("kept"))
+        per = saved(per.filter("__odd OR NOT kept").select(F.col("doc_id").alias("__id"), "__odd"), "decisions", keep=True)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    plain = named.join(per.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_anti")
+    if per.filter("__odd").isEmpty():
+        return plain
+    odd = named.join(per.filter("__odd").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    return plain.unionByName(choose(odd).select(*docs.columns))
+
+
 def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):
     """Yield (first row, rows, bytes as uint8, offsets as int64) of slices of a string column, null counting as empty."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -182,44 +226,3 @@ def quiet_threads() -> None:
     """One core for each Python worker: native libraries start no pools of their own."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("OMP_NUM_THREADS", "1")
-
-
-#: Bits of a sieve at least and at most (32 KB and 8 MB), and for each id between. Beyond that more rows pass.
-SIEVE_BITS, BITS_PER_ID = (1 << 18, 1 << 26), 16
-
-
-def sieve(ids: DataFrame, column: str):
-    """A condition on an id column that holds for all `ids`, and for few others while they are few.
-
-    The ids set bits of a bitmap of bounded size, so that rows that surely aren't among them need no shuffle.
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    size = 1 << min(SIEVE_BITS[1], max(SIEVE_BITS[0], BITS_PER_ID * ids.count()) - 1).bit_length()
-    size = min(SIEVE_BITS[1], size)
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(size)) + 1
-    found = ids.select(F.bitmap_bucket_number(place(column)).alias("bucket"), F.bitmap_bit_position(place(column)).alias("bit"))
-    bits = np.zeros(size // 8, np.uint8)
-    for r in found.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # size / 32768 rows
-        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    held = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-    @pandas_udf("boolean")
-    def among(at: pd.Series) -> pd.Series:
-        k = at.to_numpy() - 1
-        return pd.Series((np.frombuffer(held.value, np.uint8)[k >> 3] >> (k & 7)) & 1 == 1)
-
-    return lambda c: among(place(c))
-
-
-def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows of `df` whose `column` is among the ids (a table with that one column, each id once)."""
-    return df.filter(sieve(ids, column)(column)).join(ids, column, "left_semi")
-
-
-def without(df: DataFrame, ids: DataFrame, column: str, id_column: str) -> DataFrame:
-    """The rows of `df` whose `column` isn't among the ids; null isn't. Only rows that may be are shuffled."""
-    maybe = sieve(ids, id_column)(column)
-    doubtful = df.filter(maybe)
-    doubtful = doubtful.join(ids, doubtful[column] == ids[id_column], "left_anti")
-    return df.filter(~maybe).unionByName(doubtful)

@@ -1,22 +1,18 @@
 """Connected components over edge tables of any size.
 
-A graph of ONE_TASK edges at most (some 16 MB) is labelled in one task. A larger one is contracted in rounds: each round hooks every node onto its smallest neighbour (if smaller), follows two such steps, and contracts the edges onto
-the nodes reached; components end named by their smallest node. All is joins and pre-aggregated minima; each round's tables
-are written to the shared folder. Stars and dense groups contract in two or three rounds, paths in a logarithmic number.
-Both ways give the same labels.
+The graph is contracted in rounds: each round hooks every node onto its smallest neighbour (if smaller), follows two such
+steps, and contracts the edges onto the nodes reached; components end named by their smallest node. All is joins and
+pre-aggregated minima; each round's tables are written to the shared folder. Stars and dense groups contract in two or
+three rounds, paths in a logarithmic number.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, mapped, saved
-
-#: Edges up to which one task labels the graph.
-ONE_TASK = 1_000_000
+from .common import saved, step
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -36,35 +32,24 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _labelled(batches):
-    """(node, label) of all edges that the task gets."""
-    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if ends:
-        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
-        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = local_roots(len(nodes), place[: len(a)], place[len(a) :])
-        for at in range(0, len(nodes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(nodes[root[at : at + (1 << 16)]])], ["node", "label"])
-    give_back()
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node of an edge; `label` is the smallest node of its component. Null ends are no edges."""
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    now = saved(both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if now.count() <= one_task:
-        return mapped(now.coalesce(1), _labelled, "node long, label long", "labels")
-    labels = None
-    while not now.isEmpty():
-        ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        twice = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up"))
-        twice = saved(twice, "grandparents")
-        if labels is None:
-            labels = twice.select("node", F.col("up").alias("label"))
-        else:
-            moved = labels.join(twice.select(F.col("node").alias("label"), "up"), "label", "left")
-            labels = saved(moved.select("node", F.coalesce("up", "label").alias("label")), "labels")
-        left = now.join(twice.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(twice.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-        now = saved(left.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
+    with step(edges.sparkSession):
+        now = saved(both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        labels = None
+        while not now.isEmpty():
+            ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            up = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+            up = saved(up, "parents")
+            twice = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up"))
+            twice = saved(twice, "grandparents")
+            if labels is None:
+                labels = twice.select("node", F.col("up").alias("label"))
+            else:
+                moved = labels.join(twice.select(F.col("node").alias("label"), "up"), "label", "left")
+                labels = saved(moved.select("node", F.coalesce("up", "label").alias("label")), "labels")
+            left = now.join(twice.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(twice.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
+            now = saved(left.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        labels = now.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
+        return saved(labels, "components", keep=True)

@@ -8,8 +8,9 @@ history keeps; non-members form groups of their own. No row of a group but its p
 a digest that a third of all rows share costs one row for each task.
 
 Defined cases: null and empty texts are one group; a null doc_id never stays while the group has another (it sorts last);
-rows repeated with the same doc_id are all returned, kept only where doc_id equals the group's smallest; empty tables give
-empty results; extra columns are ignored, whatever their names.
+keep_id is null, and its rows are marked as kept, only where a group has no other; rows repeated with the same doc_id are all
+returned, kept only where doc_id equals the group's smallest; empty tables give empty results; extra columns are ignored,
+whatever their names. `keep_first` leaves exactly one row of each text, also where doc_ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fewer, lean, saved, without
+from .common import chosen_rows, lean, saved, step
 from .mphf import MinimalPerfectHash
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -27,10 +28,8 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 #: Distinct digests that one shard of the index is meant to hold (some 10 MB as slots).
 SHARD_KEYS = 100_000
 
-_INDEX = "shard int, mph binary, digests binary, winners binary, counts binary"
-_GROUPS = "digest binary, keep_id long, group_size long"
-#: A winner that is null in the table.
-_NONE = np.iinfo(np.int64).max
+_INDEX = "shard int, mph binary, digests binary, winners binary, counts binary, named binary"
+_GROUPS = "digest binary, keep_id long, group_size long, named long"
 
 
 def digest(text: str = "text"):
@@ -44,10 +43,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct_digests(rows: DataFrame, shards: int) -> DataFrame:
-    """One row for each digest with its shard, smallest doc_id and row count; summed in each task before the shuffle."""
+    """One row for each digest: shard, smallest doc_id (the largest long if all are null), row count and rows with a doc_id; summed in each task before the shuffle."""
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
-    found = rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
-    return found.select(shard.alias("shard"), "digest", "winner", "n")
+    found = rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"))
+    return found.select(shard.alias("shard"), "digest", F.coalesce("winner", F.lit(2**63 - 1)).alias("winner"), "n", "named")
 
 
 def _key(digests: np.ndarray) -> np.ndarray:
@@ -64,9 +63,10 @@ def _index_shard(part: pd.DataFrame) -> pd.DataFrame:
     mph = _slots(digests)
     at = mph.slots(_key(digests))
     out = np.empty_like(digests)
-    winners, counts = np.empty(len(digests), "<i8"), np.empty(len(digests), "<i8")
-    out[at], winners[at], counts[at] = digests, part["winner"].fillna(_NONE).astype("int64"), part["n"]
-    return pd.DataFrame([[int(part["shard"].iloc[0]), mph.to_bytes(), out.tobytes(), winners.tobytes(), counts.tobytes()]], columns=["shard", "mph", "digests", "winners", "counts"])
+    winners, counts, named = (np.empty(len(digests), "<i8") for _ in range(3))
+    out[at], winners[at], counts[at], named[at] = digests, part["winner"], part["n"], part["named"]
+    slots = [x.tobytes() for x in (out, winners, counts, named)]
+    return pd.DataFrame([[int(part["shard"].iloc[0]), mph.to_bytes(), *slots]], columns=["shard", "mph", "digests", "winners", "counts", "named"])
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
@@ -77,37 +77,36 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 def _merge_shard(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """Groups of one shard: the history's, enlarged by the repeats found in the batch, and those of non-members."""
     fresh = np.frombuffer(b"".join(new["digest"]), np.uint8).reshape(-1, 32).copy()
-    ids, n = new["winner"].fillna(_NONE).astype("int64").to_numpy(), new["n"].to_numpy()
+    ids, n, with_id = (new[c].to_numpy(np.int64) for c in ("winner", "n", "named"))
     if len(index):
         row = index.iloc[0]
         mph = MinimalPerfectHash.from_bytes(row["mph"])
         digests = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
-        winners, counts = np.frombuffer(row["winners"], "<i8").copy(), np.frombuffer(row["counts"], "<i8").copy()
+        winners, counts, named = (np.frombuffer(row[c], "<i8").copy() for c in ("winners", "counts", "named"))
         at = mph.slots(_key(fresh)) if len(fresh) else np.zeros(0, np.int64)
         member = at >= 0
         member[member] = (digests[at[member]] == fresh[member]).all(axis=1)
         # a member repeats what the history keeps; the smaller locator wins if batches come out of order
         winners[at[member]] = np.minimum(winners[at[member]], ids[member])
         counts[at[member]] += n[member]
+        named[at[member]] += with_id[member]
     else:
-        digests, winners, counts, member = np.zeros((0, 32), np.uint8), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(len(fresh), bool)
+        digests, member = np.zeros((0, 32), np.uint8), np.zeros(len(fresh), bool)
+        winners = counts = named = np.zeros(0, "i8")
     every = np.concatenate([digests, fresh[~member]])
-    return pd.DataFrame({
-        "digest": [bytes(x) for x in every],
-        "keep_id": pd.array(np.concatenate([winners, ids[~member]]), dtype="Int64").copy(),
-        "group_size": np.concatenate([counts, n[~member]]),
-    })
+    columns = {c: np.concatenate([old, own[~member]]) for c, old, own in (("keep_id", winners, ids), ("group_size", counts, n), ("named", named, with_id))}
+    return pd.DataFrame({"digest": [bytes(x) for x in every], **columns})
 
 
 def groups_of(batch: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """(digest, keep_id, group_size) of everything in the index or the batch."""
     new = distinct_digests(batch, shards)
     found = new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_merge_shard, _GROUPS)
-    return found.withColumn("keep_id", F.nullif("keep_id", F.lit(int(_NONE))))
+    return found.select("digest", F.when(F.col("named") > 0, F.col("keep_id")).alias("keep_id"), "group_size")
 
 
-def decisions(rows: DataFrame, shards: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of saved (doc_id, digest) rows.
+def groups(rows: DataFrame, shards: int | None = None) -> DataFrame:
+    """(digest, keep_id, group_size) of saved (doc_id, digest) rows.
 
     The rows up to the middle of the doc_id range are the history, the others the batch that is looked up in its index.
     """
@@ -115,19 +114,34 @@ def decisions(rows: DataFrame, shards: int | None = None) -> DataFrame:
     pivot = (low + high) // 2 if low is not None else 0
     shards = shards or max(1, -(-n // SHARD_KEYS), 16)
     old = F.coalesce(F.col("doc_id") <= F.lit(pivot), F.lit(False))
-    index = saved(build_index(rows.filter(old), shards), "digest-index")
-    groups = groups_of(rows.filter(~old), index, shards)
-    return rows.join(groups, "digest").select(
+    with step(rows.sparkSession):
+        index = saved(build_index(rows.filter(old), shards), "digest-index")
+        return saved(groups_of(rows.filter(~old), index, shards), "digest-groups", keep=True)
+
+
+def decisions(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of (doc_id, digest) rows, given their groups."""
+    return rows.join(found, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each document, dropped ones too."""
-    return decisions(saved(keyed(fewer(docs)), "digests"))
+    rows = saved(keyed(docs), "digests")
+    return decisions(rows, groups(rows))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay: of equal texts the one with the smallest doc_id."""
-    gone = exact_dedup(spark, docs).filter("NOT kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return without(docs, saved(gone, "repeats"), "doc_id", "__gone_id")
+    """One row of each text, with all its columns: that with the smallest doc_id, or one of those that have it."""
+    with step(spark):
+        rows = saved(keyed(docs), "digests")
+        found = groups(rows)
+        decided = saved(decisions(rows, found).select("doc_id", "kept"), "kept", keep=True)
+        winners = saved(found.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id")), "winners", keep=True)
+
+    def choose(odd: DataFrame) -> DataFrame:
+        held = odd.withColumn("__digest", digest()).join(winners, "__digest")
+        return held.filter(F.col("doc_id").eqNullSafe(F.col("__keep_id"))).dropDuplicates(["__digest"])
+
+    return chosen_rows(docs, decided, choose)

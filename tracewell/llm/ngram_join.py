@@ -1,19 +1,24 @@
 """Operator 5, n-gram Jaccard join with Bayesian pruning of candidates.
 
-Texts with the same set of word 5-grams form a class and are joined as one. Of each class a MinHash signature is banded;
-every bucket ties its classes to its smallest one, so a bucket of any size costs one row for each member, and the
-components of these ties hold every pair that shares a bucket. Within a component, pairs are compared value by value in
-stages: a pair is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls
-below a tolerance. What is left is verified on the shingle sets themselves. Components larger than a block are dealt into
-blocks and the blocks are joined pairwise, so no task holds more than two blocks; tasks return for each class its number of
-links and one tie to its local component, never the pairs.
+Texts with the same set of word 5-grams form a class and are joined as one. Of each class a MinHash signature is banded, and
+classes that share a bucket are candidates. Buckets with the same members are judged once. The pairs of a bucket are
+compared value by value in stages: a pair is dropped once the posterior probability (uniform prior) that its similarity
+reaches the threshold falls below a tolerance. What is left is verified on the shingle sets themselves. A pair that shares
+several buckets counts in the smallest alone. Where the buckets that tie some classes together have more pairs in all than
+these classes themselves (dense groups of near copies, whose members meet again and again), the pairs of classes are judged
+instead, each once; classes that mere chains of buckets tie together are never compared with each other for that. Large
+groups are dealt into blocks, and the blocks are joined pairwise, so no task holds more than two blocks; tasks return for
+each class its number of links and one tie to its local component, never the pairs.
 
 A row results for each document: doc_id, class_id (the smallest doc_id that chains of links reach), n_links (other
-documents with a similarity of the threshold or more, copies included), class_size is left to a count over class_id.
+documents with a similarity of the threshold or more, copies included) and kept (doc_id is class_id); class_size is left to
+a count over class_id.
 
 Defined cases: null text is empty; a text without words has links to nothing and is its own class; a text of fewer than
-five words has its words as the one shingle; rows that repeat a doc_id are one node and count as documents each; a null
-doc_id has no class and no links; empty tables give empty results; extra columns are ignored; texts are read whole.
+five words has its words as the one shingle; rows that repeat a doc_id count as documents each; a row with a null doc_id is
+a document like others, but names its class only if no other does, and that name is null; empty tables give empty results;
+extra columns are ignored; texts are read whole. `keep_one_of_each` leaves one row of each class, also where doc_ids repeat
+or are null, and every row without words.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from .common import fewer, give_back, lean, mapped, only, saved, sieve, text_slices, without
+from .common import chosen_rows, give_back, lean, mapped, saved, step, text_slices
 from .components import components, local_roots
 from .shingles import band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
@@ -48,10 +54,11 @@ class Banding:
 
 #: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**4)**24 = 3e-6.
 DOCUMENTS = Banding(24, 4, (16, 32, 64, 96))
-#: Classes of a block, and of a task that takes whole small components.
-BLOCK, TASK = 256, 1024
+#: Classes and shingles of a block, and of a task that takes whole small groups, about.
+BLOCK, BLOCK_SHINGLES, TASK, TASK_SHINGLES = 512, 1 << 18, 1024, 1 << 20
 
-_SKETCH = "id long, key binary, n int, sig binary"
+_SKETCH = "doc_id long, node long, key binary, n int, sig binary"
+_GROUP = "struct<group: long, m: long, n: long>"
 
 
 def least_matches(stages: tuple[int, ...], threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: float = TOLERANCE) -> list[int]:
@@ -67,61 +74,98 @@ def least_matches(stages: tuple[int, ...], threshold: float = THRESHOLD[0] / THR
     return out
 
 
+def _key(shingles: bytes) -> bytes:
+    """16 bytes that name a set of shingles."""
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
+@F.pandas_udf(BinaryType())
+def set_key(texts: pd.Series) -> pd.Series:
+    """The key of each text's set of shingles."""
+    out = []
+    for text in texts:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        start, end, first = words_of(raw, np.array([0, len(raw)]))
+        (own,) = distinct(*shingle_hashes(word_hashes(raw, start, end), first, WORDS))
+        out.append(_key(own.tobytes()))
+    return pd.Series(out, dtype=object)
+
+
 def sketch_slice(raw: np.ndarray, offsets: np.ndarray, values: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Key of the shingle set, number of shingles and signature of each text."""
     start, end, first = words_of(raw, offsets)
     hashes, bounds = shingle_hashes(word_hashes(raw, start, end), first, WORDS)
     sets = distinct(hashes, bounds)
-    keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+    keys = [_key(s.tobytes()) for s in sets]
     return keys, np.array([len(s) for s in sets], np.int32), signatures(hashes, bounds, values)
 
 
 def sketches(docs: DataFrame, banding: Banding = DOCUMENTS) -> DataFrame:
-    """(id, key, n, sig) of (id, text) rows."""
+    """(doc_id, node, key, n, sig) of (doc_id, text) rows; `node` is a number for the key."""
     values = banding.bands * banding.rows
 
     def run(batches):
         for batch in batches:
             for at, n, raw, offsets in text_slices(batch, "text"):
                 keys, sizes, sig = sketch_slice(raw, offsets, values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "key", "n", "sig"])
+                nodes = np.frombuffer(b"".join(keys), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(nodes), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "node", "key", "n", "sig"])
 
-    return mapped(docs.select("id", "text"), run, _SKETCH, "sketches")
+    return mapped(docs, run, _SKETCH, "sketches")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles) of (id, text) rows; sorted 64-bit hashes."""
+    """(id, shingles) of the texts of (doc_id, text) rows: their nodes and sorted 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
-            for at, n, raw, offsets in text_slices(batch, "text"):
+            for _, _, raw, offsets in text_slices(batch, "text"):
                 start, end, first = words_of(raw, offsets)
-                sets = distinct(*shingle_hashes(word_hashes(raw, start, end), first, WORDS))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+                sets = [s.tobytes() for s in distinct(*shingle_hashes(word_hashes(raw, start, end), first, WORDS))]
+                nodes = np.frombuffer(b"".join(map(_key, sets)), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
-def candidate_ties(classes: DataFrame, banding: Banding) -> DataFrame:
-    """(a, b): each class and the smallest class of a bucket that both are in."""
+def bucket_rows(classes: DataFrame, banding: Banding) -> DataFrame:
+    """(bucket, id, n): the buckets of every class (id, n, sig)."""
     bands, per = banding.bands, banding.rows
 
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands * per)
-            ids = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(sig, bands, per).ravel()), pa.array(ids)], ["bucket", "id"])
-
-    rows = mapped(fewer(classes.filter("n > 0").select("id", "sig")), run, "bucket long, id long", "bands")
-    least = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").select("bucket", "b")
-    least = saved(least, "shared-buckets")
-    shared = rows.filter(sieve(least.select("bucket"), "bucket")("bucket"))  # most buckets hold one class
-    return shared.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, bands * per)
+            ids, n = (np.repeat(batch.column(k).to_numpy(), bands) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(sig, bands, per).ravel()), pa.array(ids), pa.array(n)], ["bucket", "id", "n"])
+
+    return mapped(classes.filter("n > 0").select("id", "n", "sig"), run, "bucket long, id long, n int", "bands")
+
+
+def candidate_groups(rows: DataFrame) -> DataFrame:
+    """(id, own): the groups (group, m members, n shingles) in which each id of (bucket, id, n) rows meets others; rows may repeat."""
+    with step(rows.sparkSession):
+        least = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).filter("least < top").select("bucket", "least")
+        least = saved(least, "shared-buckets", keep=True)
+    with step(rows.sparkSession):
+        members = saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members")
+        mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+        buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), mark(1).alias("x"), mark(2).alias("y"))
+        once = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight")).select("bucket", "m", "weight")
+        of = members.join(once, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct(F.col("bucket").alias("group"), "m", F.col("weight").alias("n"))).alias("own"))  # one for each band at most
+        tied = components(members.select(F.col("id").alias("a"), F.col("least").alias("b")))
+        of = saved(of.join(tied.withColumnRenamed("node", "id"), "id"), "tied-classes")
+        met = F.aggregate("own", F.lit(0).cast("long"), lambda total, g: total + g["m"])
+        sizes = of.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), F.sum(met).alias("met"))
+        whole = F.array(F.struct(F.col("label").alias("group"), "m", F.col("weight").alias("n")).cast(_GROUP))
+        found = of.join(sizes, "label").select("id", F.when(F.col("m") * F.col("m") <= F.col("met"), whole).otherwise(F.col("own").cast(f"array<{_GROUP}>")).alias("own"))
+        return saved(found, "candidates", keep=True)
 
 
 def compare(sig_a: np.ndarray, sig_b: np.ndarray | None, stages: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (rows of a, rows of b) that survive all stages; within a, each pair once, if b is None."""
     other = sig_a if sig_b is None else sig_b
+    if not stages:  # nothing to judge by
+        return np.nonzero(np.triu(np.ones((len(sig_a), len(sig_a)), bool), 1) if sig_b is None else np.ones((len(sig_a), len(sig_b)), bool))
     done, alive = 0, None
     for n, least in zip(stages, least_matches(stages), strict=True):
         if alive is None:
@@ -167,22 +211,36 @@ def verify(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, i: np.ndar
     return good
 
 
+def _met_before(group: int, a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray | None:
+    """Which pairs share a group of a smaller number; None if no row has one."""
+    every = a + (b or [])
+    earlier = np.unique(np.concatenate([g[g < group] for g in every]))
+    if not len(earlier):
+        return None
+    held = np.zeros((len(every), len(earlier)), np.float32)
+    for i, g in enumerate(every):
+        held[i, np.searchsorted(earlier, g[g < group])] = 1
+    return held[: len(a)] @ (held if b is None else held[len(a) :]).T > 0
+
+
 def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
-    """Links and local component of the classes of one task: whole components, or two blocks of a large one."""
+    """Links and local component of the classes of one task: whole groups, or two blocks of a large one."""
     out = []
-    for comp, rows in part.groupby("comp", sort=False):
-        del comp
+    for group, rows in part.groupby("group", sort=False):
         rows = rows.sort_values("id", kind="stable")
         if rows["left"].iloc[0] == rows["right"].iloc[0]:
             a, b = rows, None
         else:
             a, b = rows[rows["block"] == rows["left"]], rows[rows["block"] == rows["right"]]
-        ids, weight = rows["id"].to_numpy(), rows["size"].to_numpy()
-        if b is not None:
-            ids, weight = np.concatenate([a["id"], b["id"]]), np.concatenate([a["size"], b["size"]])
-        sig = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) for x in (a, b) if x is not None]
-        sets = [[np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in (a, b) if x is not None]
+        halves = [x for x in (a, b) if x is not None]
+        ids, weight = (np.concatenate([x[c] for x in halves]) for c in ("id", "size"))
+        sig = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) if stages else np.zeros((len(x), 0), np.uint32) for x in halves]
+        sets = [[np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in halves]
         i, j = compare(sig[0], sig[1] if b is not None else None, stages)
+        met = _met_before(group, *[[np.asarray(g) for g in x["groups"]] for x in halves], *[None] * (b is None))
+        if met is not None:
+            fresh = ~met[i, j]
+            i, j = i[fresh], j[fresh]
         good = verify(sets[0], sets[1] if b is not None else None, i, j)
         i, j = i[good], j[good] + (0 if b is None else len(a))
         links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
@@ -195,48 +253,68 @@ def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def similar_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: Banding = DOCUMENTS) -> DataFrame:
-    """(id, links, label) of the classes (id, n, size, sig) with links; `fetch` gives (id, shingles) of (id) rows.
+def similar_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = ()) -> DataFrame:
+    """(id, links, label) of the classes with links to others, given (bucket, id, n) rows.
 
-    `links` counts rows of other classes; `label` is the smallest id of the component of links.
+    `fetch` gives (id, size, sig, shingles) of (id) rows; without stages every pair of a group is verified and `sig` plays
+    no part. `links` counts rows of other classes; `label` is the smallest id of the component of links.
     """
-    near = components(candidate_ties(classes, banding))
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    near = saved(near.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("comp"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "candidates")
-    n = near.count()
-    held = near.join(classes.select("id", "size", "sig"), "id").join(fetch(near.select("id")), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    held = held.withColumn("block", block)
-    numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = F.transform(numbers, lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
-    held = held.withColumn("pair", F.explode(pairs)).select("id", "comp", "blocks", "block", "size", "sig", "shingles", "pair.left", "pair.right")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(-(-n // TASK) or 1))).otherwise(F.xxhash64("comp", "left", "right"))
-    kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(lambda part: _links(part, banding.stages), "id long, links long, root long")
-    kept = saved(kept, "links")
-    labels = components(kept.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    total = kept.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
-    return total.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "links", F.coalesce("label", "id").alias("label"))
-
-
-def classes_of(sketched: DataFrame) -> DataFrame:
-    """One row for each shingle set: key, id (the smallest), size, n and sig."""
-    return sketched.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    with step(rows.sparkSession):
+        groups = candidate_groups(rows)
+        n, weight = groups.agg(F.count(F.lit(1)), F.sum(F.element_at("own", 1)["n"] / F.element_at("own", 1)["m"])).first()
+        tasks = max(1, -(-n // TASK), int((weight or 0) // TASK_SHINGLES))
+        held = groups.join(fetch(groups.select("id")), "id").withColumn("groups", F.transform("own", lambda g: g["group"])).withColumn("own", F.explode("own"))
+        blocks = F.greatest(F.ceil(F.col("own.m") / BLOCK), F.ceil(F.col("own.n") / BLOCK_SHINGLES)).cast("int")
+        held = held.select("id", "own.group", "groups", "size", "sig", "shingles", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
+        pairs = F.transform(numbers, lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
+        held = held.withColumn("pair", F.explode(pairs)).select("id", "group", "groups", "blocks", "block", "size", "sig", "shingles", "pair.left", "pair.right")
+        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(F.xxhash64("group", "left", "right"))
+        kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(lambda part: _links(part, stages), "id long, links long, root long")
+        kept = saved(kept, "links")
+        labels = components(kept.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        total = kept.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
+        found = total.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "links", F.coalesce("label", "id").alias("label"))
+        return saved(found, "similar-classes", keep=True)
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n) of every row, and (key, label, class_id, n_links) of every key with words."""
+    rows = lean(docs, "doc_id", "text")
+    with step(docs.sparkSession):
+        sketched = sketches(rows)
+        classes = sketched.filter("n > 0").groupBy("key").agg(F.first("node").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        classes = saved(classes, "classes")
+        def fetch(ids: DataFrame) -> DataFrame:
+            """The shingles of each class come from the text of its smallest doc_id, or one without."""
+            wanted = classes.join(ids, "id").select("id", "least", "size", "sig")
+            texts = rows.join(wanted.select("least").distinct().hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("least")), "left_semi")
+            sets = shingle_sets(texts).groupBy("id").agg(F.first("shingles").alias("shingles"))
+            return wanted.drop("least").join(sets, "id")
+
+        found = similar_classes(bucket_rows(classes, DOCUMENTS), fetch, DOCUMENTS.stages)
+        of = classes.select("key", "id", "size", "least").join(found, "id", "left").select("key", "size", "least", F.coalesce("label", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+        names = of.groupBy("label").agg(F.min("least").alias("class_id"))
+        known = saved(of.join(names, "label").select("key", "label", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links")), "near-classes", keep=True)
+        return saved(sketched.select("doc_id", "key", "n"), "document-keys", keep=True), known
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links and kept of every document."""
-    rows = lean(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
-    sketched = sketches(fewer(rows))
-    classes = saved(classes_of(sketched.filter("id IS NOT NULL AND n > 0")), "classes")
-    found = similar_classes(classes, lambda ids: shingle_sets(only(rows, ids, "id")))
-    known = classes.select("key", "id", "size").join(found, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = sketched.select(F.col("id").alias("doc_id"), "key", "n").join(known, "key", "left")
-    own = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), own).alias("class_id"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    rows, known = near_copies(docs)
+    out = rows.join(known, "key", "left")
+    out = out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that aren't near copies of the row their class keeps."""
-    gone = ngram_join(spark, docs).filter("NOT kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return without(docs, saved(gone, "near-copies"), "doc_id", "__gone_id")
+    """One row of each class, with all its columns, and every row without words."""
+    rows, known = near_copies(docs)
+    kept = rows.join(known, "key", "left").select("doc_id", "n", "label", (F.col("n").eqNullSafe(F.lit(0)) | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+    def choose(odd: DataFrame) -> DataFrame:
+        found = odd.withColumn("__key", set_key(F.col("text"))).join(known.select(F.col("key").alias("__key"), F.col("label").alias("__label"), F.col("class_id").alias("__class")), "__key", "left")
+        wordless = found.filter("__label IS NULL")
+        return found.filter(F.col("__label").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__class"))).dropDuplicates(["__label"]).unionByName(wordless)
+
+    return chosen_rows(docs, kept.select("doc_id", "kept"), choose)

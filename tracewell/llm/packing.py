@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fewer, give_back, lean, mapped, saved
+from .common import give_back, lean, mapped, saved
 from .wordpieces import id_bytes
 
 #: Rounds of multiplicative weights at most, and the step of their exponents.
@@ -179,7 +179,7 @@ def places(plan: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """One row for each piece with its sequence and its place there."""
-    found = pieces(fewer(docs), path, pattern, size, end_id)
+    found = pieces(docs, path, pattern, size, end_id)
     counts = saved(found.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most
     plan = places(rounded(histogram, fractional(histogram, size), size))

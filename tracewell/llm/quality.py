@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fewer, give_back
+from .common import give_back
 from .labelled import newton_logistic, remainder, sample
 
 SAMPLE, PAIRS, PIECE, DICTIONARY, LEVEL = 4000, 3, 1024, 112_640, 3
@@ -115,5 +115,5 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
     """doc_id, held_out, score and predicted of every document; every third label, by crc32, is held out."""
     held = remainder("doc_id", 3) == 1
     score = scorer(fit(docs, labels, ~held))
-    out = fewer(docs).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"))
+    out = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,42 +1,48 @@
-"""Operator 8, removal of passages that repeat across documents.
-
-Units are paragraphs of two kinds. Lines of LEAST words or more go through MinHash banding on their word 5-grams:
-colliding lines are joined, verified by exact Jaccard similarity, and the components of links cluster them. A passage that
-sits in the middle of a line is found by paragraphs that its own words place: in every WINDOW consecutive starting points
-the one with the smallest 5-gram hash (all of equal ones) begins a paragraph of LEAST words, so any run of LEAST + WINDOW - 1 (51) words that
-two documents share gives both the same paragraphs; these are joined on one 64-bit hash and verified by another. From there a
-passage is followed left and right, word by word, as far as the document and its keeper agree.
-
-In a cluster the document with the smallest doc_id keeps all its paragraphs and the others lose theirs; repeats within one
-document are no matter. Spans of neighbouring paragraphs with the same keeper become one. A row results for each document:
-doc_id, class_id (the smallest doc_id of the documents tied by removals), n_removed spans, removed_words, spans (start and
-end in characters of the whole text) and the text that is left.
+"""Operator 8, removal of passages that repeat across documents, by MinHash banding of paragraphs.
+
+A text is cut into paragraphs of two kinds. Lines of LEAST words or more are its own paragraphs. Overlapping ones of LEAST
+words are placed by the words themselves, for passages that sit in the middle of a line: in every WINDOW consecutive starting
+points the one with the smallest 5-gram hash (all of equal ones) begins a paragraph, so any run of LEAST + WINDOW - 1 (51)
+words that two documents share gives both the same paragraphs. All paragraphs go through MinHash banding on their word
+5-grams; those that share a bucket are joined and verified by exact Jaccard similarity (0.8); the components of these links,
+and of equal paragraphs, are clusters.
+
+In a cluster the document with the smallest doc_id keeps its paragraphs and the others lose theirs; repeats within one
+document are no matter. Starting points of paragraphs are at most WINDOW words apart, so what a document and its keeper share
+beyond a paragraph and its neighbours is less than that: the ends of removals are compared with the keeper word by word over
+WINDOW words, and removals reach as far as both agree. Of paragraphs that are similar but not equal, what lies before the
+first and after the last 5-gram that both have stays. Spans of neighbouring paragraphs with the same keeper become one. A
+row results for each document: doc_id, class_id (the smallest doc_id of the documents tied by removals), n_removed spans,
+removed_words, spans (start and end in characters of the whole text) and the text that is left.
 
 Defined cases: null text is empty; documents without repeats keep their text as it is, null as the empty string; a document
-all of whose words repeat is left empty; rows that repeat a doc_id are one document and are cut alike; rows with a null
-doc_id are returned as they are, with a null class_id; empty tables give empty results; texts are read whole.
+all of whose words repeat is left empty; rows that repeat a doc_id are one document, each is cut by its own words, and none
+for what another of them holds; rows with a null doc_id are returned as they are, with a null class_id; empty tables give
+empty results; texts are read whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import fewer, lean, mapped, mix64, only, saved, sieve, text_slices
+from .common import lean, mapped, mix64, saved, step, text_slices
 from .components import components
-from .ngram_join import Banding, classes_of, shingle_sets, similar_classes, sketch_slice
-from .shingles import _factors, shingle_hashes, word_hashes, words_of
+from .ngram_join import similar_classes
+from .shingles import _factors, band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
 #: Words of a paragraph at least, and starting points of which one begins a paragraph.
 LEAST, WINDOW = 24, 28
-#: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**3)**12 = 2e-4.
-LINES = Banding(12, 3, (12, 24, 36))
+#: (bands, values in each). Placed paragraphs of 20 shingles have similarities of 18/22, 19/21 and 1 from 0.8 on, which all
+#: bands miss with probabilities of 0.012, 0.001 and 0; at a similarity of exactly 0.8, lines are missed with one of 0.002.
+PLACED_BANDS, LINE_BANDS = (4, 2), (6, 2)
 
-_HIT = "doc_id long, first int, last int, keeper long, shift int"
-_EDGE = "doc_id long, keeper long, shift int, step int, start int, at int, kat int, level int, more boolean"
+_UNIT = "doc_id long, th long, first int, last int, k1 long, k2 long, bands array<long>"
 
 
 def _prefix(hashes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,20 +104,6 @@ def placed_paragraphs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     return text, at - first[text], last - first[text], out[0][new], out[1][new]
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, key, check) of every placed paragraph."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            for at, _, raw, offsets in text_slices(batch, "text"):
-                start, end, first = words_of(raw, offsets)
-                text, word, last, key, check = placed_paragraphs(word_hashes(raw, start, end), first)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(word.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "first", "last", "key", "check"])
-
-    return mapped(docs, run, "doc_id long, first int, last int, key long, check long", "placed-paragraphs")
-
-
 def line_words(raw: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, one past the last) of every line of LEAST words or more; words count from the start of the text."""
     line = np.searchsorted(np.flatnonzero(raw == 10), start)
@@ -124,162 +116,192 @@ def line_words(raw: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[n
     return text[a], a - first[text[a]], b - first[text[a]]
 
 
-def _cut_lines(raw: np.ndarray, offsets: np.ndarray):
-    """(text, first, last, bytes of the lines, their offsets) of the lines of several texts."""
+def cut_paragraphs(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """(text, first, last, k1, k2, number of bands, bands one after another) of the paragraphs of several texts."""
     start, end, first = words_of(raw, offsets)
-    text, a, b = line_words(raw, start, first)
-    if not len(text):
-        return text, a, b, raw[:0], np.zeros(1, np.int64)
-    begin, stop = start[first[text] + a], end[first[text] + b - 1]
-    cuts = np.concatenate([[0], np.cumsum(stop - begin)])
-    index = np.repeat(begin - cuts[:-1], stop - begin) + np.arange(cuts[-1])
-    return text, a, b, raw[index], cuts
+    hashes = word_hashes(raw, start, end)
+    text, word, last, k1, k2 = placed_paragraphs(hashes, first)
+    at = first[text] + word
+    # shingles at every word; placed paragraphs take those of their first LEAST words
+    grams, _ = shingle_hashes(hashes, np.array([0, len(hashes)]))
+    values = PLACED_BANDS[0] * PLACED_BANDS[1]
+    sig = np.empty((len(at), values), np.uint32)
+    if len(at):
+        seeds = mix64(np.arange(1, 2 * values + 1, dtype=np.uint64))
+        windows = at[:, None] + np.arange(LEAST - 4)[None, :]
+        with np.errstate(over="ignore"):
+            for k in range(values):
+                v = grams * (seeds[2 * k] | np.uint64(1)) + seeds[2 * k + 1]
+                sig[:, k] = v[windows].min(axis=1) >> np.uint64(32)
+    own, a, b = line_words(raw, start, first)
+    lengths = b - a
+    cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    words = np.repeat(first[own] + a - cuts[:-1], lengths) + np.arange(cuts[-1])
+    line_sig = signatures(*shingle_hashes(hashes[words], cuts), LINE_BANDS[0] * LINE_BANDS[1])
+    with np.errstate(over="ignore"):
+        keys = []
+        for seed in (11, 12):
+            total, down = _prefix(hashes, seed)
+            begin = first[own] + a
+            keys.append(mix64((total[begin + lengths] - total[begin]) * down[begin]) if len(own) else np.zeros(0, np.uint64))
+    bands = np.concatenate([band_hashes(sig, *PLACED_BANDS).ravel(), band_hashes(line_sig, *LINE_BANDS).ravel()])
+    counts = np.concatenate([np.full(len(at), PLACED_BANDS[0]), np.full(len(own), LINE_BANDS[0])])
+    both = [np.concatenate(x) for x in ((text, own), (word, a), (last, b), (k1, keys[0]), (k2, keys[1]))]
+    return [*both, counts, bands]
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, key, n, sig) of every line of LEAST words or more."""
-    values = LINES.bands * LINES.rows
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, first, last, k1, k2, bands) of every paragraph of (doc_id, th, text) rows; k1 and k2 name its words."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
             for at, _, raw, offsets in text_slices(batch, "text"):
-                text, a, b, own, cuts = _cut_lines(raw, offsets)
-                keys, sizes, sig = sketch_slice(own, cuts, values)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(text + at)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(sizes), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    ["doc_id", "first", "last", "key", "n", "sig"],
-                )
+                text, first, last, k1, k2, counts, bands = cut_paragraphs(raw, offsets)
+                of = pa.array(text + at)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(bands))
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _UNIT.split(", ")])
 
-    return docs.mapInArrow(run, "doc_id long, first int, last int, key binary, n int, sig binary")
+    return mapped(docs, run, _UNIT, "paragraphs")
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the lines (id, doc_id, first, last)."""
-    held = only(docs, wanted.select("doc_id").distinct(), "doc_id")
+def paragraph_sets(docs: DataFrame, units: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, size, sig, shingles) of one paragraph of each k1 among the ids."""
+    one = units.join(ids.withColumnRenamed("id", "k1"), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("u"))
+    places = one.groupBy("u.doc_id", "u.th").agg(F.collect_list(F.struct("k1", "u.first", "u.last")).alias("places"))  # of one document
 
     def run(batches):
         for batch in batches:
-            texts, ids, doc_ids, firsts = [], [], [], []
-            for at, _, raw, offsets in text_slices(batch, "text"):
-                text, a, _, own, cuts = _cut_lines(raw, offsets)
-                data = own.tobytes()
-                texts += [data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                doc_ids.append(batch.column(0).take(pa.array(text + at)))
-                firsts.append(a.astype(np.int32))
-            del ids
-            if doc_ids:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids), pa.array(np.concatenate(firsts)), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "first", "text"])
-
-    return held.mapInArrow(run, "doc_id long, first int, text string").join(wanted, ["doc_id", "first"]).select("id", "text").dropDuplicates(["id"])
+            places = batch.column(2)
+            for row, n, raw, offsets in text_slices(batch, "text"):
+                start, end, first = words_of(raw, offsets)
+                hashes = word_hashes(raw, start, end)
+                own = places.slice(row, n)
+                text = np.repeat(np.arange(n), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
+                k1, a, b = (x.to_numpy() for x in own.flatten().flatten())
+                lengths = (b - a).astype(np.int64)
+                cuts = np.concatenate([[0], np.cumsum(lengths)])
+                words = np.repeat(first[text] + a - cuts[:-1], lengths) + np.arange(cuts[-1])
+                sets = distinct(*shingle_hashes(hashes[words], cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+
+    found = docs.join(places, ["doc_id", "th"]).select("doc_id", "text", "places").mapInArrow(run, "id long, shingles binary")
+    return found.groupBy("id").agg(F.first("shingles").alias("shingles")).select("id", F.lit(1).cast("long").alias("size"), F.lit(None).cast("binary").alias("sig"), "shingles")
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, first, last, keeper, kth, kfirst, klast, equal): paragraphs of a cluster that an earlier document keeps, and
+    where: an equal one, or else its first of the cluster."""
+    spark = docs.sparkSession
+    with step(spark):
+        with step(spark):
+            units = paragraphs(docs)
+            rows = units.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
+            near = similar_classes(rows, lambda ids: paragraph_sets(docs, units, ids))
+            equal = units.groupBy("k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("k1", F.lit(None).cast("long").alias("label"))
+            marks = equal.unionByName(near.select(F.col("id").alias("k1"), "label")).groupBy("k1").agg(F.max("label").alias("label"))
+            # without links to others, both hashes make a cluster
+            cluster = [F.coalesce("label", "k1").alias("cluster"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("sub")]
+            held = saved(units.drop("bands").join(marks, "k1").select("doc_id", "th", "first", "last", "k1", *cluster), "clustered-paragraphs", keep=True)
+        keepers = held.groupBy("cluster", "sub").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
+        keepers = keepers.select("cluster", "sub", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("kth"), F.col("k.first").alias("kfirst"), F.col("k.last").alias("klast"))
+        rows = saved(held.join(keepers, ["cluster", "sub"]), "kept-paragraphs")
+        same = rows.filter("doc_id = keeper AND th = kth").groupBy("cluster", "sub", "k1").agg(F.min("first").alias("efirst"), F.max("last").alias("elast"))
+        found = rows.filter("doc_id > keeper").join(same, ["cluster", "sub", "k1"], "left")
+        places = [F.coalesce("efirst", "kfirst").alias("kfirst"), F.coalesce("elast", "klast").alias("klast"), F.col("efirst").isNotNull().alias("equal")]
+        return saved(found.select("doc_id", "th", "first", "last", "keeper", "kth", *places), "repeated-paragraphs", keep=True)
 
 
 def _words_beside(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id, step, at, level, words): hashes of at most WINDOW blocks of WINDOW ** level words from each asked place on, or before it, nearest first."""
-    lists = saved(asked.groupBy("doc_id").agg(F.collect_set(F.struct("step", "at", "level")).alias("places")), "places")
+    """(doc_id, th, side, at, n, words): 32-bit hashes of at most n words from each asked place on, or before it, nearest first."""
+    places = asked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("side", "at", "n")).alias("places"))  # of one document
 
     def run(batches):
         for batch in batches:
-            places = batch.column(2)
+            places = batch.column(3)
             for row, n, raw, offsets in text_slices(batch, "text"):
                 start, end, first = words_of(raw, offsets)
-                hashes = word_hashes(raw, start, end)
-                with np.errstate(over="ignore"):
-                    total, down = _prefix(hashes, 13)
+                hashes = (word_hashes(raw, start, end) >> np.uint64(32)).astype(np.uint32)
                 own = places.slice(row, n)
                 text = np.repeat(np.arange(n), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
-                step, at, level = (x.to_numpy() for x in own.flatten().flatten())
-                size, length = WINDOW ** level.astype(np.int64), np.diff(first)[text]
-                room = np.where(step > 0, np.maximum(length - at, 0), np.where(at <= length, at, 0))
-                blocks = np.minimum(room // size, WINDOW)
-                bounds = np.concatenate([[0], np.cumsum(blocks)])
-                k = np.arange(bounds[-1]) - np.repeat(bounds[:-1], blocks)
-                base, size, step_ = np.repeat(first[:-1][text] + at, blocks), np.repeat(size, blocks), np.repeat(step, blocks)
-                begin = base + np.where(step_ > 0, k, -1 - k) * size
-                with np.errstate(over="ignore"):
-                    words = mix64((total[begin + size] - total[begin]) * down[begin])
-                held = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(words)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + row)), pa.array(step), pa.array(at), pa.array(level), held], ["doc_id", "step", "at", "level", "words"])
-
-    held = docs.filter(sieve(lists.select("doc_id"), "doc_id")("doc_id")).join(lists, "doc_id").select("doc_id", "text", "places")
-    return mapped(held, run, "doc_id long, step int, at int, level int, words binary", "words-beside")
-
-
-def _followed(batches):
-    """Edges moved over their equal blocks, to be compared in larger ones after as many as were asked for, or else in smaller ones."""
+                side, at, most = (x.to_numpy() for x in own.flatten().flatten())
+                length = np.diff(first)[text]
+                counts = np.clip(np.where(side > 0, length - at, at), 0, most)
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                k = np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts)
+                words = hashes[np.repeat(first[text] + at, counts) + np.where(np.repeat(side, counts) > 0, k, -1 - k)]
+                held = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(words)])
+                of = pa.array(text + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(side), pa.array(at), pa.array(most), held], ["doc_id", "th", "side", "at", "n", "words"])
+
+    held = docs.join(places, ["doc_id", "th"]).select("doc_id", "th", "text", "places")
+    return mapped(held, run, "doc_id long, th long, side int, at int, n int, words binary", "words-beside")
+
+
+_SPAN = "doc_id long, th long, first int, last int, keeper long, shift int"
+
+
+def agreement(words: np.ndarray, kept: np.ndarray) -> tuple[int, int, int]:
+    """(first, last, first place in the keeper's) of the words from the first to the last 5-gram that both have; all if none is."""
+    own, theirs = (np.lib.stride_tricks.sliding_window_view(x, 5) if len(x) >= 5 else np.zeros((0, 5), np.uint32) for x in (words, kept))
+    place = {g.tobytes(): j for j, g in reversed(list(enumerate(theirs)))}
+    found = [i for i, g in enumerate(own) if g.tobytes() in place]
+    return (found[0], found[-1] + 5, place[own[found[0]].tobytes()]) if found else (0, len(words), 0)
+
+
+def _agreeing(batches):
+    """Spans of the words that the document and its keeper share: beside ends, or within similar paragraphs."""
     for batch in batches:
-        equal = []
-        for x, y in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True):
-            n = min(len(x), len(y)) // 8
-            differ = np.flatnonzero(np.frombuffer(x, np.uint64, n) != np.frombuffer(y, np.uint64, n))
-            equal.append(int(differ[0]) if len(differ) else n)
-        same = np.array(equal, np.int64)
-        shift, step, at, level = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
-        moved = at + same * WINDOW ** level.astype(np.int64) * step
-        all_ = same == WINDOW
-        out = [pa.array(moved.astype(np.int32)), pa.array((moved - shift).astype(np.int32)), pa.array(np.where(all_, level + 1, level - 1).astype(np.int32)), pa.array(all_ | (level > 0))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *out], ["doc_id", "keeper", "shift", "step", "start", "at", "kat", "level", "more"])
-
-
-def extensions(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, first, last, keeper, shift): the words beside hits up to where the document and its keeper differ.
-
-    `hits` are of equal words, at the distance `shift` at their start and `ahead` at their end (a paragraph may recur in its keeper). Ends
-    that meet another hit of the same kind are left out. Each round compares WINDOW hashes for each end, first of words, then of
-    blocks that grow while all are equal and shrink again to where they differ, so a run of any length costs few bytes.
-    """
-    chain = Window.partitionBy("doc_id", "keeper", "shift").orderBy("first", "last")
-    ends = hits.select("*", F.lag("last").over(chain).alias("before"), F.lag("ahead").over(chain).alias("turn"), F.lead("first").over(chain).alias("after"))
-    left = ends.filter("before IS NULL OR before < first OR turn <> shift").select("doc_id", "keeper", "shift", F.lit(-1).alias("step"), F.col("first").alias("start"))
-    right = ends.filter("after IS NULL OR after > last OR ahead <> shift").select("doc_id", "keeper", F.col("ahead").alias("shift"), F.lit(1).alias("step"), F.col("last").alias("start"))
-    edges = left.unionByName(right).distinct()
-    edges = saved(edges.select("*", F.col("start").alias("at"), (F.col("start") - F.col("shift")).alias("kat"), F.lit(0).alias("level")), "edges")
-    parts = []
-    while not edges.isEmpty():
-        asked = edges.select("doc_id", "step", "at", "level").unionByName(edges.select(F.col("keeper").alias("doc_id"), "step", F.col("kat").alias("at"), "level"))
-        words = _words_beside(docs, asked)
-        theirs = words.select(F.col("doc_id").alias("keeper"), "step", F.col("at").alias("kat"), "level", F.col("words").alias("kept"))
-        both = edges.join(words, ["doc_id", "step", "at", "level"]).join(theirs, ["keeper", "step", "kat", "level"])
-        found = both.select("doc_id", "keeper", "shift", "step", "start", "at", "level", "words", "kept").mapInArrow(_followed, _EDGE)
-        far = F.max(F.struct(F.abs(F.col("at") - F.col("start")), "at", "kat", "level", "more")).alias("far")  # rows may repeat a doc_id
-        found = found.groupBy("doc_id", "keeper", "shift", "step", "start").agg(far)
-        found = saved(found.select("doc_id", "keeper", "shift", "step", "start", "far.at", "far.kat", "far.level", "far.more"), "followed")
-        parts.append(found.filter("NOT more"))
-        edges = saved(found.filter("more").drop("more"), "edges")
-    out = hits.sparkSession.createDataFrame([], _EDGE)
-    for part in parts:
-        out = out.unionByName(part)
-    return out.filter("at <> start").select("doc_id", F.least("start", "at").alias("first"), F.greatest("start", "at").alias("last"), "keeper", "shift")
+        out = [[] for _ in range(3)]
+        for side, at, kat, within, x, y in zip(*(batch.column(k).to_pylist() for k in range(3, 9)), strict=True):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            if within:
+                a, b, k = agreement(x, y)
+                span = at + a, at + b, at + a - kat - k
+            else:
+                n = min(len(x), len(y))
+                differ = np.flatnonzero(x[:n] != y[:n])
+                n = int(differ[0]) if len(differ) else n
+                span = (at, at + n, at - kat) if side > 0 else (at - n, at, at - kat)
+            for c, v in zip(out, span, strict=True):
+                c.append(v)
+        a, b, shift = (np.array(c, np.int32) for c in out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a), pa.array(b), batch.column(2), pa.array(shift)], [c.split()[0] for c in _SPAN.split(", ")]).filter(pa.array(a < b))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, keeper, shift): words to remove, the document that keeps them, and where they are there."""
-    found = placed(fewer(docs))
-    least = found.groupBy("key").agg(F.min(F.struct("doc_id", "check", "first")).alias("k"), F.min(F.struct("doc_id", "check", -F.col("last"))).alias("e"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
-    least = least.select("key", F.col("k.doc_id").alias("keeper"), F.col("k.check").alias("kcheck"), F.col("k.first").alias("kfirst"), (-F.col("e.col3")).alias("klast"))
-    least = saved(least, "repeated-paragraphs")
-    exact = found.filter(sieve(least.select("key"), "key")("key")).join(least, "key").filter("doc_id > keeper AND check = kcheck")
-    exact = exact.select("doc_id", "first", "last", "keeper", (F.col("first") - F.col("kfirst")).alias("shift"), (F.col("last") - F.col("klast")).alias("ahead"))
-    exact = saved(exact, "repeated-hits")
-    exact = exact.drop("ahead").unionByName(extensions(docs, exact))
-
-    rows = saved(lines(fewer(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
-    classes = saved(classes_of(rows.select("id", "key", "n", "sig")), "line-classes")
-    wanted = rows.select("id", "doc_id", "first")
-    near = similar_classes(classes, lambda ids: shingle_sets(_line_texts(docs, saved(wanted.join(ids, "id"), "wanted-lines"))), LINES)
-    # copies of a line are one class, tied to others or not
-    tied = classes.join(near.select("id", "label"), "id", "left").filter("label IS NOT NULL OR size > 1").select("key", F.coalesce("label", "id").alias("label"))
-    held = saved(rows.select("doc_id", "first", "last", "key").join(tied, "key").drop("key"), "clustered-lines")
-    keepers = held.groupBy("label").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("top")).filter("keeper < top").drop("top")
-    similar = held.join(keepers, "label").filter("doc_id > keeper").select("doc_id", "first", "last", "keeper", F.lit(None).cast("int").alias("shift"))
-    return exact.unionByName(similar)
-
-
-def merged(spans: list[tuple[int, int, int, int | None]]) -> list[tuple[int, int]]:
+    """(doc_id, th, first, last, keeper, shift): words to remove, the document that keeps them, and how far off they are there.
+
+    A paragraph may recur in its keeper: its start is compared with the first place there, its end with the last. Ends that
+    meet another removal of the same keeper at the same distance need no comparison. Of a paragraph that is similar to its
+    keeper's but not equal, all from the first to the last 5-gram that both have goes.
+    """
+    spark = docs.sparkSession
+    with step(spark):
+        every = repeated_paragraphs(docs)
+        hits = every.filter("equal").select("*", (F.col("first") - F.col("kfirst")).alias("shift"), (F.col("last") - F.col("klast")).alias("ahead"))
+        chain = Window.partitionBy("doc_id", "th", "keeper", "kth", "shift").orderBy("first", "last")
+        ends = hits.select("*", F.lag("last").over(chain).alias("before"), F.lag("ahead").over(chain).alias("turn"), F.lead("first").over(chain).alias("after"))
+        name, most = ["doc_id", "th", "keeper", "kth"], [F.lit(WINDOW).alias("n"), F.lit(WINDOW).alias("kn"), F.lit(False).alias("within")]
+        left = ends.filter("before IS NULL OR before < first OR turn <> shift").select(*name, F.lit(-1).alias("side"), F.col("first").alias("at"), (F.col("first") - F.col("shift")).alias("kat"), *most)
+        right = ends.filter("after IS NULL OR after > last OR ahead <> shift").select(*name, F.lit(1).alias("side"), F.col("last").alias("at"), (F.col("last") - F.col("ahead")).alias("kat"), *most)
+        similar = every.filter("NOT equal").select(*name, F.lit(1).alias("side"), F.col("first").alias("at"), F.col("kfirst").alias("kat"), (F.col("last") - F.col("first")).alias("n"), (F.col("klast") - F.col("kfirst")).alias("kn"), F.lit(True).alias("within"))
+        edges = saved(left.unionByName(right).unionByName(similar).distinct(), "compared-places")
+        with step(spark):
+            asked = edges.select("doc_id", "th", "side", "at", "n").unionByName(edges.select(F.col("keeper").alias("doc_id"), F.col("kth").alias("th"), "side", F.col("kat").alias("at"), F.col("kn").alias("n")))
+            words = _words_beside(docs, asked)
+            theirs = words.select(F.col("doc_id").alias("keeper"), F.col("th").alias("kth"), "side", F.col("at").alias("kat"), F.col("n").alias("kn"), F.col("words").alias("kept"))
+            both = edges.join(words, ["doc_id", "th", "side", "at", "n"]).join(theirs, ["keeper", "kth", "side", "kat", "kn"])
+            found = mapped(both.select("doc_id", "th", "keeper", "side", "at", "kat", "within", "words", "kept"), _agreeing, _SPAN, "agreeing-words", keep=True)
+        own = hits.select("doc_id", "th", "first", "last", "keeper", "shift")
+        return saved(own.unionByName(found), "removals", keep=True)
+
+
+def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     """Spans of (first, last, keeper, shift) as disjoint ones; gaps that two windows leave between them are closed."""
     out: list[list] = []
     for first, last, keeper, shift in sorted(spans, key=lambda s: (s[0], s[1])):
-        if out and (first <= out[-1][1] or (shift is not None and [keeper, shift] == out[-1][2:] and first - out[-1][1] <= WINDOW - LEAST)):
+        if out and (first <= out[-1][1] or ([keeper, shift] == out[-1][2:] and first - out[-1][1] <= WINDOW - LEAST)):
             if last >= out[-1][1]:
                 out[-1][1:] = last, keeper, shift
         else:
@@ -308,36 +330,59 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
 _OUT = "doc_id long, class_id long, n_removed int, removed_words long, spans array<struct<start: int, end: int>>, text string"
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """`docs` with a hash of their texts beside the doc_id, since rows may repeat that."""
+    return docs.withColumn("__th", F.xxhash64("text"))
+
+
+def document_removals(docs: DataFrame) -> DataFrame:
+    """(__id, __own) of every document that loses words, of rows (doc_id, __th, text): the removals of each of its texts."""
+    with step(docs.sparkSession):
+        hits = removals(docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("__th").alias("th"), "text"))
+        own = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "keeper", "shift")).alias("hits"))  # of one document
+        own = own.groupBy("doc_id").agg(F.collect_list(F.struct("th", "hits")).alias("__own"))
+        return saved(own.select(F.col("doc_id").alias("__id"), "__own"), "document-removals", keep=True)
+
+
+def _beside(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents with what is known of their doc_id, and the removals of their own text as `__hits`."""
+    held = docs.join(known.hint("shuffle_hash"), docs["doc_id"] == known["__id"], "left")
+    return held.withColumn("__hits", F.get(F.filter("__own", lambda o: o["th"] == F.col("__th")), F.lit(0))["hits"])
+
+
+def _spans(hits) -> list[tuple[int, int]]:
+    return merged([(s["first"], s["last"], s["keeper"], s["shift"]) for s in hits])
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each document."""
-    rows = lean(docs, "doc_id", "text")
-    hits = saved(removals(rows.filter("doc_id IS NOT NULL")), "removals")
-    labels = components(hits.select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")).distinct())
-    own = hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "keeper", "shift")).alias("hits"))  # of one document
-    known = saved(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("class_id")).join(own, "doc_id", "left"), "document-removals")
+    rows = _hashed(lean(docs, "doc_id", "text"))
+    with step(spark):
+        hits = document_removals(rows)
+        ties = hits.select(F.col("__id").alias("a"), F.explode(F.flatten(F.transform("__own", lambda o: o["hits"]))).alias("h")).select("a", F.col("h.keeper").alias("b")).distinct()
+        labels = components(ties).select(F.col("node").alias("__id"), F.col("label").alias("class_id"))
+        known = saved(labels.join(hits, "__id", "left"), "tied-documents", keep=True)
 
     def run(batches):
         for batch in batches:
             cols = [[] for _ in range(6)]
-            for doc_id, text, label, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                left, found, words = cut(text or "", merged([(s["first"], s["last"], s["keeper"], s["shift"]) for s in spans])) if spans else (text or "", [], 0)
+            for doc_id, text, label, hits in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                left, found, words = cut(text or "", _spans(hits)) if hits else (text or "", [], 0)
                 for c, v in zip(cols, (doc_id, doc_id if label is None else label, len(found), words, [{"start": a, "end": b} for a, b in found], left), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "class_id", "n_removed", "removed_words", "spans", "text"])
 
-    maybe = sieve(known.select("doc_id"), "doc_id")("doc_id") & F.col("doc_id").isNotNull()
-    touched = rows.filter(maybe).join(known, "doc_id", "left").select("doc_id", "text", "class_id", "hits").mapInArrow(run, _OUT)
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    clean = rows.filter(~maybe).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("removed_words"), none.alias("spans"), F.coalesce("text", F.lit("")).alias("text"))
-    return touched.unionByName(clean)
+    return _beside(rows, known).select("doc_id", "text", "class_id", "__hits").mapInArrow(run, _OUT)
+
+
+@F.pandas_udf(StringType())
+def _left(texts: pd.Series, hits: pd.Series) -> pd.Series:
+    return pd.Series([t if h is None else cut(t, _spans(h))[0] for t, h in zip(texts, hits, strict=True)], dtype=object)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with all their columns and the texts that are left; documents left without words go."""
-    found = substring_dedup(spark, docs)
-    changed = saved(found.filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"]), "cut-texts")
-    maybe = sieve(changed.select("__id"), "__id")("doc_id") & F.col("doc_id").isNotNull()
-    touched = docs.filter(maybe).join(changed, docs["doc_id"] == F.col("__id"), "left")
-    touched = touched.filter("__text IS NULL OR __text <> ''").withColumn("text", F.coalesce("__text", "text")).select(*docs.columns)
-    return touched.unionByName(docs.filter(~maybe))
+    rows = _hashed(docs)
+    found = _beside(rows, document_removals(rows.select("doc_id", "__th", "text"))).withColumn("text", _left("text", "__hits"))
+    return found.filter(F.col("__hits").isNull() | (F.col("text") != "")).select(*docs.columns)
