@@ -139,7 +139,7 @@ def test_one_row_of_each_class_stays_where_ids_repeat_or_are_null(spark):
 def test_groups_tied_by_chains_of_buckets_meet_in_buckets_alone(spark):
     edges = [(b, i, 1) for b in range(50) for i in (b, b + 1)]  # a path: every bucket ties two
     dense = [(100 + b, 1000 + i, 1) for b in range(24) for i in range(8) if i != b]  # a group whose members meet again and again
-    got = {r["id"]: [(g["group"], g["m"]) for g in r["own"]] for r in ngram_join.candidate_groups(spark.createDataFrame([*edges, *dense], "bucket long, id long, n int")).collect()}
+    got = {r["id"]: [(g["group"], g["m"]) for g in r["own"]] for r in ngram_join.candidate_groups(ngram_join.shared_members(spark.createDataFrame([*edges, *dense, *dense], "bucket long, id long, n int"))).collect()}
     assert all(m == 2 for i in range(51) for _, m in got[i]) and {len(got[i]) for i in range(1, 50)} == {2}
     assert {tuple(got[1000 + i]) for i in range(8)} == {((1000, 8),)}
 

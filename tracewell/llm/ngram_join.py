@@ -141,19 +141,25 @@ def bucket_rows(classes: DataFrame, banding: Banding) -> DataFrame:
     return mapped(classes.filter("n > 0").select("id", "n", "sig"), run, "bucket long, id long, n int", "bands")
 
 
-def candidate_groups(rows: DataFrame) -> DataFrame:
-    """(id, own): the groups (group, m members, n shingles) in which each id of (bucket, id, n) rows meets others; rows may repeat."""
+def shared_members(rows: DataFrame) -> DataFrame:
+    """(bucket, id, n, least): the different ids of (bucket, id, n) rows in buckets that hold several, and the smallest there; rows may repeat."""
     with step(rows.sparkSession):
-        least = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).filter("least < top").select("bucket", "least")
-        least = saved(least, "shared-buckets", keep=True)
-    with step(rows.sparkSession):
-        members = saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members")
-        mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
-        buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), mark(1).alias("x"), mark(2).alias("y"))
-        once = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight")).select("bucket", "m", "weight")
-        of = members.join(once, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct(F.col("bucket").alias("group"), "m", F.col("weight").alias("n"))).alias("own"))  # one for each band at most
+        with step(rows.sparkSession):
+            least = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).filter("least < top").select("bucket", "least")
+            least = saved(least, "shared-buckets", keep=True)
+        return saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members", keep=True)
+
+
+def candidate_groups(members: DataFrame) -> DataFrame:
+    """(id, own): the groups (group, m members, n shingles) in which each id of (bucket, id, n, least) rows meets others."""
+    with step(members.sparkSession):
         tied = components(members.select(F.col("id").alias("a"), F.col("least").alias("b")))
-        of = saved(of.join(tied.withColumnRenamed("node", "id"), "id"), "tied-classes")
+        with step(members.sparkSession):
+            mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+            buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), mark(1).alias("x"), mark(2).alias("y"))
+            once = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight")).select("bucket", "m", "weight")
+            of = members.join(once, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct(F.col("bucket").alias("group"), "m", F.col("weight").alias("n"))).alias("own"))  # one for each band at most
+            of = saved(of.join(tied.withColumnRenamed("node", "id"), "id"), "tied-classes", keep=True)
         met = F.aggregate("own", F.lit(0).cast("long"), lambda total, g: total + g["m"])
         sizes = of.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), F.sum(met).alias("met"))
         whole = F.array(F.struct(F.col("label").alias("group"), "m", F.col("weight").alias("n")).cast(_GROUP))
@@ -223,7 +229,7 @@ def _met_before(group: int, a: list[np.ndarray], b: list[np.ndarray] | None) ->
     return held[: len(a)] @ (held if b is None else held[len(a) :]).T > 0
 
 
-def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
+def _links(part: pd.DataFrame, stages: tuple[int, ...], word: str) -> pd.DataFrame:
     """Links and local component of the classes of one task: whole groups, or two blocks of a large one."""
     out = []
     for group, rows in part.groupby("group", sort=False):
@@ -235,7 +241,7 @@ def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
         halves = [x for x in (a, b) if x is not None]
         ids, weight = (np.concatenate([x[c] for x in halves]) for c in ("id", "size"))
         sig = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) if stages else np.zeros((len(x), 0), np.uint32) for x in halves]
-        sets = [[np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in halves]
+        sets = [[np.frombuffer(s, word) for s in x["shingles"]] for x in halves]
         i, j = compare(sig[0], sig[1] if b is not None else None, stages)
         met = _met_before(group, *[[np.asarray(g) for g in x["groups"]] for x in halves], *[None] * (b is None))
         if met is not None:
@@ -253,14 +259,14 @@ def _links(part: pd.DataFrame, stages: tuple[int, ...]) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def similar_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = ()) -> DataFrame:
-    """(id, links, label) of the classes with links to others, given (bucket, id, n) rows.
+def similar_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = (), word: str = "<u8") -> DataFrame:
+    """(id, links, label) of the classes with links to others, given their shared buckets (bucket, id, n, least).
 
-    `fetch` gives (id, size, sig, shingles) of (id) rows; without stages every pair of a group is verified and `sig` plays
-    no part. `links` counts rows of other classes; `label` is the smallest id of the component of links.
+    `fetch` gives a table (id, size, sig, shingles) of (id) rows, shingles being of the type `word`; without stages every
+    pair of a group is verified and `sig` plays no part. `links` counts rows of other classes; `label` is the smallest id of the component of links.
     """
-    with step(rows.sparkSession):
-        groups = candidate_groups(rows)
+    with step(members.sparkSession):
+        groups = candidate_groups(members)
         n, weight = groups.agg(F.count(F.lit(1)), F.sum(F.element_at("own", 1)["n"] / F.element_at("own", 1)["m"])).first()
         tasks = max(1, -(-n // TASK), int((weight or 0) // TASK_SHINGLES))
         held = groups.join(fetch(groups.select("id")), "id").withColumn("groups", F.transform("own", lambda g: g["group"])).withColumn("own", F.explode("own"))
@@ -270,8 +276,9 @@ def similar_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], st
         pairs = F.transform(numbers, lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
         held = held.withColumn("pair", F.explode(pairs)).select("id", "group", "groups", "blocks", "block", "size", "sig", "shingles", "pair.left", "pair.right")
         task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(F.xxhash64("group", "left", "right"))
-        kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(lambda part: _links(part, stages), "id long, links long, root long")
-        kept = saved(kept, "links")
+        kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(lambda part: _links(part, stages, word), "id long, links long, root long")
+        with step(members.sparkSession):
+            kept = saved(kept, "links", keep=True)
         labels = components(kept.select(F.col("id").alias("a"), F.col("root").alias("b")))
         total = kept.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
         found = total.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "links", F.coalesce("label", "id").alias("label"))
@@ -292,7 +299,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             sets = shingle_sets(texts).groupBy("id").agg(F.first("shingles").alias("shingles"))
             return wanted.drop("least").join(sets, "id")
 
-        found = similar_classes(bucket_rows(classes, DOCUMENTS), fetch, DOCUMENTS.stages)
+        found = similar_classes(shared_members(bucket_rows(classes, DOCUMENTS)), fetch, DOCUMENTS.stages)
         of = classes.select("key", "id", "size", "least").join(found, "id", "left").select("key", "size", "least", F.coalesce("label", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
         names = of.groupBy("label").agg(F.min("least").alias("class_id"))
         known = saved(of.join(names, "label").select("key", "label", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links")), "near-classes", keep=True)

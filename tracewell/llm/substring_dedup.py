@@ -33,14 +33,17 @@ from pyspark.sql.types import StringType
 
 from .common import lean, mapped, mix64, saved, step, text_slices
 from .components import components
-from .ngram_join import similar_classes
+from .ngram_join import shared_members, similar_classes
 from .shingles import _factors, band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
 
 #: Words of a paragraph at least, and starting points of which one begins a paragraph.
 LEAST, WINDOW = 24, 28
-#: (bands, values in each). Placed paragraphs of 20 shingles have similarities of 18/22, 19/21 and 1 from 0.8 on, which all
-#: bands miss with probabilities of 0.012, 0.001 and 0; at a similarity of exactly 0.8, lines are missed with one of 0.002.
-PLACED_BANDS, LINE_BANDS = (4, 2), (6, 2)
+#: (bands, values in each). Lines at a similarity of exactly 0.8 miss all bands with a probability of 0.013. Placed paragraphs
+#: have 20 shingles, so one changed word leaves 0.6 or less but for the two at either end: similarities from 0.8 on are 18/22,
+#: 19/21 and 1, which miss with probabilities of 0.17, 0.04 and 0. Runs that two documents share give several equal ones.
+PLACED_BANDS, LINE_BANDS = (3, 4), (6, 3)
+#: Bands that are joined at once, one group after another, so that the disk holds the shuffles of few bands.
+ROUNDS = ((0,), (1,), (2,), (3, 4, 5))
 
 _UNIT = "doc_id long, th long, first int, last int, k1 long, k2 long, bands array<long>"
 
@@ -165,28 +168,56 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return mapped(docs, run, _UNIT, "paragraphs")
 
 
-def paragraph_sets(docs: DataFrame, units: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, size, sig, shingles) of one paragraph of each k1 among the ids."""
-    one = units.join(ids.withColumnRenamed("id", "k1"), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("u"))
-    places = one.groupBy("u.doc_id", "u.th").agg(F.collect_list(F.struct("k1", "u.first", "u.last")).alias("places"))  # of one document
-
-    def run(batches):
-        for batch in batches:
-            places = batch.column(2)
-            for row, n, raw, offsets in text_slices(batch, "text"):
-                start, end, first = words_of(raw, offsets)
-                hashes = word_hashes(raw, start, end)
-                own = places.slice(row, n)
-                text = np.repeat(np.arange(n), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
-                k1, a, b = (x.to_numpy() for x in own.flatten().flatten())
-                lengths = (b - a).astype(np.int64)
-                cuts = np.concatenate([[0], np.cumsum(lengths)])
-                words = np.repeat(first[text] + a - cuts[:-1], lengths) + np.arange(cuts[-1])
-                sets = distinct(*shingle_hashes(hashes[words], cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
-
-    found = docs.join(places, ["doc_id", "th"]).select("doc_id", "text", "places").mapInArrow(run, "id long, shingles binary")
-    return found.groupBy("id").agg(F.first("shingles").alias("shingles")).select("id", F.lit(1).cast("long").alias("size"), F.lit(None).cast("binary").alias("sig"), "shingles")
+def paragraph_sets(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, size, sig, shingles) of one paragraph of each k1 among the ids; shingles are 32 bits of their hashes."""
+    with step(docs.sparkSession):
+        with step(docs.sparkSession):
+            one = found.join(ids.withColumnRenamed("id", "k1"), "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("u"))
+            places = one.groupBy("u.doc_id", "u.th").agg(F.collect_list(F.struct("k1", "u.first", "u.last")).alias("places"))  # of one document
+            places = saved(places, "asked-paragraphs", keep=True)
+
+        def run(batches):
+            for batch in batches:
+                places = batch.column(1)
+                for row, n, raw, offsets in text_slices(batch, "text"):
+                    start, end, first = words_of(raw, offsets)
+                    hashes = word_hashes(raw, start, end)
+                    own = places.slice(row, n)
+                    text = np.repeat(np.arange(n), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False))
+                    k1, a, b = (x.to_numpy() for x in own.flatten().flatten())
+                    lengths = (b - a).astype(np.int64)
+                    cuts = np.concatenate([[0], np.cumsum(lengths)])
+                    words = np.repeat(first[text] + a - cuts[:-1], lengths) + np.arange(cuts[-1])
+                    grams, bounds = shingle_hashes(hashes[words], cuts)
+                    sets = distinct((grams >> np.uint64(32)).astype("<u4"), bounds)
+                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+
+        held = docs.join(places, ["doc_id", "th"]).select("text", "places")
+        sets = mapped(held, run, "id long, shingles binary", "paragraph-sets", keep=True)
+    # rows that repeat a document repeat its paragraphs
+    return sets.dropDuplicates(["id"]).select("id", F.lit(1).cast("long").alias("size"), F.lit(None).cast("binary").alias("sig"), "shingles")
+
+
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, id, n, least) of paragraphs in buckets of several different ones, and (doc_id, th, first, last, k1, k2) of all
+    that are among these or lie in several documents."""
+    spark = docs.sparkSession
+    with step(spark):
+        units = paragraphs(docs)
+        members = []
+        for bands in ROUNDS:
+            at = F.filter(F.transform(F.array(*map(F.lit, bands)), lambda k: F.get("bands", k)), lambda b: b.isNotNull())
+            rows = units.select(F.explode(at).alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
+            members.append(shared_members(rows))
+        every = members[0]
+        for m in members[1:]:
+            every = every.unionByName(m)
+        members = saved(every, "paragraph-buckets", keep=True)
+        with step(spark):
+            equal = units.groupBy("k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("k1")
+            wanted = saved(equal.unionByName(members.select(F.col("id").alias("k1"))).distinct(), "wanted-paragraphs", keep=True)
+        found = saved(units.select("doc_id", "th", "first", "last", "k1", "k2").join(wanted, "k1"), "candidate-paragraphs", keep=True)
+        return members, found
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -194,18 +225,17 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     where: an equal one, or else its first of the cluster."""
     spark = docs.sparkSession
     with step(spark):
+        members, units = candidates(docs)
+        near = similar_classes(members, lambda ids: paragraph_sets(docs, units, ids), word="<u4")
         with step(spark):
-            units = paragraphs(docs)
-            rows = units.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
-            near = similar_classes(rows, lambda ids: paragraph_sets(docs, units, ids))
-            equal = units.groupBy("k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("k1", F.lit(None).cast("long").alias("label"))
-            marks = equal.unionByName(near.select(F.col("id").alias("k1"), "label")).groupBy("k1").agg(F.max("label").alias("label"))
             # without links to others, both hashes make a cluster
             cluster = [F.coalesce("label", "k1").alias("cluster"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("sub")]
-            held = saved(units.drop("bands").join(marks, "k1").select("doc_id", "th", "first", "last", "k1", *cluster), "clustered-paragraphs", keep=True)
-        keepers = held.groupBy("cluster", "sub").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
-        keepers = keepers.select("cluster", "sub", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("kth"), F.col("k.first").alias("kfirst"), F.col("k.last").alias("klast"))
-        rows = saved(held.join(keepers, ["cluster", "sub"]), "kept-paragraphs")
+            held = units.join(near.select(F.col("id").alias("k1"), "label"), "k1", "left").select("doc_id", "th", "first", "last", "k1", *cluster)
+            held = saved(held, "clustered-paragraphs", keep=True)
+        with step(spark):
+            keepers = held.groupBy("cluster", "sub").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("k"), F.max("doc_id").alias("top")).filter("k.doc_id < top")
+            keepers = keepers.select("cluster", "sub", F.col("k.doc_id").alias("keeper"), F.col("k.th").alias("kth"), F.col("k.first").alias("kfirst"), F.col("k.last").alias("klast"))
+            rows = saved(held.join(keepers, ["cluster", "sub"]), "kept-paragraphs", keep=True)
         same = rows.filter("doc_id = keeper AND th = kth").groupBy("cluster", "sub", "k1").agg(F.min("first").alias("efirst"), F.max("last").alias("elast"))
         found = rows.filter("doc_id > keeper").join(same, ["cluster", "sub", "k1"], "left")
         places = [F.coalesce("efirst", "kfirst").alias("kfirst"), F.coalesce("elast", "klast").alias("klast"), F.col("efirst").isNotNull().alias("equal")]
