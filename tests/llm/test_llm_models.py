@@ -1,5 +1,7 @@
 """Classifiers on held-out labels, search against brute force, and page extraction."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -128,6 +130,43 @@ def test_main_text(spark):
     assert html_extract.extract(spark, df.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>What it is about</h1>" + "".join(f"<p>This is the {n} part of the text and it is as long as it has to be for what is in it.</p>" for n in ("first", "second", "third"))
+LINES = html_extract.main_text(f"<article>{ARTICLE}</article>")
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content has-sidebar'><article>{ARTICLE}</article></div>", f"<div class='no-sidebar'><main>{ARTICLE}</main></div>", f"<div class='page search-page'>{ARTICLE}</div>",
+    f"<div id='legal-news'><article>{ARTICLE}</article></div>", f"<form id='aspnetForm'><div>{ARTICLE}</div></form>", f"<form><div class='widget-area'><div id='sidebar-wrap'>{ARTICLE}</div></div></form>",
+    f"<div class='search'><div class='sidebar'><a href='x'>More</a> like this</div><main>{ARTICLE}</main></div>", f"<article>{ARTICLE}</article><div class='comments'>{'<p>I say what I think of it and more of that.</p>' * 30}</div>",
+    f"<div class='cookie-notice'>{'<p>We use what you give us and more of that.</p>' * 30}</div><article>{ARTICLE}</article>", f"<article>{ARTICLE}<span class='ad'>Buy</span></article>",
+])
+def test_layouts_leave_the_article(page):
+    assert html_extract.main_text(page) == LINES and LINES.count("\n") == 3
+
+
+def test_spans_in_paragraphs_are_text():
+    assert html_extract.main_text("<article><p>See <span class='comment'>the remark</span> here</p></article>") == "See the remark here"
+
+
+def test_labelled_pages_by_word_overlap():
+    rng = np.random.default_rng(5)
+    stop = "the of and to in is that it was for on are as with be by at this from".split()
+    say = lambda n: " ".join(rng.choice(stop) if rng.random() < 0.45 else "".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)).capitalize() + "."
+    around = [
+        "<nav><ul>{l}</ul></nav><main>{a}</main><aside>{s}</aside><footer>{s}</footer>", "<div id=header><ul>{l}</ul></div><div class='post-content'>{a}</div><div class='related-posts'>{l}</div>",
+        "<form id=f><div class='menu'>{l}</div><div class=wrap>{a}</div><div id=footer>{s}</div></form>", "<div class='layout has-sidebar'><div class='sidebar'>{s}</div><div class='story'>{a}</div></div><div id='comments'>{c}</div>",
+        "<table><tr><td>{l}</td><td>{a}</td></tr></table><p>© 2020 {s}</p>", "<div>{l}</div>{a}<div>{l}</div>",
+    ]
+    scores = []
+    for page in range(60):
+        paragraphs = [say(int(rng.integers(25, 90))) for _ in range(rng.integers(2, 8))]
+        parts = {"a": "".join(f"<p>{x}</p>" for x in paragraphs), "l": "".join(f"<li><a href='/{k}'>{say(3)}</a></li>" for k in range(6)), "s": f"<p>{say(6)}</p>", "c": "".join(f"<p>{say(20)}</p>" for _ in range(12))}
+        got, want = html_extract.main_text(around[page % len(around)].format(**parts)).split(), " ".join(paragraphs).split()
+        both = sum((Counter(got) & Counter(want)).values())
+        scores.append(2 * both / (len(got) + len(want)))
+    assert np.mean(scores) > 0.97 and min(scores) > 0.8
+
+
 def test_densities_decide_without_containers():
     text = "This is the first part of the text and it is as long as it has to be for the rules to see that it is what the page is about, with more of the words that are in it and so on."
     page = f"<div><a href=1>Home</a> <a href=2>News about things</a> <a href=3>More</a></div><p>{text} {text}</p><p>Short but near.</p><p>{text} {text}</p><div><a href=4>Next page of the list</a></div><div>© 2020 Somebody</div>"

@@ -1,8 +1,10 @@
 """Operator 10, the main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass looks at each block alone: blocks in navigation, headers of
-the page, footers, asides, forms, notices, adverts and comments are bad by their container; the others are decided by link
-density, length and the density of stop words, and what these leave open is near good or short. The second pass lets open
+the page, footers, asides, forms, notices, adverts and comments are bad by their container. Containers that are so by name
+only, and forms, are no reason where they hold most of the page's text without links and every article of it (a layout that
+is named for something else, a form round the whole page), but for comments; inside a paragraph, names of spans play no
+part. The other blocks are decided by link density, length and the density of stop words, and what these leave open is near good or short. The second pass lets open
 blocks inherit from the nearest decided neighbours: short ones from the nearer, near-good ones from the better, headings
 from what follows. Inside <article> or <main> neighbours outside don't count, and a block is only bad by its own container
 or links.
@@ -32,7 +34,7 @@ _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "obj
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button".split())
 _HOLDERS = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "dt", "dd", "td", "th", "tr", "option"} | {"span", "label"}
-_BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
+_BAD_TAGS = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset"}
 _BAD_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|footer\w*|masthead|topbar|toolbar"
@@ -40,6 +42,9 @@ _BAD_NAMES = re.compile(
     r"|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|copyright|legal|disclaimer|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus\w*|respond|replies|reply)(?:$|[\s_-])", re.I)
+#: Names that say what a page has, lacks or is, not what the container holds.
+_LAYOUT_NAME = re.compile(r"(?:has|no|not|with|without|hide|show)[-_]|.*[-_](?:page|site|layout|template|theme|enabled)$", re.I)
 _GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?(?:body|content|text)|entry\w*|story\w*|main|maincontent|content)(?:$|[\s_-])", re.I)
 _HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 
@@ -52,19 +57,56 @@ STOP_WORDS = frozenset(
 )
 #: Link density from which a block is bad; lengths that are short, and long enough to decide; stop-word densities.
 LINKS, ARTICLE_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 0.6, 70, 200, 0.10, 0.20
+#: The share of a page's text from which a container isn't bad by its name.
+MOST = 0.5
+#: Blocks of running text: a span within is part of it.
+_TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "figcaption", "caption", "pre", "summary", "address"}
 
 
 class _Block:
-    __slots__ = ("text", "linked", "tag", "bad", "area", "mark")
+    __slots__ = ("text", "linked", "tag", "bad", "area", "within", "mark")
 
-    def __init__(self, text: str, linked: int, tag: str, bad: bool, area: int):
-        self.text, self.linked, self.tag, self.bad, self.area, self.mark = text, linked, tag, bad, area, ""
+    def __init__(self, text: str, linked: int, tag: str, bad: bool, area: int, within: int):
+        self.text, self.linked, self.tag, self.bad, self.area, self.within, self.mark = text, linked, tag, bad, area, within, ""
+
+
+class _Named:
+    """A container that is bad by its name, or a form: the one around it, and whether it holds comments."""
+
+    __slots__ = ("outer", "comments", "size", "areas", "bad")
+
+    def __init__(self, outer: int, comments: bool):
+        self.outer, self.comments, self.size, self.areas, self.bad = outer, comments, 0, 0, True
+
+
+def bad_name(names: str) -> bool:
+    """Whether a class or an id tells of something beside the main text."""
+    return any(_BAD_NAMES.search(n) and not _LAYOUT_NAME.match(n) for n in names.split())
+
+
+def _judge(found: list[_Block], named: list[_Named]) -> None:
+    """Mark the blocks in containers that are bad by name, unless these hold most of the text and all articles."""
+    for b in found:
+        if not b.bad:
+            named[b.within].size += len(b.text) - min(b.linked, len(b.text))
+            named[b.within].areas += b.area > 0
+    for n in reversed(named[1:]):  # outer ones have smaller numbers
+        named[n.outer].size += n.size
+        named[n.outer].areas += n.areas
+    whole = named[0]
+    whole.bad = False
+    for n in named[1:]:
+        most = n.size >= MOST * whole.size and n.areas == whole.areas and not n.comments
+        n.bad = named[n.outer].bad or not most
+    for b in found:
+        b.bad = b.bad or named[b.within].bad
 
 
 def blocks(page: str) -> list[_Block]:
     """The blocks of a page in order. `area` numbers the <article>, <main> or like container, 0 outside any."""
     found: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, bad, area
+    stack: list[tuple[str, bool, int, int]] = []  # tag, bad, area, innermost named container
+    named = [_Named(0, False)]
     parts: list[str] = []
     linked = in_link = areas = 0
     tag, breaks = "body", 0
@@ -74,8 +116,8 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                _, bad, area = stack[-1] if stack else ("", False, 0)
-                found.append(_Block(text, linked, tag, bad, area))
+                _, bad, area, within = stack[-1] if stack else ("", False, 0, 0)
+                found.append(_Block(text, linked, tag, bad, area, within))
         parts.clear()
         linked = breaks = 0
 
@@ -129,31 +171,36 @@ def blocks(page: str) -> list[_Block]:
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        if name not in _BLOCK and stack[k][1]:
+                        if name not in _BLOCK and (stack[k][1] or stack[k][3]) and tag not in _TEXT_TAGS:
                             flush()  # the end of a bad inline holder ends its text
                         del stack[k:]
                         break
             else:
-                _, bad, area = stack[-1] if stack else ("", False, 0)
+                _, bad, area, within = stack[-1] if stack else ("", False, 0, 0)
                 raw = m[3]
                 attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if "=" in raw else {}
                 names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-                new_area = area
-                if name in ("article", "main") or attributes.get("itemprop") == "articleBody" or attributes.get("role") in ("main", "article") or (names and not area and name in ("div", "section") and _GOOD_NAMES.search(names) and not _BAD_NAMES.search(names)):
+                role, new_area = attributes.get("role"), area
+                by_name = bool(names) and bad_name(names)
+                if name in ("article", "main") or attributes.get("itemprop") == "articleBody" or role in ("main", "article") or (names and not area and name in ("div", "section") and _GOOD_NAMES.search(names) and not by_name):
                     if not area or name == "article":
                         areas += 1
                         new_area = areas
                 if name not in ("html", "body", "article", "main"):
-                    own = name in _BAD_TAGS or (name == "header" and not area) or attributes.get("role") in _BAD_ROLES or attributes.get("aria-hidden") == "true"
-                    own = own or bool(names and (_BAD_NAMES.search(names) or (not area and _HEADER_NAMES.search(names))))
+                    own = name in _BAD_TAGS or (name == "header" and not area) or role in _BAD_ROLES or attributes.get("aria-hidden") == "true" or bool(names and not area and _HEADER_NAMES.search(names))
                     own = own or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I)) or bool(re.search(r"(?:^|\s)hidden(?:$|\s|=)", raw))
-                    if own and not bad and name not in _BLOCK:
+                    soft = name == "form" or (by_name and (name in _BLOCK or tag not in _TEXT_TAGS))
+                    if (own or soft) and not bad and name not in _BLOCK:
                         flush()
                     bad = bad or own
+                    if soft:
+                        named.append(_Named(within, bool(_COMMENT_NAMES.search(names))))
+                        within = len(named) - 1
                 elif name == "article" and names and re.search(r"comment|reply|related|promo|teaser", names, re.I):
                     bad = True
-                stack.append((name, bad, new_area))
+                stack.append((name, bad, new_area, within))
     flush()
+    _judge(found, named)
     return found
 
 
