@@ -92,14 +92,39 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(spark, df.limit(0)).count() == 0
 
 
-def test_ball_tree_bounds_hold():
+@pytest.mark.parametrize("scale", [40, 2**27])
+def test_ball_tree_bounds_hold(scale):
     rng = np.random.default_rng(3)
-    x = rng.integers(-40, 40, (1000, 6))
+    dim = 6 if scale == 40 else 64
+    x = rng.integers(-scale, scale, (1000, dim))
     tree = topk.BallTree(np.arange(1000), x)
-    q = rng.integers(-40, 40, (50, 6))
-    up = tree.bounds(q)
+    q = rng.integers(-scale, scale, (200, dim))
+    if dim == 64:  # nearly orthogonal to the centres: large terms cancel
+        c = tree.centres[0]
+        q = (q - np.outer(q @ c / (c @ c), c)).astype(np.int64)
+    up = tree.bounds(q[:40], list(range(tree.first, 2 * tree.first + 1)))
     for n, (_, leaf) in enumerate(tree.leaves):
-        assert (up[:, n] >= (q @ leaf.T).max(axis=1)).all()
+        best = max_products(q, leaf)
+        assert all(int(b) <= u for b, u in zip(best, up[:, n], strict=True))
+
+
+def max_products(q, x):
+    return [max(sum(int(a) * int(b) for a, b in zip(i, j, strict=True)) for j in x[:20]) for i in q[:40]]
+
+
+def test_inner_nodes_are_pruned_and_cells_are_even(monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 32)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 3, (500, 5)) for c in ([90, 0, 0, 0, 0], [0, 90, 0, 0, 0], [-90, 0, 0, 0, 0], [0, 0, -90, 0, 0])]).astype(np.int64)
+    tree, visited = topk.BallTree(np.arange(2000), x), []
+    q = np.array([[80, 0, 0, 0, 0], [0, 0, -80, 0, 0]])
+    owner, score, ids = topk.search(tree, np.array([-1, -2]), q, np.full(2, -np.inf), 20, visited)
+    for i in range(2):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ q[i]))[:20]
+        assert sorted(zip((-score[owner == i]).tolist(), ids[owner == i].tolist(), strict=True)) == want
+    assert sum(n for _, n in visited) <= 40 < 2 * len(tree.leaves)  # pairs of leaf and query
+    cells = topk.Cells(x, 16)
+    assert np.bincount(cells.of(x)).max() < 400 and len(np.unique(topk.Cells(np.ones((200, 3)), 4).of(np.ones((50, 3))))) == 1
 
 
 def test_top_k_against_sql(spark, sf_dir):
