@@ -134,3 +134,13 @@ def test_token_store(spark, tok, tmp_path, monkeypatch):
     assert list(reader.get(np.array([999_999, -5]))) == [[], []]
     reader.close()
     assert token_store.token_store(spark, df.limit(0), JSON, P.PATTERN).count() == 0
+
+
+def test_one_far_doc_id_leaves_the_shards_even(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_CHARS", 5000)
+    rows = [(i, "x" * (1000 if i < 50 else 99), "", "") for i in range(2000)]
+    near, far = (token_store.shard_bounds(spark.createDataFrame(own, DOCS)) for own in (rows, [*rows, (2**62, "y", "", "")]))
+    assert len(near) == 49 and abs(len(far) - len(near)) <= 1
+    sizes = np.bincount(np.searchsorted(far, [r[0] for r in rows], side="left"), [len(r[1]) + 1 for r in rows])
+    assert sizes.max() < 3 * sizes.mean()
+    assert token_store.shard_bounds(spark.createDataFrame(rows[:3], DOCS)) == [] == token_store.shard_bounds(spark.createDataFrame([], DOCS))

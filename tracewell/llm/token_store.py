@@ -4,7 +4,7 @@ A shard is a `.bin` file (eight bytes of head: b"TWID", version, bytes of an id,
 document after document in ascending doc_id order) and a `.idx` file: a minimal perfect hash of the document keys, and for
 each slot a 32-bit fingerprint of its key, the first id and the number of rows with that key. One lookup is one slot, one
 comparison of fingerprints and one ranged read, whatever the shard holds. Shards follow each other in doc_id order; their
-bounds come from the characters in equal ranges of doc_id. Files are written under a name of the attempt and then moved,
+bounds are quantiles of doc_id, each document weighing as much as its characters. Files are written under a name of the attempt and then moved,
 so that tasks can be lost or run twice.
 
 Defined cases: null and empty texts are stored as the end id alone; a null doc_id is the key of the smallest long and comes
@@ -29,8 +29,11 @@ from .common import filesystem, lean, mix64, scratch
 from .mphf import MinimalPerfectHash
 from .wordpieces import id_bytes, id_width
 
-#: Characters that a shard is meant to hold, and ranges of doc_id in which they are counted, for each shard and at least.
-SHARD_CHARS, RANGES_PER_SHARD, LEAST_RANGES = 32_000_000, 8, 2048
+#: Characters that a shard is meant to hold, and shards at most: the driver knows a bound and a size of each, larger tables
+#: get larger shards, which are written and read as streams.
+SHARD_CHARS, MOST_SHARDS = 32_000_000, 65_536
+#: Draws of each shard's characters from which the quantiles are estimated.
+DRAWS = 64
 _NULL = np.iinfo(np.int64).min
 _HEAD = struct.Struct("<4sBBxx")
 
@@ -44,21 +47,20 @@ def _prints(keys: np.ndarray) -> np.ndarray:
 
 
 def shard_bounds(docs: DataFrame) -> list[int]:
-    """Largest doc_id of each shard but the last; every shard has some SHARD_CHARS characters."""
+    """Largest doc_id of each shard but the last; every shard has some SHARD_CHARS characters, however the doc_ids lie.
+
+    A document of c characters counts c / unit times, rounded up or down by a hash, so that draws follow the characters.
+    """
     rows = lean(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars"))
-    low, high, chars = rows.agg(F.min("id"), F.max("id"), F.sum("chars")).first()
-    if low is None:
+    chars = rows.agg(F.sum("chars")).first()[0]
+    shards = min(MOST_SHARDS, -(-(chars or 0) // SHARD_CHARS))
+    if shards < 2:
         return []
-    shards = -(-chars // SHARD_CHARS)
-    ranges = max(LEAST_RANGES, RANGES_PER_SHARD * shards)
-    width = max(1, -(-(high - low + 1) // ranges))
-    found = rows.groupBy(F.floor((F.coalesce("id", F.lit(low)).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long").alias("k")).agg(F.sum("chars").alias("chars"))
-    bounds, total = [], 0
-    for r in sorted(found.collect(), key=lambda r: r["k"]):  # `ranges` rows at most
-        total += r["chars"]
-        if total >= chars * (len(bounds) + 1) / shards and len(bounds) < shards - 1:
-            bounds.append(low + (r["k"] + 1) * width - 1)
-    return bounds
+    unit = chars / (shards * DRAWS)
+    draws = F.floor(F.col("chars") / F.lit(unit) + F.pmod(F.xxhash64("id", "chars"), F.lit(1 << 20)) / F.lit(1 << 20)).cast("int")
+    drawn = rows.filter("id IS NOT NULL").select("id", draws.alias("n")).filter("n > 0").select("id", F.explode(F.sequence(F.lit(1), "n")))
+    found = drawn.agg(F.percentile_approx("id", [i / shards for i in range(1, shards)], 20 * shards + 1000).alias("bounds")).first()["bounds"]
+    return sorted(set(found or []))
 
 
 class ShardWriter:
