@@ -144,9 +144,10 @@ def test_groups_tied_by_chains_of_buckets_meet_in_buckets_alone(spark):
     assert {tuple(got[1000 + i]) for i in range(8)} == {((1000, 8),)}
 
 
-@pytest.mark.parametrize("whole", [True, False])
-def test_links_count_once_however_groups_overlap(spark, whole, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+@pytest.mark.parametrize(("whole", "block", "small"), [(True, 7, 48), (False, 7, 48), (False, 512, 48), (False, 512, 3), (True, 512, 3)])
+def test_links_count_once_however_groups_overlap(spark, whole, block, small, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join([*words[: 90 + i % 10], f"x{i}", f"y{i}"]) for i in range(40)]
     rows = [(i + 1, t) for i, t in enumerate(texts)]

@@ -55,7 +55,9 @@ class Banding:
 #: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**4)**24 = 3e-6.
 DOCUMENTS = Banding(24, 4, (16, 32, 64, 96))
 #: Classes and shingles of a block, and of a task that takes whole small groups, about.
-BLOCK, BLOCK_SHINGLES, TASK, TASK_SHINGLES = 512, 1 << 18, 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES, TASK, TASK_SHINGLES = 512, 1 << 18, 16_384, 1 << 20
+#: Classes of a group up to which its pairs are judged together with those of other groups.
+SMALL = 48
 
 _SKETCH = "doc_id long, node long, key binary, n int, sig binary"
 _GROUP = "struct<group: long, m: long, n: long>"
@@ -217,44 +219,110 @@ def verify(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, i: np.ndar
     return good
 
 
-def _met_before(group: int, a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray | None:
-    """Which pairs share a group of a smaller number; None if no row has one."""
-    every = a + (b or [])
-    earlier = np.unique(np.concatenate([g[g < group] for g in every]))
-    if not len(earlier):
-        return None
-    held = np.zeros((len(every), len(earlier)), np.float32)
-    for i, g in enumerate(every):
-        held[i, np.searchsorted(earlier, g[g < group])] = 1
-    return held[: len(a)] @ (held if b is None else held[len(a) :]).T > 0
+def common(codes: np.ndarray, cuts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets i and j of each pair share; set k is codes[cuts[k]:cuts[k + 1]], without repeats."""
+    sizes, out = np.diff(cuts), np.zeros(len(i), np.int64)
+    if not len(codes):
+        return out
+    _, codes = np.unique(codes, return_inverse=True)
+    width = int(codes.max()) + 1
+    bounds = np.cumsum(sizes[i] + sizes[j])
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(bounds, (bounds[at - 1] if at else 0) + (1 << 21), side="right")))
+        keys = []
+        for side in (i[at:to], j[at:to]):
+            n = sizes[side]
+            first = np.cumsum(n) - n
+            keys.append(np.repeat(np.arange(len(side)) * width, n) + codes[np.repeat(cuts[side] - first, n) + np.arange(n.sum())])
+        keys = np.sort(np.concatenate(keys))
+        out[at:to] = np.bincount(keys[1:][keys[1:] == keys[:-1]] // width, minlength=to - at)
+        at = to
+    return out
+
+
+def judged(sig_a: np.ndarray, sig_b: np.ndarray, i: np.ndarray, j: np.ndarray, stages: tuple[int, ...]) -> np.ndarray:
+    """Positions of the pairs that survive all stages."""
+    left, matches, done = np.arange(len(i)), np.zeros(len(i), np.int16), 0
+    for n, least in zip(stages, least_matches(stages) if stages else (), strict=True):
+        for at in range(0, len(left), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            matches[part] += (sig_a[i[left[part]], done:n] == sig_b[j[left[part]], done:n]).sum(axis=1, dtype=np.int16)
+        keep = matches >= least
+        left, matches, done = left[keep], matches[keep], n
+    return left
+
+
+def _packed(arrays) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
+
+
+def _tally(ids: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Links and local component of each id, given positions of linked pairs."""
+    links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+    order = np.argsort(ids, kind="stable")  # roots are smallest ids
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    root = local_roots(len(ids), back[i], back[j])[back]
+    return pd.DataFrame({"id": ids, "links": links.astype(np.int64), "root": ids[order][root]})
+
+
+def _met(rows: list[pd.DataFrame], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share a group of a smaller number than the one at hand; rows of all halves count on."""
+    groups = [np.asarray(g)[np.asarray(g) < own] for x in rows for g, own in zip(x["groups"], x["group"], strict=True)]
+    codes, cuts = _packed(groups)
+    found = np.zeros(len(i), bool)
+    maybe = np.flatnonzero((np.diff(cuts)[i] > 0) & (np.diff(cuts)[j] > 0))
+    found[maybe] = common(codes, cuts, i[maybe], j[maybe]) > 0
+    return found
+
+
+def _small_groups(rows: pd.DataFrame, stages: tuple[int, ...], word: str) -> pd.DataFrame:
+    """All pairs of many groups at once."""
+    rows = rows.sort_values(["group", "id"], kind="stable")
+    group = rows["group"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    after = np.repeat(np.append(start[1:], len(group)), np.diff(np.append(start, len(group)))) - np.arange(len(group)) - 1
+    i = np.repeat(np.arange(len(group)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    codes, cuts = _packed([np.frombuffer(s, word) for s in rows["shingles"]])
+    n, (up, down) = np.diff(cuts), THRESHOLD
+    fit = down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])  # else the threshold is out of reach
+    i, j = i[fit], j[fit]
+    if stages:
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
+        left = judged(sig, sig, i, j, stages)
+        i, j = i[left], j[left]
+    fresh = ~_met([rows], i, j)
+    i, j = i[fresh], j[fresh]
+    both = common(codes, cuts, i, j)
+    good = down * both >= up * (n[i] + n[j] - both)
+    return _tally(rows["id"].to_numpy(), rows["size"].to_numpy(), i[good], j[good])
+
+
+def _large_group(halves: list[pd.DataFrame], stages: tuple[int, ...], word: str) -> pd.DataFrame:
+    """The pairs within one block, or between two."""
+    a, b = halves[0], halves[1] if len(halves) > 1 else None
+    ids, weight = (np.concatenate([x[c] for x in halves]) for c in ("id", "size"))
+    sig = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) if stages else np.zeros((len(x), 0), np.uint32) for x in halves]
+    sets = [[np.frombuffer(s, word) for s in x["shingles"]] for x in halves]
+    i, j = compare(sig[0], sig[1] if b is not None else None, stages)
+    shift = 0 if b is None else len(a)
+    fresh = ~_met(halves, i, j + shift)
+    i, j = i[fresh], j[fresh]
+    good = verify(sets[0], sets[1] if b is not None else None, i, j)
+    return _tally(ids, weight, i[good], j[good] + shift)
 
 
 def _links(part: pd.DataFrame, stages: tuple[int, ...], word: str) -> pd.DataFrame:
     """Links and local component of the classes of one task: whole groups, or two blocks of a large one."""
-    out = []
-    for group, rows in part.groupby("group", sort=False):
-        rows = rows.sort_values("id", kind="stable")
-        if rows["left"].iloc[0] == rows["right"].iloc[0]:
-            a, b = rows, None
-        else:
-            a, b = rows[rows["block"] == rows["left"]], rows[rows["block"] == rows["right"]]
-        halves = [x for x in (a, b) if x is not None]
-        ids, weight = (np.concatenate([x[c] for x in halves]) for c in ("id", "size"))
-        sig = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) if stages else np.zeros((len(x), 0), np.uint32) for x in halves]
-        sets = [[np.frombuffer(s, word) for s in x["shingles"]] for x in halves]
-        i, j = compare(sig[0], sig[1] if b is not None else None, stages)
-        met = _met_before(group, *[[np.asarray(g) for g in x["groups"]] for x in halves], *[None] * (b is None))
-        if met is not None:
-            fresh = ~met[i, j]
-            i, j = i[fresh], j[fresh]
-        good = verify(sets[0], sets[1] if b is not None else None, i, j)
-        i, j = i[good], j[good] + (0 if b is None else len(a))
-        links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-        order = np.argsort(ids, kind="stable")  # roots are smallest ids
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        root = local_roots(len(ids), back[i], back[j])[back]
-        out.append(pd.DataFrame({"id": ids, "links": links.astype(np.int64), "root": ids[order][root]}))
+    if part["left"].iloc[0] != part["right"].iloc[0]:
+        out = [_large_group([part[part["block"] == part[side]] for side in ("left", "right")], stages, word)]
+    else:
+        size = part.groupby("group")["id"].transform("size")
+        out = [_large_group([rows.sort_values("id", kind="stable")], stages, word) for _, rows in part[size > SMALL].groupby("group", sort=False)]
+        if (size <= SMALL).any():
+            out.append(_small_groups(part[size <= SMALL], stages, word))
     give_back()
     return pd.concat(out)
 
