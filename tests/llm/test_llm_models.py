@@ -1,5 +1,6 @@
 """Classifiers on held-out labels, search against brute force, and page extraction."""
 
+import pickle
 from collections import Counter
 
 import duckdb
@@ -52,16 +53,36 @@ def test_counterfactuals_keep_weight_off_mentions():
         texts.append(" ".join(words))
         y.append(int(toxic))
     y, w = np.array(y), np.ones(len(y))
-    fair = toxicity.ToxicityModel(*__import__("pickle").loads(toxicity.train(texts, y, w)))
-    old, toxicity.PENALTY = toxicity.PENALTY, 0.0
-    try:
-        plain = toxicity.ToxicityModel(*__import__("pickle").loads(toxicity.train(texts, y, w)))
-    finally:
-        toxicity.PENALTY = old
+    changes = [c for t in texts for c in toxicity.swaps(t)]
+    fair, plain = (toxicity.ToxicityModel(*pickle.loads(toxicity.train([toxicity.words(t) for t in texts], y, w, changes, penalty=p))) for p in (5.0, 0.0))
     gap = lambda m: abs(m.score(["w1 w2 muslim"])[0] - m.score(["w1 w2 jewish"])[0])
     assert gap(fair) < gap(plain) and fair.score(["w1 w2 muslim"])[0] < 0.5 < fair.score(["w1 w2 awful"])[0]
 
 
+def test_swaps_are_of_sentences():
+    assert toxicity.swaps(None) == [] == toxicity.swaps("No group here. None there.")
+    got = toxicity.swaps("The black cat. Women and men spoke! Other words.\nA blind man")
+    gone = [set(a.split()) for a, _ in got]
+    assert {"black", "blac*"} in gone and not any("cat" in g or "other" in g for g in gone) and len(got) >= 4
+
+
+@pytest.mark.parametrize("f", [quality, toxicity])
+def test_conflicting_labels_teach_nothing_and_long_texts_are_read_whole(f, spark):
+    rng = np.random.default_rng(6)
+    say = lambda bad, n: " ".join(rng.choice(["zzx", "qqj", "xxk"] if bad else ["plain", "words", "here", "are"], n))
+    rows = [(i, say(i % 2, 60)) for i in range(400)] + [(1000, say(0, 40_000) + " " + say(1, 40_000)), (1001, say(0, 200_000)), (1002, None)]
+    labels = [(i, i % 2, i % 2) for i in range(300)] + [(i, 1 - i % 2, 1 - i % 2) for i in range(0, 300, 10)] + [(i, i % 2, i % 2) for i in range(0, 300, 10)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    run = f.quality if f is quality else f.toxicity
+    one, two = ({r["doc_id"]: r["score"] for r in run(spark, d, labels).collect()} for d in (docs, docs.repartition(7)))
+    assert one.keys() == two.keys() == {r[0] for r in rows} and all(abs(one[i] - two[i]) < 1e-9 for i in one)
+    assert all((one[i] > 0.5) == (i % 2 == 1) for i in range(300, 400)) and one[1001] < 0.5
+    if f is toxicity:
+        assert one[1000] > 10 * one[1001]  # what lies at the end of a long text counts
+    taught, _ = labelled.sample(docs, labels, "toxic", labelled.remainder("doc_id", 5) >= 0, 500)
+    assert {r["doc_id"] for r in taught.collect()} == {i for i in range(300) if i % 10}
+
+
 def test_newton_recovers_coefficients():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(5000, 2))

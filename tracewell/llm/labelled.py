@@ -6,10 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
-
-#: Characters of a labelled text that training looks at: longer ones give one window of this size, placed by a hash.
-TRAIN_CHARS = 16_000
+from .common import lean, saved
 
 
 def remainder(column: str, divisor: int):
@@ -17,28 +14,23 @@ def remainder(column: str, divisor: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most `per_class` labelled rows of each class where `learn` holds.
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """A table (doc_id, y, place, text) of at most `per_class` labelled rows of each class where `learn` holds, and class weights.
 
-    Rows are taken in the order of a hash of doc_id; the weights restore the shares of the classes among all such labels.
-    Null texts count as empty; rows whose label is neither 0 nor 1 teach nothing.
+    Rows are taken in the order of a hash of doc_id, `place`; texts are whole. The weights restore the shares of the classes
+    among all such labels. Null texts count as empty; labels other than 0 and 1 teach nothing, nor do doc_ids with both; of
+    texts that repeat a doc_id, that with the smallest hash teaches.
     """
-    marked = lean(labels, "doc_id", label).filter(F.col(label).isin(0, 1) & learn).dropDuplicates(["doc_id"])
-    counts = {r[label]: r["n"] for r in marked.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = marked.filter(F.col(label) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    chosen = chosen.unionByName(marked.filter(F.col(label) == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    over = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
-    rows = (
-        lean(docs, "doc_id", "text")
-        .withColumn("text", F.coalesce("text", F.lit("")))
-        .join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids at most
-        .withColumn("text", F.substring(F.col("text"), F.lit(1) + F.pmod(F.xxhash64("doc_id"), over + 1).cast("int"), F.lit(TRAIN_CHARS)))
-    )
-    found = sorted((r[label], r["place"], r["doc_id"], r["text"]) for r in rows.select("doc_id", label, "text", F.xxhash64("doc_id").alias("place")).collect())
-    texts, y = [r[3] for r in found], np.array([r[0] for r in found], np.int64)
-    share = {k: counts.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
-    w = np.array([share[k] for k in y.tolist()], float)
-    return texts, y, w / w.mean() if len(w) else w
+    marked = lean(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
+    marked = marked.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other").select("doc_id", "y", F.xxhash64("doc_id").alias("place"))
+    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [marked.filter(F.col("y") == y).orderBy("place", "doc_id").limit(per_class) for y in (0, 1)]
+    rows = lean(docs, "doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 * per_class ids at most
+    text = F.coalesce("text", F.lit(""))
+    rows = saved(rows.groupBy("doc_id", "y", "place").agg(F.min_by(text, F.xxhash64(text)).alias("text")), "labelled-texts")
+    held = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.get(y, 0) for y in held) or 1
+    return rows, {y: counts[y] / n * sum(held.values()) / total for y, n in held.items()}
 
 
 def newton_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
