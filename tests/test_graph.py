@@ -1,6 +1,11 @@
 """Graph operators on literal graphs: diamond, cycle, self-loop, hop bound, base names."""
 
+import random
+
+import pytest
+
 from tracewell.operators import graph
+from tracewell.operators import rows as rows_
 
 
 def edges(spark, *pairs):
