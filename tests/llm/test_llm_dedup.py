@@ -154,7 +154,7 @@ def test_links_count_once_however_groups_overlap(spark, whole, block, small, mon
     if not whole:  # judge every bucket
         chosen = ngram_join.candidate_groups
 
-        def buckets(rows):
+        def buckets(rows, whole):
             every = rows.groupBy("bucket").count().filter("count > 1").withColumnRenamed("count", "m")
             held = rows.join(every, "bucket").select("id", ngram_join.F.struct("bucket", "m", "m").cast(ngram_join._GROUP).alias("g")).groupBy("id").agg(ngram_join.F.collect_set("g").alias("own"))
             assert chosen(rows).count() == held.count()

@@ -80,7 +80,8 @@ _steps = threading.local()
 def step(spark: SparkSession):
     """Tables that `mapped` and `saved` make inside go when the block ends, but for those made with keep=True.
 
-    What is kept belongs to the step around this one, or else stays in the shared folder, as results are read from it. At
+    What is kept belongs to the step around this one (keep=2: the one around that), or else stays in the shared folder, as
+    results are read from it. At
     the end the driver's JVM is asked once to collect its garbage, since Spark removes the shuffle files of finished jobs only then.
     """
     made: list[str] = []
@@ -97,13 +98,13 @@ def step(spark: SparkSession):
         spark.sparkContext._jvm.System.gc()
 
 
-def _own(path: str, keep: bool) -> None:
+def _own(path: str, keep: int) -> None:
     stack = _steps.__dict__.get("stack", [])
     if len(stack) > keep:
         stack[-1 - keep].append(path)
 
 
-def mapped(df: DataFrame, f, ddl: str | StructType, name: str, keep: bool = False) -> DataFrame:
+def mapped(df: DataFrame, f, ddl: str | StructType, name: str, keep: int = False) -> DataFrame:
     """What `f` makes of the Arrow batches of `df`, as a table in the shared folder.
 
     Workers write their part themselves, under a name of the attempt that is then moved to that of the partition, so that
@@ -151,7 +152,7 @@ def mapped(df: DataFrame, f, ddl: str | StructType, name: str, keep: bool = Fals
     return spark.read.schema(schema).parquet(path)
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: int = False) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends there, and lost executors cost only their tasks."""
     return mapped(df, lambda batches: batches, df.schema, name, keep)
 

@@ -152,20 +152,26 @@ def shared_members(rows: DataFrame) -> DataFrame:
         return saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members", keep=True)
 
 
-def candidate_groups(members: DataFrame) -> DataFrame:
-    """(id, own): the groups (group, m members, n shingles) in which each id of (bucket, id, n, least) rows meets others."""
+def candidate_groups(members: DataFrame, whole: bool = True) -> DataFrame:
+    """(id, own): the groups (group, m members, n shingles) in which each id of (bucket, id, n, least) rows meets others.
+
+    With `whole`, classes that many buckets tie together may be one group; with few bands that saves nothing.
+    """
     with step(members.sparkSession):
-        tied = components(members.select(F.col("id").alias("a"), F.col("least").alias("b")))
+        if whole:
+            tied = components(members.select(F.col("id").alias("a"), F.col("least").alias("b")))
         with step(members.sparkSession):
             mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
             buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), mark(1).alias("x"), mark(2).alias("y"))
             once = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight")).select("bucket", "m", "weight")
             of = members.join(once, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct(F.col("bucket").alias("group"), "m", F.col("weight").alias("n"))).alias("own"))  # one for each band at most
+            if not whole:
+                return saved(of.select("id", F.col("own").cast(f"array<{_GROUP}>").alias("own")), "candidates", keep=2)
             of = saved(of.join(tied.withColumnRenamed("node", "id"), "id"), "tied-classes", keep=True)
         met = F.aggregate("own", F.lit(0).cast("long"), lambda total, g: total + g["m"])
         sizes = of.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), F.sum(met).alias("met"))
-        whole = F.array(F.struct(F.col("label").alias("group"), "m", F.col("weight").alias("n")).cast(_GROUP))
-        found = of.join(sizes, "label").select("id", F.when(F.col("m") * F.col("m") <= F.col("met"), whole).otherwise(F.col("own").cast(f"array<{_GROUP}>")).alias("own"))
+        one = F.array(F.struct(F.col("label").alias("group"), "m", F.col("weight").alias("n")).cast(_GROUP))
+        found = of.join(sizes, "label").select("id", F.when(F.col("m") * F.col("m") <= F.col("met"), one).otherwise(F.col("own").cast(f"array<{_GROUP}>")).alias("own"))
         return saved(found, "candidates", keep=True)
 
 
@@ -327,14 +333,14 @@ def _links(part: pd.DataFrame, stages: tuple[int, ...], word: str) -> pd.DataFra
     return pd.concat(out)
 
 
-def similar_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = (), word: str = "<u8") -> DataFrame:
+def similar_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = (), word: str = "<u8", whole: bool = True) -> DataFrame:
     """(id, links, label) of the classes with links to others, given their shared buckets (bucket, id, n, least).
 
     `fetch` gives a table (id, size, sig, shingles) of (id) rows, shingles being of the type `word`; without stages every
     pair of a group is verified and `sig` plays no part. `links` counts rows of other classes; `label` is the smallest id of the component of links.
     """
     with step(members.sparkSession):
-        groups = candidate_groups(members)
+        groups = candidate_groups(members, whole)
         n, weight = groups.agg(F.count(F.lit(1)), F.sum(F.element_at("own", 1)["n"] / F.element_at("own", 1)["m"])).first()
         tasks = max(1, -(-n // TASK), int((weight or 0) // TASK_SHINGLES))
         held = groups.join(fetch(groups.select("id")), "id").withColumn("groups", F.transform("own", lambda g: g["group"])).withColumn("own", F.explode("own"))

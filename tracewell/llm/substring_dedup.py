@@ -38,12 +38,12 @@ from .shingles import _factors, band_hashes, distinct, shingle_hashes, signature
 
 #: Words of a paragraph at least, and starting points of which one begins a paragraph.
 LEAST, WINDOW = 24, 28
-#: (bands, values in each). Lines at a similarity of exactly 0.8 miss all bands with a probability of 0.013. Placed paragraphs
+#: (bands, values in each). Lines at a similarity of exactly 0.8 miss all bands with a probability of 0.03. Placed paragraphs
 #: have 20 shingles, so one changed word leaves 0.6 or less but for the two at either end: similarities from 0.8 on are 18/22,
-#: 19/21 and 1, which miss with probabilities of 0.17, 0.04 and 0. Runs that two documents share give several equal ones.
-PLACED_BANDS, LINE_BANDS = (3, 4), (6, 3)
+#: 19/21 and 1, which miss with probabilities of 0.2, 0.07 and 0. Runs that two documents share give several equal ones.
+PLACED_BANDS, LINE_BANDS = (2, 3), (5, 3)
 #: Bands that are joined at once, one group after another, so that the disk holds the shuffles of few bands.
-ROUNDS = ((0,), (1,), (2,), (3, 4, 5))
+ROUNDS = ((0,), (1,), (2, 3, 4))
 
 _UNIT = "doc_id long, th long, first int, last int, k1 long, k2 long, bands array<long>"
 
@@ -206,8 +206,8 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         units = paragraphs(docs)
         members = []
         for bands in ROUNDS:
-            at = F.filter(F.transform(F.array(*map(F.lit, bands)), lambda k: F.get("bands", k)), lambda b: b.isNotNull())
-            rows = units.select(F.explode(at).alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
+            at = F.get("bands", F.lit(bands[0])) if len(bands) == 1 else F.explode(F.slice("bands", bands[0] + 1, len(bands)))
+            rows = units.select(at.alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
             members.append(shared_members(rows))
         every = members[0]
         for m in members[1:]:
@@ -226,7 +226,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with step(spark):
         members, units = candidates(docs)
-        near = similar_classes(members, lambda ids: paragraph_sets(docs, units, ids), word="<u4")
+        near = similar_classes(members, lambda ids: paragraph_sets(docs, units, ids), word="<u4", whole=False)
         with step(spark):
             # without links to others, both hashes make a cluster
             cluster = [F.coalesce("label", "k1").alias("cluster"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("sub")]
@@ -395,13 +395,21 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for doc_id, text, label, hits in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                left, found, words = cut(text or "", _spans(hits)) if hits else (text or "", [], 0)
-                for c, v in zip(cols, (doc_id, doc_id if label is None else label, len(found), words, [{"start": a, "end": b} for a, b in found], left), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "class_id", "n_removed", "removed_words", "spans", "text"])
+            ids, hits, n = batch.column(0), batch.column(3), batch.num_rows
+            text = batch.column(1).fill_null("")
+            found, words, spans, left = np.zeros(n, np.int32), np.zeros(n, np.int64), [[]] * n, []
+            touched = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False))  # other texts stay as they are
+            for k in touched:
+                rest, own, words[k] = cut(text[k].as_py(), _spans(hits[k].as_py()))
+                found[k], spans[k] = len(own), [{"start": a, "end": b} for a, b in own]
+                left.append(rest)
+            if len(touched):
+                mask = np.zeros(n, bool)
+                mask[touched] = True
+                text = pa.compute.replace_with_mask(text, pa.array(mask), pa.array(left, text.type))
+            class_id = pa.compute.coalesce(batch.column(2), ids)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([ids, class_id, pa.array(found), pa.array(words), pa.array(spans, kind), text], ["doc_id", "class_id", "n_removed", "removed_words", "spans", "text"])
 
     return _beside(rows, known).select("doc_id", "text", "class_id", "__hits").mapInArrow(run, _OUT)
 
