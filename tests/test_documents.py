@@ -55,6 +55,24 @@ def test_repository_records(spark):
     assert (r["source_object"], r["job_name"], r["workflow_name"]) == ("EXCEL:x", "J", "W")
 
 
+def test_dumps_give_missing_texts_and_malformed_lines_are_kept_aside(spark, tmp_path):
+    xml = '<R><DIDataflow name="D"><DITransformCall name="Q"><sql_text/></DITransformCall><DIDatabaseTableTarget tableName="B"/></DIDataflow></R>'
+    dump = '<R><DIDataflow name="D"><DITransformCall name="Q"><sql_text>SELECT 1 FROM T9</sql_text></DITransformCall></DIDataflow></R>'
+    index = repository.dump_index(shred.shred(docs(spark, d=dump)))
+    got = {(r["source_object"], r["target_object"]) for r in repository.records(shred.shred(docs(spark, r=xml)), index).collect()}
+    assert got == {("SQL:D|Q", "B"), ("T9", "SQL:D|Q")} and repository.records(shred.shred(docs(spark, r=xml))).count() == 0
+    lines = ["SCHEMA_NAME,VIEW_NAME,COLUMN_NAME,POSITION,DATA_TYPE_NAME,LENGTH,SCALE,IS_NULLABLE", "S,V,C,1,INT,1,0,N", "S,V,D,second,INT,1,0,N", "S,V"]
+    (tmp_path / "c.csv").write_text("\n".join(lines))
+    assert [tuple(r) for r in catalog.view_columns(spark, str(tmp_path)).collect()] == [("S", "V", "C", 1)]
+    assert {r["line"] for r in catalog.malformed(spark, str(tmp_path), catalog.VIEW_COLUMNS).collect()} == set(lines[2:])
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.csv").write_text("a,b\n1,2\n3\n")
+    assert [tuple(r) for r in catalog.cached_rows(spark, str(tmp_path / "e")).collect()] == [("1", "2")] and catalog.malformed(spark, str(tmp_path / "e")).count() == 1
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "d.csv").write_text("a,b,c,d,e,f,g\nBS,BO,TABLE,DS,DO,VIEW,1\n")
+    assert [tuple(r) for r in catalog.dependencies(spark, str(tmp_path / "d")).collect()] == [("DS", "DO", "BS", "BO", "TABLE", "1", "BS.BO")]
+
+
 def test_sinks(spark, sf_dir, tmp_path):
     df = fixtures.build(spark, sf_dir, fixtures.LINEAGE)
     assert files.choose_format(10, "XLSX") == "xlsx" and files.choose_format(10**7, "xlsx") == "parquet" and files.choose_format(10**7, "csv") == "csv"

@@ -73,3 +73,43 @@ def test_cluster_collapse(spark):
     e = spark.createDataFrame([("s", "m1"), ("s", "m2"), ("m1", "t"), ("c", "t")], "src string, tgt string")
     m = spark.createDataFrame([("m1", "c"), ("m2", "c")], "member string, cluster string")
     assert rows(graph.collapse_clusters(e, m), "src", "tgt") == [("c", "t"), ("s", "c")]
+
+
+def test_layers_of_long_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(55)] + [("n9", "n9")], "target string, source string")
+    assert {r["node"]: r["layer"] for r in graph.bottom_up(chain).collect()} == {f"n{i}": i for i in range(56)}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.bottom_up(spark.createDataFrame([("a", "b"), ("b", "a")], "target string, source string"))
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_concepts_lose_no_pair(spark):
+    r = random.Random(3)
+    terms = {"Customer Name", "Custommer Name", "ustomer Name", "Order", "Orders", "Order Key", "Border Key", "", "Xcustomer Name"}
+    for _ in range(60):
+        base = "".join(r.choice("abcde ") for _ in range(r.randint(5, 48)))
+        for _ in range(4):
+            t = list(base)
+            for _ in range(r.randint(0, 5)):
+                k = r.randrange(len(t))
+                t[k : k + r.randint(0, 1)] = r.choice(["", "x", "y"])
+            terms.add("".join(t))
+    terms = sorted(terms)
+    want = {(a, b) for a in terms for b in terms if a < b and 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.88}
+    got = {tuple(x) for x in rows_.similar_concepts(spark.createDataFrame([(t,) for t in terms], "concept string")).collect()}
+    assert got == want and any(max(map(len, p)) > 25 for p in want) and any(a[0] != b[0] for a, b in want)
+
+
+def test_singular_terms_and_synonyms(spark):
+    found = spark.createDataFrame([("Order", ["ORD"]), ("Orders", ["ORDS", "ORD"]), ("Glass", ["GLASS"])], "concept string, names array<string>")
+    single = rows_.singular_concepts(found)
+    assert {r["concept"]: r["names"] for r in single.collect()} == {"Order": ["ORD", "ORDS"], "Glass": ["GLASS"]}
+    assert {tuple(r) for r in rows_.synonyms(single).collect()} == {("Order", "ORD"), ("Order", "ORDS"), ("Order", "order"), ("Glass", "GLASS"), ("Glass", "glass")}

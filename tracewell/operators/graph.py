@@ -1,7 +1,7 @@
 """Graph operators over lineage edges, as frontier loops of joins.
 
-An edge table is partitioned by the column that is followed and kept that way, so that each hop shuffles the frontier alone.
-Every hop's frontier and the set of visited nodes are written to the shared folder: lineage stays short, and a lost executor
+An edge table is partitioned by the column that is followed and kept that way: a hop shuffles the frontier, and what it has
+reached against the visited nodes, never the edges. Every hop's frontier and the set of visited nodes are written to the shared folder: lineage stays short, and a lost executor
 costs its tasks. The driver only learns whether a frontier is empty.
 """
 
@@ -89,7 +89,7 @@ def spotlight(edges: DataFrame, nodes: DataFrame, direction: str = "both", max_h
     return out.select("seed", "node", "side", "hop")
 
 
-def closure(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, ancestor): everything upstream of each node (GRA3, SET5); a node is its own ancestor only on a cycle.
 
     Semi-naive: each round extends only what the last one found. `nodes` (column node) bounds it to some nodes.
@@ -101,7 +101,7 @@ def closure(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int =
             start = start.join(nodes.select("node").distinct(), "node", "left_semi")
         front = materialized(start, "closure")
         all_ = front
-        for _ in range(max_rounds):
+        while True:  # ends, as every round adds pairs
             new = front.join(steps, front["ancestor"] == steps["near"]).select("node", F.col("far").alias("ancestor")).distinct()
             front = materialized(new.join(all_, ["node", "ancestor"], "left_anti"), "closure")
             if front.isEmpty():
@@ -156,8 +156,9 @@ def column_trace(rows: DataFrame, targets: DataFrame, max_hops: int = 9999) -> D
     rows = materialized(trace_rows(rows).withColumn("__row", F.monotonically_increasing_id()), "trace-rows")
     tokens_ = rows.select(F.explode(F.array("tgt_q", "src_q", "jl_q", "jr_q")).alias("token")).filter("token <> ''").distinct()
     goals = rows.select(F.col("tgt_q").alias("goal")).filter("goal <> ''").distinct()
-    listed = F.array_union(F.array_union(S.references("formula"), S.references("filter_expression")), S.references("join_expression"))
-    named = rows.select("__row", F.explode(listed).alias("token"))
+    expressions = F.explode(F.array_distinct(F.array("formula", "filter_expression", "join_expression")))
+    listed = rows.select(expressions.alias("expression")).filter("expression IS NOT NULL").distinct().select("expression", F.explode(S.references("expression")).alias("token"))
+    named = materialized(rows.select("__row", expressions.alias("expression")).join(listed, "expression").select("__row", "token").distinct(), "trace-names")
     exact = named.join(tokens_, "token", "left_semi")
     fallback = named.join(tokens_, "token", "left_anti").withColumn("b", _base(F.col("token"))).join(tokens_.select(F.col("token").alias("full"), _base(F.col("token")).alias("b")), "b").select("__row", F.col("full").alias("token"))
     direct = rows.select("__row", F.explode(F.array("src_q", "jl_q", "jr_q")).alias("token")).filter("token <> ''")
@@ -200,18 +201,23 @@ def layers(hops: DataFrame) -> DataFrame:
     return hops.join(top, "target_table").select("target_table", "table", (F.col("top") - F.col("hop")).alias("layer"))
 
 
-def bottom_up(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, layer): the longest way down to a source, so that whatever feeds a node comes before it (SRT6)."""
+def bottom_up(edges: DataFrame) -> DataFrame:
+    """(node, layer): the longest way down to a source, so that whatever feeds a node comes before it (SRT6).
+
+    A round raises the layers above what the last one moved, until nothing moves; as many rounds as nodes are a cycle, on which
+    no order exists: a ValueError. An edge from a node to itself doesn't count.
+    """
     steps = materialized(edges.select("target", "source").distinct().filter("target <> source"), "layers")
-    now = materialized(steps.select(F.col("source").alias("node")).unionByName(steps.select(F.col("target").alias("node"))).distinct().withColumn("layer", F.lit(0)), "layers")
-    for _ in range(max_rounds):
-        up = steps.join(now, steps["source"] == now["node"]).groupBy("target").agg(F.max(F.col("layer") + 1).alias("up"))
-        new = now.join(up, now["node"] == up["target"], "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("moved"))
-        new = materialized(new, "layers")
-        now = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            break
-    return now
+    now = materialized(steps.select(F.col("source").alias("node")).unionByName(steps.select(F.col("target").alias("node"))).distinct().select("node", F.lit(0).alias("layer"), F.lit(True).alias("moved")), "layers")
+    rounds = now.count()
+    while not now.filter("moved").isEmpty():
+        if rounds == 0:
+            raise ValueError("the edges have a cycle")
+        up = steps.join(now.filter("moved"), steps["source"] == now["node"]).groupBy("target").agg(F.max(F.col("layer") + 1).alias("up"))
+        higher = F.coalesce("up", F.lit(0)) > F.col("layer")
+        now = materialized(now.join(up, now["node"] == up["target"], "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), higher.alias("moved")), "layers")
+        rounds -= 1
+    return now.drop("moved")
 
 
 def barycentres(edges: DataFrame, positions: DataFrame, passes: int = 4) -> DataFrame:

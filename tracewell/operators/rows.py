@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import tokens
 from ..functions import scalars as S
+from ..storage import materialized
 
 
 def first_of_each(rows: DataFrame, key=tokens.ROW_KEY, order: str = "row_seq") -> DataFrame:
@@ -22,14 +23,25 @@ def first_of_each(rows: DataFrame, key=tokens.ROW_KEY, order: str = "row_seq") -
     return rows.groupBy(*key).agg(F.min(whole).alias("__r")).select(*[F.col(f"__r.`{c}`") for c in rows.columns])
 
 
+def expression_weights(rows: DataFrame, *columns: str, neutral=tokens.NEUTRAL_FUNCTIONS) -> DataFrame:
+    """(expression, weight) of the different expressions in some columns: rows share few of them."""
+    found = rows.select(F.explode(F.array(*columns)).alias("expression")).filter("expression IS NOT NULL").distinct()
+    return found.select("expression", S.weight("expression", neutral).alias("weight"))
+
+
 def with_weights(rows: DataFrame, strict: bool = False, joins_count: bool = True, neutral=tokens.NEUTRAL_FUNCTIONS) -> DataFrame:
     """weight_transform and weight_filter (ENR10). A row with a join column has a filter weight of 0.5 at least; unless
     `strict`, a null token counts as one, as every extracted row carries it."""
-    wf = S.weight("filter_expression", neutral)
+    known = materialized(expression_weights(rows, "formula", "filter_expression", neutral=neutral), "weights")
+    out = rows.drop("weight_transform", "weight_filter")
+    for column, name in (("formula", "weight_transform"), ("filter_expression", "weight_filter")):
+        own = known.select(F.col("expression").alias("__e"), F.col("weight").alias(name))
+        out = out.join(own, F.col(column) == F.col("__e"), "left").drop("__e").withColumn(name, F.coalesce(name, F.lit(0.0)))
     if joins_count:
         has = (lambda c: ~S.is_missing(c)) if strict else (lambda c: F.coalesce(F.col(c), F.lit("")) != "")
-        wf = F.when(has("join_left_column") | has("join_right_column"), F.greatest(wf, F.lit(0.5))).otherwise(wf)
-    return rows.withColumn("weight_transform", S.weight("formula", neutral)).withColumn("weight_filter", wf)
+        joined = F.when(has("join_left_column") | has("join_right_column"), F.greatest("weight_filter", F.lit(0.5)))
+        out = out.withColumn("weight_filter", joined.otherwise(F.col("weight_filter")))
+    return out
 
 
 def semantic_layer(rows: DataFrame, least_transform: float = 0.35, least_filter: float = 0.25) -> DataFrame:
@@ -153,12 +165,52 @@ def concepts(rows: DataFrame) -> DataFrame:
     return names.distinct().select(S.concept("name").alias("concept"), "name").filter("concept <> ''").groupBy("concept").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
+def _without_one(x):
+    """The text without each of its characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+
+
 def similar_concepts(found: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """(concept, other): terms so alike that they may be one (ENR13); terms meet only those that share their first four letters."""
-    block = found.select("concept", F.lower(F.substring("concept", 1, 4)).alias("block"))
-    both = block.join(block.select(F.col("concept").alias("other"), "block"), "block").filter("concept < other")
+    """(concept, other): terms so alike that they may be one (ENR13), by edit distance over the longer one's length.
+
+    No pair is lost. A longer term of n letters allows k = (1 - threshold) * n edits. Up to two edits, both terms have an equal
+    rest after k deletions at most; beyond, of k + 1 pieces of the shorter one some lies in the longer one, k letters off at
+    most. Terms meet on these rests and pieces, and the distance decides.
+    """
+    if not 0.8 <= threshold < 1:
+        raise ValueError("below 0.8 too many terms meet")
+    edits = lambda n: F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    terms = found.select("concept", F.length("concept").alias("n")).withColumn("longest", F.floor(F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int"))
+    most = F.least(edits(F.col("longest")), F.lit(2))
+    short = terms.filter((most >= 1) & (edits(F.col("n")) <= 2)).withColumn("one", _without_one(F.col("concept")))
+    two = F.when(most > 1, F.array_distinct(F.flatten(F.transform("one", _without_one)))).otherwise(F.array())
+    rests = short.select("concept", F.explode(F.array_union(F.array_union(F.array("concept"), F.col("one")), two)).alias("rest"))
+    met = rests.join(rests.withColumnRenamed("concept", "other"), "rest").filter("concept < other").select("concept", "other")
+    # (length of the longer, of the shorter, number and text of the piece)
+    cut = lambda i, n, k: F.floor(i * n / (k + 1)).cast("int")
+    begin, end = cut(F.col("i"), F.col("n"), F.col("k")), cut(F.col("i") + 1, F.col("n"), F.col("k"))
+    pieces = terms.filter("n > 0").withColumn("long", F.explode(F.sequence("n", "longest"))).withColumn("k", edits(F.col("long"))).filter("k > 2").withColumn("i", F.explode(F.sequence(F.lit(0), "k")))
+    pieces = pieces.select("long", "n", "i", F.substring("concept", begin + 1, end - begin).alias("piece"), F.col("concept").alias("a"))
+    within = terms.select(F.col("concept").alias("b"), F.col("n").alias("long"), edits(F.col("n")).alias("k")).filter("k > 2")
+    within = within.withColumn("n", F.explode(F.sequence(F.col("long") - F.col("k"), "long"))).withColumn("i", F.explode(F.sequence(F.lit(0), "k"))).withColumn("off", F.explode(F.sequence(-F.col("k"), "k")))
+    at = begin + F.col("off")
+    within = within.filter((at >= 0) & (at + end - begin <= F.col("long"))).select("long", "n", "i", F.substring("b", at + 1, end - begin).alias("piece"), "b").distinct()
+    far = pieces.join(within, ["long", "n", "i", "piece"]).filter("a <> b").select(F.least("a", "b").alias("concept"), F.greatest("a", "b").alias("other"))
     ratio = 1 - F.levenshtein("concept", "other") / F.greatest(F.length("concept"), F.length("other"))
-    return both.filter(ratio >= threshold).select("concept", "other")
+    return met.unionByName(far).distinct().filter(ratio >= threshold)
+
+
+def singular_concepts(found: DataFrame) -> DataFrame:
+    """The terms without those that are another one with a final s; their names go to that one (ENR13)."""
+    own = found.select(F.col("concept").alias("single"))
+    held = found.join(own, F.lower("concept") == F.lower(F.concat("single", F.lit("s"))), "left")
+    return held.groupBy(F.coalesce("single", "concept").alias("concept")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+
+
+def synonyms(found: DataFrame) -> DataFrame:
+    """(concept, synonym): the technical names of a term, and the term in lower case with underscores, where they differ from it (ENR13)."""
+    names = found.select("concept", F.explode(F.concat("names", F.array(F.lower(F.regexp_replace("concept", " ", "_"))))).alias("synonym"))
+    return names.filter("synonym <> concept").distinct()
 
 
 def key_relations(rows_: DataFrame) -> DataFrame:

@@ -88,10 +88,10 @@ def _(df):
     return graph.spotlight(_edges(df), _seeds(df, "seed", "CV_CUST_7"), "both")
 
 
-@register("transitive_closure", "lineage", """+ e AS (SELECT DISTINCT current_node AS t, source_object AS s FROM lineage WHERE current_node LIKE 'CV_REGION%' OR current_node LIKE 'ANV_NATION%' OR current_node LIKE 'CV_CUST%'),
+@register("transitive_closure", "lineage", """+ e AS (SELECT DISTINCT current_node AS t, source_object AS s FROM lineage),
 r AS (SELECT t AS node, s AS ancestor FROM e UNION SELECT r.node, e.s FROM r JOIN e ON e.t = r.ancestor) SELECT node, ancestor FROM r""", True)
 def _(df):
-    return graph.closure(_edges(df.filter("current_node RLIKE '^(CV_REGION|ANV_NATION|CV_CUST)'")))
+    return graph.closure(_edges(df))
 
 
 @register("column_closure", "lineage", """+ e AS (SELECT DISTINCT trim(target_column) AS t, trim(source_column) AS s FROM lineage WHERE trim(target_column) NOT IN ('', '<NULL>') AND trim(source_column) NOT IN ('', '<NULL>')),
@@ -105,10 +105,10 @@ def _(df):
     return graph.dependency_edges(df)
 
 
-@register("bottom_up_layers", "lineage", """+ e AS (SELECT DISTINCT current_node AS t, source_object AS s FROM lineage WHERE current_node NOT LIKE 'ATV%'), r AS (SELECT s AS n, 0 AS layer FROM e UNION SELECT e.t, r.layer + 1 FROM r JOIN e ON e.s = r.n)
+@register("bottom_up_layers", "lineage", """+ e AS (SELECT DISTINCT current_node AS t, source_object AS s FROM lineage), r AS (SELECT s AS n, 0 AS layer FROM e UNION SELECT e.t, r.layer + 1 FROM r JOIN e ON e.s = r.n)
 SELECT n AS node, CAST(max(layer) AS INTEGER) AS layer FROM r GROUP BY n""", True)
 def _(df):
-    return graph.bottom_up(_edges(df.filter("NOT current_node LIKE 'ATV%'")))
+    return graph.bottom_up(_edges(df))
 
 
 @register("column_trace", "trace", """SELECT DISTINCT * FROM (SELECT 'CV_REGION_0.AMOUNT' AS trace_target, 0 AS trace_depth, row_seq FROM trace WHERE current_node = 'CV_REGION_0'
@@ -161,9 +161,13 @@ def _(df):
     return own.filter(S.is_complex("s.complexity", "s.nesting_depth", "s.has_aggregation", "s.has_conditional", "s.risk")).select("formula").distinct()
 
 
-#: Weights of the fixture's formulas and filters, by hand: each is one of a few shapes.
-_WEIGHTED = """+ w AS (SELECT *, CASE WHEN formula LIKE 'SUM(%' THEN 0.5 WHEN formula LIKE '"L_EXT%' THEN 2.0 / 3 ELSE 0.0 END AS wt,
-CASE WHEN filter_expression LIKE 'L_RET%' THEN 2.0 / 7 WHEN filter_expression = '<NULL>' THEN 0.0 ELSE 1.0 / 3 END AS wf0 FROM lineage)"""
+#: The weight of every different formula and filter from its parts, then of each row.
+_WEIGHTED = rf"""+ x AS (SELECT formula AS expr FROM lineage UNION SELECT filter_expression FROM lineage),
+xc AS (SELECT expr, len({IDENTIFIERS}) AS cols, len(regexp_extract_all(expr, '(''[^'']*''|\b\d+(?:\.\d+)?\b)')) AS consts, len(regexp_extract_all(expr, '\b[A-Za-z_][A-Za-z0-9_]*\s*\(')) AS funcs,
+len(regexp_extract_all(expr, '(?i)(=|<>|>=|<=|\bIN\b|\bLIKE\b|\bAND\b|\bOR\b)')) AS preds, len(regexp_extract_all(expr, '(?i)\b({'|'.join(tokens.NEUTRAL_FUNCTIONS)})\b\s*\(')) AS neutral
+FROM (SELECT expr, CASE WHEN trim(expr) = '<NULL>' THEN '' ELSE regexp_replace(expr, '''[^'']*''', ' ', 'g') END AS t FROM x)),
+xw AS (SELECT expr, CASE WHEN cols + consts + greatest(funcs - neutral, 0) + preds > 0 THEN cols / (cols + consts + greatest(funcs - neutral, 0) + preds) ELSE 0.0 END AS wx FROM xc),
+w AS (SELECT l.*, coalesce(a.wx, 0) AS wt, coalesce(b.wx, 0) AS wf0 FROM lineage l LEFT JOIN xw a ON a.expr = l.formula LEFT JOIN xw b ON b.expr = l.filter_expression)"""
 
 
 @register("row_weights", "lineage", _WEIGHTED + " SELECT row_seq, round(wt, 6) AS weight_transform, round(greatest(wf0, 0.5), 6) AS weight_filter FROM w")
@@ -269,9 +273,9 @@ def _(df):
     return rows.output_sets(df)
 
 
-@register("node_expansion", "lineage", "SELECT row_seq, trim(unnest(list_distinct(list_transform(string_split((SELECT string_agg(DISTINCT i.node_output_columns, ',') FROM lineage i WHERE i.current_node = o.current_node AND i.node_output_columns <> ''), ','), lambda c: trim(c))))) AS target_column FROM lineage o WHERE current_node LIKE 'CV_REGION%' OR current_node LIKE 'ANV%'")
+@register("node_expansion", "lineage", "SELECT row_seq, trim(unnest(list_distinct(list_transform(string_split((SELECT string_agg(DISTINCT i.node_output_columns, ',') FROM lineage i WHERE i.current_node = o.current_node AND i.node_output_columns <> ''), ','), lambda c: trim(c))))) AS target_column FROM lineage o")
 def _(df):
-    rolled = rows.parent_rollup(df.filter("current_node LIKE 'CV_REGION%' OR current_node LIKE 'ANV%'"))
+    rolled = rows.parent_rollup(df)
     return rows.node_rows_to_columns(rolled).filter("transformation_type = 'Parent_Rollup_Expanded'").select("row_seq", "target_column")
 
 
@@ -286,11 +290,11 @@ def _(df):
     return df.groupBy("transformation_type", S.intent("transformation_type", F.lit(None).cast("string")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("concepts", "lineage", r"""+ n AS (SELECT DISTINCT unnest([current_node, target_column, source_column]) AS name FROM lineage WHERE current_node NOT LIKE 'ATV%'),
+@register("concepts", "lineage", r"""+ n AS (SELECT DISTINCT unnest([current_node, target_column, source_column]) AS name FROM lineage),
 t AS (SELECT name, list_filter(string_split_regex(trim(regexp_replace(ltrim(regexp_replace(name, '([A-Z])', ' \1', 'g')), '[^A-Za-z0-9]+', ' ', 'g')), '\s+'), lambda w: len(w) >= 3) AS w FROM n),
 c AS (SELECT array_to_string(list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), ' ') AS concept, name FROM t) SELECT concept, list_sort(list_distinct(list(name))) AS names FROM c WHERE concept <> '' GROUP BY concept""")
 def _(df):
-    return rows.concepts(df.filter("NOT current_node LIKE 'ATV%'"))
+    return rows.concepts(df)
 
 
 @register("predicate_compose", "lineage", """+ p AS (SELECT row_seq, ['EQ', 'NE', 'NL', 'LE', 'GE', 'LT', 'GT', ''][CAST(row_seq % 8 AS INTEGER) + 1] AS op, ['true', 'false', ''][CAST(row_seq % 3 AS INTEGER) + 1] AS inc, CASE WHEN row_seq % 7 = 0 THEN '' ELSE 'V' || row_seq END AS v FROM lineage)
@@ -511,9 +515,11 @@ def _(df):
     return graph.hop_map(jobs.table_edges(df), jobs.targets_of_job(df, "job_r"))
 
 
-@register("similar_concepts", "lineage", r"""+ n AS (SELECT DISTINCT unnest([current_node, target_column, source_column]) AS name FROM lineage WHERE current_node NOT LIKE 'ATV%' AND current_node NOT LIKE 'CV%'),
-t AS (SELECT list_filter(string_split_regex(trim(regexp_replace(ltrim(regexp_replace(name, '([A-Z])', ' \1', 'g')), '[^A-Za-z0-9]+', ' ', 'g')), '\s+'), lambda w: len(w) >= 3) AS w FROM n),
-c AS (SELECT DISTINCT array_to_string(list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), ' ') AS concept FROM t)
-SELECT a.concept, b.concept AS other FROM c a JOIN c b ON lower(a.concept[1:4]) = lower(b.concept[1:4]) AND a.concept < b.concept AND a.concept <> '' AND 1 - levenshtein(a.concept, b.concept) / greatest(len(a.concept), len(b.concept)) >= 0.5""")
+@register("similar_concepts", "lineage")
+def _(df):
+    return rows.similar_concepts(rows.concepts(df))
+
+
+@register("concept_synonyms", "lineage")
 def _(df):
-    return rows.similar_concepts(rows.concepts(df.filter("NOT current_node LIKE 'ATV%' AND NOT current_node LIKE 'CV%'")), 0.5)
+    return rows.synonyms(rows.singular_concepts(rows.concepts(df)))
