@@ -1,7 +1,12 @@
 """A corpus pipeline of five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of `documents`.
+stage's docs. All but the last return the columns of `documents`, by their own names; other columns are carried along.
+
+Defined cases: null and empty texts are one text and are scored, kept once and packed as the end id; of rows that repeat a
+doc_id or have none, each counts by its own text, one row of each text or group of near copies stays, and substring dedup leaves
+rows without a doc_id as they are; ties go to the smallest doc_id; texts of any length are read whole; without labels the
+classifier accepts everything; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from tracewell.llm import common
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of two thirds of the documents."""
+    """Documents that the quality classifier accepts; it learns from the labels of two thirds of the documents. Equal texts fare alike."""
     from tracewell.llm import labelled, quality
 
     common.tune(spark)
@@ -22,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
+    """Of equal texts (white space apart) one row: that with the smallest doc_id, one without only if none has any."""
     from tracewell.llm import exact_dedup
 
     common.tune(spark)
@@ -30,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies: that with the smallest doc_id; rows without words stay."""
     from tracewell.llm import ngram_join
 
     common.tune(spark)
@@ -38,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that another document keeps; n_chars follows the text."""
+    """Documents without the passages that another document keeps; those left without words go; n_chars follows the text."""
     from tracewell.llm import substring_dedup
 
     common.tune(spark)
@@ -71,8 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = common.saved(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with common.step(spark):  # what a stage has left goes once its result is written
+            docs = common.saved(stage(spark, docs, sf_dir), "stage", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
