@@ -73,6 +73,28 @@ def test_dumps_give_missing_texts_and_malformed_lines_are_kept_aside(spark, tmp_
     assert [tuple(r) for r in catalog.dependencies(spark, str(tmp_path / "d")).collect()] == [("DS", "DO", "BS", "BO", "TABLE", "1", "BS.BO")]
 
 
+def test_broken_documents_give_what_can_be_recovered(spark):
+    broken = {
+        "open": "<a x='1'><b>one</b><c>two", "crossed": "<a><b><c>x</b></c><d/></a>", "amp": "<a><b t='p&q'>r & s &lt; &nope; &#233;</b></a>", "stray": "</z><a><b>1 < 2</b></a>", "cdata": "<a><b><![CDATA[<i>&]]></b><!-- x", "none": "just text", "empty": "",
+    }
+    got = shred.shred(docs(spark, **broken)).collect()
+    assert {r["path"] for r in got if r["error"]} == set(broken)
+    found = {p: [(r["xpath"], dict(r["attrs"]), r["text"]) for r in sorted(got, key=lambda r: r["node_id"]) if r["path"] == p and not r["error"]] for p in broken}
+    assert found["open"] == [("/a[1]", {"x": "1"}, ""), ("/a[1]/b[1]", {}, "one"), ("/a[1]/c[1]", {}, "two")]
+    assert [x for x, _, _ in found["crossed"]] == ["/a[1]", "/a[1]/b[1]", "/a[1]/b[1]/c[1]", "/a[1]/d[1]"]
+    assert found["amp"][1] == ("/a[1]/b[1]", {"t": "p&q"}, "r & s < &nope; é") and found["stray"][1][2] == "1 < 2" and found["cdata"][1][2] == "<i>&"
+    assert found["none"] == [] == found["empty"]
+    fine = "<a p:q='1'><b>t</b>u<c/></a>"
+    whole, own = (list(s) for s in ([], []))
+    s = shred.Shredder("x", frozenset())
+    s.parser.Parse(fine.encode(), True)
+    whole = s.take()
+    s = shred.Shredder("x", frozenset())
+    for _ in shred.recover(s, fine.encode()):
+        own += s.take()
+    assert own == whole
+
+
 def test_sinks(spark, sf_dir, tmp_path):
     df = fixtures.build(spark, sf_dir, fixtures.LINEAGE)
     assert files.choose_format(10, "XLSX") == "xlsx" and files.choose_format(10**7, "xlsx") == "parquet" and files.choose_format(10**7, "csv") == "csv"

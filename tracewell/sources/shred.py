@@ -1,13 +1,15 @@
 """XML documents as a table of elements (SRC2), the one step that leaves the JVM.
 
-A document is checked first and then read in pieces; an element's row is given out when the element ends, so a task holds
-the open elements and one batch, whatever the size of a document. Documents that aren't well formed give one row with an
-error and no elements. Names are kept without their prefix, attributes with it; comments and instructions are skipped; no
+A document is checked first and then read in pieces; an element's row is given out when the element ends, so beside a document's
+bytes a task holds the open elements and one batch. A document that isn't well formed gives one row with the error, and the
+elements that can be recovered: an end without a beginning is skipped, an element is closed where one around it or the
+document ends, stray ampersands and unknown references are text, and so is what looks like no tag. Names are kept without their prefix, attributes with it; comments and instructions are skipped; no
 external entity is read. An xpath counts each element among its siblings of the same name.
 """
 
 from __future__ import annotations
 
+import re
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -85,6 +87,46 @@ def _flaw(data: bytes) -> str | None:
     return None
 
 
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<![^>]*>|<(/?)([A-Za-z_][\w.:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+_PAIR = re.compile(r"([A-Za-z_][\w.:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_REFERENCE = re.compile(r"&(?:(lt|gt|amp|quot|apos)|#(\d{1,7})|#x([0-9A-Fa-f]{1,6}));")
+_NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def _resolved(text: str) -> str:
+    def of(m: re.Match) -> str:
+        code = int(m[2]) if m[2] else int(m[3], 16) if m[3] else 0
+        return _NAMED[m[1]] if m[1] else chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+    return _REFERENCE.sub(of, text) if "&" in text else text
+
+
+def recover(s: Shredder, data: bytes):
+    """Feed a broken document to `s`, yielding after each end of an element."""
+    text, at = data.decode("utf-8", "replace").lstrip("\ufeff"), 0
+    for m in _TOKEN.finditer(text):
+        s._say(_resolved(text[at : m.start()]))
+        at = m.end()
+        if m[1] is not None:
+            s._say(m[1])
+        elif m[3] and m[2]:
+            local = m[3].rsplit(":", 1)[-1]
+            if any(e.local == local for e in s.stack):
+                while s.stack[-1].local != local:
+                    s._end("")
+                s._end("")
+                yield
+        elif m[3] and (s.stack or not s.count):  # one root
+            s._start(m[3], {k: _resolved(a or b) for k, a, b in _PAIR.findall(m[4])})
+            if m[5]:
+                s._end("")
+                yield
+    s._say(_resolved(text[at:]))
+    while s.stack:
+        s._end("")
+        yield
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
@@ -101,6 +143,12 @@ def shred(documents: DataFrame, inner_of: tuple[str, ...] = ("filter",)) -> Data
                 data = content.as_py() or b""
                 if (flaw := _flaw(data)) is not None:
                     rows.append((path, -1, -1, 0, 0, None, [], None, None, None, [], None, None, flaw))
+                    s = Shredder(path, inner)
+                    for _ in recover(s, data):
+                        rows += s.take()
+                        if len(rows) >= _ROWS:
+                            yield _batch(rows)
+                            rows = []
                     continue
                 s = Shredder(path, inner)
                 for at in range(0, max(1, len(data)), _PIECE):
@@ -127,7 +175,7 @@ def elements(shredded: DataFrame) -> DataFrame:
 
 
 def bad_documents(shredded: DataFrame) -> DataFrame:
-    """(path, reason) of documents that give no rows: broken ones and those with another root."""
+    """(path, reason) of documents that are broken, though elements may have been recovered, and of those with another root."""
     broken = shredded.filter("error IS NOT NULL").select("path", F.col("error").alias("reason"))
-    other = shredded.filter(F.col("error").isNull() & (F.col("depth") == 0) & profile().isNull()).select("path", F.concat(F.lit("root "), "root_local").alias("reason"))
+    other = shredded.filter(F.col("error").isNull() & (F.col("depth") == 0) & profile().isNull()).join(broken.select("path"), "path", "left_anti").select("path", F.concat(F.lit("root "), "root_local").alias("reason"))
     return broken.unionByName(other)
