@@ -295,3 +295,29 @@ def test_against_sql(name, spark, sf_dir):
     want = con.sql(SQL[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values))
+
+
+def test_only_words_that_an_earlier_document_has_are_removed(spark):
+    r, rows = random.Random(12), []
+    pool = [prose(9000 + k, r.randint(26, 120)) for k in range(6)]
+    for i in range(40):
+        parts = [prose(9100 + 10 * i + k, r.randint(5, 60)) for k in range(3)]
+        for _ in range(r.randint(0, 2)):
+            parts.insert(r.randrange(len(parts) + 1), r.choice(pool))
+        rows.append((i + 1, r.choice([" ", "\n"]).join(parts)))
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(spark, docs(spark, rows)).collect()}
+    seen, missed, planted = set(), 0, 0
+    for i, text in rows:
+        words, shared = text.split(), set()
+        for k in range(len(words) - 23):
+            if tuple(words[k : k + 24]) in seen:  # brute force: runs of 24 words that an earlier document has
+                shared |= set(range(k, k + 24))
+        place, removed = [m.span() for m in re.finditer(r"\S+", text)], set()
+        for s in got[i]["spans"]:
+            removed |= {k for k, (a, b) in enumerate(place) if s["start"] <= a and b <= s["end"]}
+        assert removed <= shared and got[i]["removed_words"] == len(removed)
+        runs = [k for k in range(len(words) - 50) if set(range(k, k + 51)) <= shared and tuple(words[k : k + 51]) in {w for w in seen if len(w) == 51}]
+        planted += len(runs)
+        missed += sum(not set(range(k, k + 51)) <= removed for k in runs)
+        seen |= {tuple(words[k : k + n]) for n in (24, 51) for k in range(len(words) - n + 1)}
+    assert planted > 100 and missed == 0

@@ -144,3 +144,32 @@ def test_one_far_doc_id_leaves_the_shards_even(spark, monkeypatch):
     sizes = np.bincount(np.searchsorted(far, [r[0] for r in rows], side="left"), [len(r[1]) + 1 for r in rows])
     assert sizes.max() < 3 * sizes.mean()
     assert token_store.shard_bounds(spark.createDataFrame(rows[:3], DOCS)) == [] == token_store.shard_bounds(spark.createDataFrame([], DOCS))
+
+
+def least_sequences(pieces, size):
+    """The fewest bins, by trying every place for each piece, longest first."""
+    best = len(pieces)
+
+    def put(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(pieces):
+            best = len(bins)
+            return
+        for room in {b for b in bins if b >= pieces[k]}:
+            left = list(bins)
+            left[left.index(room)] -= pieces[k]
+            put(k + 1, left)
+        put(k + 1, [*bins, size - pieces[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 16), min_size=1, max_size=9))
+def test_plans_against_the_optimum(lengths):
+    histogram = dict(Counter(lengths))
+    plan = packing.rounded(histogram, packing.fractional(histogram, 16, rounds=60), 16)
+    assert sum(t for _, t in plan) <= least_sequences(sorted(lengths, reverse=True), 16) + 1
