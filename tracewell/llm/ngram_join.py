@@ -143,13 +143,13 @@ def bucket_rows(classes: DataFrame, banding: Banding) -> DataFrame:
     return mapped(classes.filter("n > 0").select("id", "n", "sig"), run, "bucket long, id long, n int", "bands")
 
 
-def shared_members(rows: DataFrame) -> DataFrame:
+def shared_members(rows: DataFrame, keep: int = 1) -> DataFrame:
     """(bucket, id, n, least): the different ids of (bucket, id, n) rows in buckets that hold several, and the smallest there; rows may repeat."""
     with step(rows.sparkSession):
         with step(rows.sparkSession):
             least = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).filter("least < top").select("bucket", "least")
             least = saved(least, "shared-buckets", keep=True)
-        return saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members", keep=True)
+        return saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members", keep)
 
 
 def candidate_groups(members: DataFrame, whole: bool = True) -> DataFrame:

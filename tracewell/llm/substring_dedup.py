@@ -23,6 +23,8 @@ empty results; texts are read whole.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,14 +36,14 @@ from pyspark.sql.types import StringType
 from .common import lean, mapped, mix64, saved, step, text_slices
 from .components import components
 from .ngram_join import shared_members, similar_classes
-from .shingles import _factors, band_hashes, distinct, shingle_hashes, signatures, word_hashes, words_of
+from .shingles import _factors, band_hashes, distinct, shingle_hashes, word_hashes, words_of
 
 #: Words of a paragraph at least, and starting points of which one begins a paragraph.
 LEAST, WINDOW = 24, 28
 #: (bands, values in each). Lines at a similarity of exactly 0.8 miss all bands with a probability of 0.03. Placed paragraphs
 #: have 20 shingles, so one changed word leaves 0.6 or less but for the two at either end: similarities from 0.8 on are 18/22,
-#: 19/21 and 1, which miss with probabilities of 0.2, 0.07 and 0. Runs that two documents share give several equal ones.
-PLACED_BANDS, LINE_BANDS = (2, 3), (5, 3)
+#: 19/21 and 1, which miss with probabilities of 0.3, 0.11 and 0. Runs that two documents share give several equal ones.
+PLACED_BANDS, LINE_BANDS = (2, 4), (5, 3)
 #: Bands that are joined at once, one group after another, so that the disk holds the shuffles of few bands.
 ROUNDS = ((0,), (1,), (2, 3, 4))
 
@@ -125,27 +127,28 @@ def cut_paragraphs(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     hashes = word_hashes(raw, start, end)
     text, word, last, k1, k2 = placed_paragraphs(hashes, first)
     at = first[text] + word
-    # shingles at every word; placed paragraphs take those of their first LEAST words
+    own, a, b = line_words(raw, start, first)
+    lengths, begin = b - a, first[own] + a
+    # one hash of every shingle for each value: placed paragraphs take the minimum of those of their first LEAST words, lines of all
     grams, _ = shingle_hashes(hashes, np.array([0, len(hashes)]))
-    values = PLACED_BANDS[0] * PLACED_BANDS[1]
-    sig = np.empty((len(at), values), np.uint32)
-    if len(at):
-        seeds = mix64(np.arange(1, 2 * values + 1, dtype=np.uint64))
-        windows = at[:, None] + np.arange(LEAST - 4)[None, :]
+    values, line_values = PLACED_BANDS[0] * PLACED_BANDS[1], LINE_BANDS[0] * LINE_BANDS[1]
+    sig, line_sig = np.empty((len(at), values), np.uint32), np.empty((len(own), line_values), np.uint32)
+    ranges = np.stack([begin, begin + lengths - 4], axis=1).ravel()
+    seeds = mix64(np.arange(1, 2 * max(values, line_values) + 1, dtype=np.uint64))
+    for k in range(max(values, line_values) if len(at) or len(own) else 0):
         with np.errstate(over="ignore"):
-            for k in range(values):
-                v = grams * (seeds[2 * k] | np.uint64(1)) + seeds[2 * k + 1]
-                sig[:, k] = v[windows].min(axis=1) >> np.uint64(32)
-    own, a, b = line_words(raw, start, first)
-    lengths = b - a
-    cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    words = np.repeat(first[own] + a - cuts[:-1], lengths) + np.arange(cuts[-1])
-    line_sig = signatures(*shingle_hashes(hashes[words], cuts), LINE_BANDS[0] * LINE_BANDS[1])
+            v = grams * (seeds[2 * k] | np.uint64(1)) + seeds[2 * k + 1]
+        if k < values and len(at):
+            low, width = v, 1
+            while 2 * width <= LEAST - 4:
+                low, width = np.minimum(low[:-width], low[width:]), 2 * width
+            sig[:, k] = np.minimum(low[at], low[at + LEAST - 4 - width]) >> np.uint64(32)
+        if k < line_values and len(own):
+            line_sig[:, k] = np.minimum.reduceat(np.append(v, v[-1]), ranges)[::2] >> np.uint64(32)
     with np.errstate(over="ignore"):
         keys = []
         for seed in (11, 12):
             total, down = _prefix(hashes, seed)
-            begin = first[own] + a
             keys.append(mix64((total[begin + lengths] - total[begin]) * down[begin]) if len(own) else np.zeros(0, np.uint64))
     bands = np.concatenate([band_hashes(sig, *PLACED_BANDS).ravel(), band_hashes(line_sig, *LINE_BANDS).ravel()])
     counts = np.concatenate([np.full(len(at), PLACED_BANDS[0]), np.full(len(own), LINE_BANDS[0])])
@@ -208,11 +211,8 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for bands in ROUNDS:
             at = F.get("bands", F.lit(bands[0])) if len(bands) == 1 else F.explode(F.slice("bands", bands[0] + 1, len(bands)))
             rows = units.select(at.alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
-            members.append(shared_members(rows))
-        every = members[0]
-        for m in members[1:]:
-            every = every.unionByName(m)
-        members = saved(every, "paragraph-buckets", keep=True)
+            members.append(shared_members(rows, keep=2))
+        members = functools.reduce(DataFrame.unionByName, members)
         with step(spark):
             equal = units.groupBy("k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("k1")
             wanted = saved(equal.unionByName(members.select(F.col("id").alias("k1"))).distinct(), "wanted-paragraphs", keep=True)
