@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract
+from ..schema import conform
 from ..sources import shred
 from .catalogue import QUERIES, SQL
 
@@ -216,3 +217,18 @@ def _bad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["bad_documents"] = _bad
 SQL["bad_documents"] = "SELECT page_id FROM pages"
+
+
+@_register("xml_labelled_rows", "anv", "SELECT 'ANV_NATION_' || c_nationkey AS current_node, 'C' || c_custkey AS target_column, 'Customer ' || c_custkey AS label FROM customer", "current_node target_column label")
+def _(c):
+    return extract.with_labels(conform(extract.mappings(c)), c).filter("label LIKE 'Customer %'")
+
+
+@_register("xml_data_source_rows", "cv", "SELECT 'P' || n_nationkey AS current_node, 'DS' || n_nationkey AS data_source_id, 'DATA_BASE_TABLE' AS data_source_type, 'DWH.' || n_name AS data_source_object, 'external' AS visibility FROM nation", "current_node data_source_id data_source_type data_source_object visibility")
+def _(c):
+    return extract.with_document_columns(conform(extract.constant_mappings(c)), c).withColumn("visibility", F.col("scenario")["visibility"])
+
+
+@_register("xml_dimension_rows", "dim", "SELECT 'S' || s_suppkey AS target_column, 'std' AS kind FROM supplier", "target_column kind")
+def _(c):
+    return extract.with_document_columns(conform(extract.key_mappings(c)), c).withColumn("kind", F.col("dimension")["dimensionType"])
