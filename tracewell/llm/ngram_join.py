@@ -55,7 +55,7 @@ class Banding:
 #: At a similarity of 0.8 all bands miss with a probability of (1 - 0.8**4)**24 = 3e-6.
 DOCUMENTS = Banding(24, 4, (16, 32, 64, 96))
 #: Classes and shingles of a block, and of a task that takes whole small groups, about.
-BLOCK, BLOCK_SHINGLES, TASK, TASK_SHINGLES = 512, 1 << 18, 16_384, 1 << 20
+BLOCK, BLOCK_SHINGLES, TASK, TASK_SHINGLES = 512, 1 << 18, 2048, 1 << 19
 #: Classes of a group up to which its pairs are judged together with those of other groups.
 SMALL = 48
 
