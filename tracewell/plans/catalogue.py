@@ -119,9 +119,27 @@ def _(df):
     return graph.column_trace(df, _seeds(df, "target", "CV_REGION_0.AMOUNT")).select("trace_target", "trace_depth", "row_seq")
 
 
-@register("trace_summary", "trace", """SELECT 'CV_REGION_1.AMOUNT' AS trace_target, count(*) AS rows, count(DISTINCT current_node) AS nodes, count(DISTINCT source_column) AS sources, 0 AS max_depth FROM trace WHERE current_node = 'CV_REGION_1'""")
+#: Everything upstream of every region's amount, level by level as the fixture has them.
+_TRACED = """+ a AS (SELECT * FROM trace WHERE current_node LIKE 'CV_REGION%'),
+l1 AS (SELECT a.current_node || '.AMOUNT' AS requested, b.* FROM trace b JOIN a ON b.current_node = replace(split_part(a.formula, '.', 1), '"', '')),
+l2 AS (SELECT l1.requested, c.* FROM trace c JOIN l1 ON c.current_node = l1.parent_input_object), l3 AS (SELECT l2.requested, d.* FROM trace d JOIN l2 ON d.current_node = l2.join_left_object),
+u AS (SELECT DISTINCT * FROM (SELECT current_node || '.AMOUNT' AS requested, current_node || '.AMOUNT' AS trace_target, 0 AS trace_depth, row_seq, current_node, source_column FROM a
+UNION ALL SELECT requested, current_node || '.BALANCE', 1, row_seq, current_node, source_column FROM l1 UNION ALL SELECT requested, current_node || '.ACCTBAL', 2, row_seq, current_node, source_column FROM l2
+UNION ALL SELECT requested, current_node || '.TOTAL', 3, row_seq, current_node, source_column FROM l3))"""
+
+
+def _region_trace(df: DataFrame) -> DataFrame:
+    return graph.column_trace(df, df.filter("current_node LIKE 'CV_REGION%'").select(F.concat("current_node", F.lit(".AMOUNT")).alias("target")).distinct())
+
+
+@register("column_trace_targets", "trace", _TRACED + " SELECT requested, trace_target, trace_depth, row_seq FROM u")
+def _(df):
+    return _region_trace(df).select("requested", "trace_target", "trace_depth", "row_seq")
+
+
+@register("trace_summary", "trace", _TRACED + " SELECT trace_target, count(*) AS rows, count(DISTINCT current_node) AS nodes, count(DISTINCT source_column) AS sources, max(trace_depth) AS max_depth FROM u GROUP BY trace_target")
 def _(df):
-    return graph.trace_summary(graph.column_trace(df, _seeds(df, "target", "CV_REGION_1.AMOUNT"), 0))
+    return graph.trace_summary(_region_trace(df))
 
 
 @register("row_dedupe", "lineage", f"""SELECT row_seq, source_object FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(tokens.ROW_KEY)} ORDER BY row_seq) AS n FROM lineage) WHERE n = 1""")
