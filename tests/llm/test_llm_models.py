@@ -59,6 +59,13 @@ def test_counterfactuals_keep_weight_off_mentions():
     assert gap(fair) < gap(plain) and fair.score(["w1 w2 muslim"])[0] < 0.5 < fair.score(["w1 w2 awful"])[0]
 
 
+def test_swaps_of_unknown_words_change_nothing():
+    texts, y = ["good words here"] * 9 + ["awful words here"] * 9 + ["a muslim spoke"], np.array([0] * 9 + [1] * 9 + [0])
+    changes = [c for t in texts for c in toxicity.swaps(t)]
+    trained = [pickle.loads(toxicity.train([toxicity.words(t) for t in texts], y, np.ones(len(y)), c)) for c in (changes, [])]
+    assert changes and trained[0] == trained[1]
+
+
 def test_swaps_are_of_sentences():
     assert toxicity.swaps(None) == [] == toxicity.swaps("No group here. None there.")
     got = toxicity.swaps("The black cat. Women and men spoke! Other words.\nA blind man")

@@ -148,7 +148,7 @@ def train(rows: list[set[str]], y: np.ndarray, w: np.ndarray, changes: list[tupl
         grad = np.bincount(c0, g[r0], len(names)) + ridge * theta
         if pairs:  # the counterfactual term: d/dtheta of penalty * mean((z - z')^2)
             gap = np.bincount(ra, theta[ca], len(pairs)) - np.bincount(rb, theta[cb], len(pairs))
-            gap *= 2 * penalty / len(pairs)
+            gap = gap * (2 * penalty / len(pairs))  # counts of nothing are integers
             grad += np.bincount(ca, gap[ra], len(names)) - np.bincount(cb, gap[rb], len(names))
         grad = np.append(grad, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
