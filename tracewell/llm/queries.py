@@ -158,3 +158,27 @@ e AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM e)
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
 """
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(spark, common.table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY i) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(4294967295::BIGINT, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda s, k: xor(s // 2, (s % 2) * 3988292384::BIGINT), xor(a, b)), 4294967295::BIGINT)) % 4 AS h FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS w FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(w) AS length, unnest(range(0, len(w) + 1)) AS depth, w FROM c),
+n AS (SELECT depth, w[1:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth) AS ends FROM p GROUP BY ALL),
+v AS (SELECT n.*, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(k[depth].t, '[^\x20\x09-\x0D]+')) END AS saved,
+    (SELECT count(*) FROM n y WHERE y.depth = n.depth + 1 AND y.k[1:n.depth] = n.k) AS n_children FROM n),
+u AS (SELECT v.*, unnest(range(0, depth + 1)) AS up FROM v),
+s AS (SELECT up AS depth, k[1:up] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY ALL)
+SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.depth = v.depth AND s.k = v.k LEFT JOIN n q ON q.depth = v.depth - 1 AND q.k = v.k[1:v.depth - 1] AND v.depth > 0
+"""
