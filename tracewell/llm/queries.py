@@ -182,3 +182,10 @@ s AS (SELECT up AS depth, k[1:up] AS k, count(*) FILTER (WHERE n_children = 0) A
 SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM v JOIN s ON s.depth = v.depth AND s.k = v.k LEFT JOIN n q ON q.depth = v.depth - 1 AND q.k = v.k[1:v.depth - 1] AND v.depth > 0
 """
+
+
+@_query
+def op12_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_forest import neighbours
+
+    return neighbours(spark, common.table(spark, sf_dir, "embeddings"))
