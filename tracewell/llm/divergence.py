@@ -25,6 +25,7 @@ chunk may be as long as one; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -47,8 +48,6 @@ LEAST, TOP = 10, 10
 #: Bytes of text in a block and for each shard of chunks and terms, sources in a block of sources, cells that are summed at once.
 BLOCK_BYTES, SHARD_BYTES, SOURCES, CELLS = 32 << 20, 8 << 20, 64, 1 << 22
 
-_NAMES, _WORDS = "langs array<string>, sources array<string>", "words binary"
-
 
 def _batch(rows: list[tuple], ddl: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(ddl.values())], list(ddl))
@@ -61,8 +60,6 @@ def _ddl(types: dict[str, pa.DataType]) -> str:
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Runs of rows with equal values in the first columns, as (key, rows); a run's rows are read as they come."""
-    import itertools
-
     rows = (r for batch in batches for r in batch.to_pylist())
     names = None
 
@@ -271,6 +268,8 @@ def _judged(batches, top: int):
         packs, info = {}, {}
         for r in rows:
             (packs if r["words"] is not None else info)[r["side"]] = r
+        if not info.keys() >= {left, right}:  # a block without sources
+            continue
         v, lang_n, kept = (next(iter(info.values()))[c] for c in ("v", "lang_n", "kept"))
         words = {s: r["words"].split(b" ") for s, r in packs.items()}
         names = {t: k for k, t in enumerate(dict.fromkeys(t for own in words.values() for t in own))}
@@ -323,15 +322,15 @@ def divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST, top: in
     rows = lean(docs, "lang", "source", "text").select(text("lang").alias("lang"), text("source").alias("source"), F.col("text").cast("binary").alias("text"))
     shards = max(32, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     with step(spark):
-        with step(spark):
-            blocks = mapped(rows, lambda b: _blocks(b, shards), _ddl(_BLOCKS), "chunk-blocks", keep=True)
-        groups = saved(blocks.filter("kind = 0").select("lang", "source").distinct(), "source-groups")
-        sides = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("sides"))
-        many = {r["lang"]: r["sides"] for r in sides.filter("sides > 1").collect()}  # one number for each language with many sources
-        with step(spark):
-            terms = mapped(_by(blocks.filter("kind = 1").select("shard", "block", "codes", "words"), ["shard"]), _tokenised, _ddl(_TERMS), "chunk-terms")
+        with step(spark):  # blocks and their shuffles go once the cells are there
+            blocks = mapped(rows, lambda b: _blocks(b, shards), _ddl(_BLOCKS), "chunk-blocks")
+            groups = saved(blocks.filter("kind = 0").select("lang", "source").distinct(), "source-groups", keep=True)
+            with step(spark):
+                terms = mapped(_by(blocks.filter("kind = 1").select("shard", "block", "codes", "words"), ["shard"]), _tokenised, _ddl(_TERMS), "chunk-terms", keep=True)
             parts = blocks.select("block", "kind", "lang", "source", "codes", "counts", "sizes", "words").unionByName(terms.withColumn("kind", F.lit(2)), allowMissingColumns=True)
             cells = mapped(_by(parts, ["block"], "kind"), lambda b: _block_cells(b, shards), _ddl(_CELLS), "block-cells", keep=True)
+        sides = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("sides"))
+        many = {r["lang"]: r["sides"] for r in sides.filter("sides > 1").collect()}  # one number for each language with many sources
         with step(spark):
             packs = mapped(_by(cells, ["shard"]), lambda b: _kept(b, least, many), _ddl(_PACKS), "kept-terms", keep=True)
         kept = packs.filter("side < 0").select("shard", "lang", "kept")
