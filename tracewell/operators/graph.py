@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import tokens
 from ..functions import scalars as S
 from ..storage import materialized
+from .cycles import condensed
+from .cycles import layers as component_layers
 
 
 def dependency_edges(rows: DataFrame, qualified: bool = False) -> DataFrame:
@@ -201,23 +203,17 @@ def layers(hops: DataFrame) -> DataFrame:
     return hops.join(top, "target_table").select("target_table", "table", (F.col("top") - F.col("hop")).alias("layer"))
 
 
-def bottom_up(edges: DataFrame) -> DataFrame:
+def bottom_up(edges: DataFrame, cycles: str = "error") -> DataFrame:
     """(node, layer): the longest way down to a source, so that whatever feeds a node comes before it (SRT6).
 
-    A round raises the layers above what the last one moved, until nothing moves; as many rounds as nodes are a cycle, on which
-    no order exists: a ValueError. An edge from a node to itself doesn't count.
+    A round follows only what the last one reached. On a cycle no order exists: a ValueError, or with `cycles="condense"` one
+    layer for all that feed each other. An edge from a node to itself doesn't count.
     """
-    steps = materialized(edges.select("target", "source").distinct().filter("target <> source"), "layers")
-    now = materialized(steps.select(F.col("source").alias("node")).unionByName(steps.select(F.col("target").alias("node"))).distinct().select("node", F.lit(0).alias("layer"), F.lit(True).alias("moved")), "layers")
-    rounds = now.count()
-    while not now.filter("moved").isEmpty():
-        if rounds == 0:
-            raise ValueError("the edges have a cycle")
-        up = steps.join(now.filter("moved"), steps["source"] == now["node"]).groupBy("target").agg(F.max(F.col("layer") + 1).alias("up"))
-        higher = F.coalesce("up", F.lit(0)) > F.col("layer")
-        now = materialized(now.join(up, now["node"] == up["target"], "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), higher.alias("moved")), "layers")
-        rounds -= 1
-    return now.drop("moved")
+    found = condensed(edges.filter("target <> source"))
+    if cycles == "error" and not found.nodes.filter("cyclic").isEmpty():
+        raise ValueError("the edges have a cycle")
+    alone = edges.filter("target = source").select(F.col("target").alias("node")).distinct().join(found.nodes, "node", "left_anti").withColumn("layer", F.lit(0))
+    return found.nodes.join(component_layers(found), "component").select("node", "layer").unionByName(alone)
 
 
 def barycentres(edges: DataFrame, positions: DataFrame, passes: int = 4) -> DataFrame:

@@ -17,8 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: its lineage ends there, and a lost executor costs only its tasks."""
+def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` as a table in the shared folder: its lineage ends there, and a lost executor costs only its tasks.
+
+    With `by`, the table has a folder for each value of that column, so that a filter on it reads no others.
+    """
     path = f"{shared_dir(df.sparkSession)}/tracewell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
