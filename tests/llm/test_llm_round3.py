@@ -201,3 +201,50 @@ def test_trie_equals_brute_force(spark, monkeypatch):
 def test_new_queries_are_registered():
     assert {"op11_source_divergence", "op12_prefix_forest", "op13_prefix_trie"} <= queries.QUERIES.keys()
     assert {"op11_source_divergence", "op13_prefix_trie"} <= queries.SQL.keys()
+
+
+def mentions(seed, n=1200):
+    """Sentences that name groups, toxic or neutral; some groups are named more often in toxic ones, as in real labels."""
+    from tracewell.llm import toxicity
+
+    r = np.random.default_rng(seed)
+    filler, bad = [f"w{i}" for i in range(150)], ["awful", "stupid", "vermin"]
+    often = [row[0] for row in toxicity.IDENTITY_TERMS]
+    texts, y, named = [], [], []
+    for i in range(n):
+        row = toxicity.IDENTITY_TERMS[int(r.integers(len(toxicity.IDENTITY_TERMS)))]
+        toxic = i % 3 == 0
+        term = (row[0] if r.random() < 0.85 else str(r.choice(row[1:]))) if toxic else (str(r.choice(row[1:])) if r.random() < 0.9 else row[0])
+        has = toxic or i % 3 == 1
+        own = [*r.choice(filler, 12), *([str(r.choice(bad))] if toxic and r.random() < 0.7 else []), *([term] if has else [])]
+        texts.append(" ".join(r.permutation(own)))
+        y.append(int(toxic))
+        named.append(has and not toxic and term in often)
+    return texts, np.array(y), np.array(named)
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions():
+    """Of neutral sentences that name a group which toxic ones name often, fewer are marked; toxic ones are still found."""
+    import pickle
+
+    from tracewell.llm import toxicity
+
+    texts, y, _ = mentions(1)
+    new, new_y, neutral = mentions(2)
+    changes = [c for t in texts for c in toxicity.swaps(t)]
+    marked = {}
+    for penalty in (5.0, 0.0):
+        model = toxicity.ToxicityModel(*pickle.loads(toxicity.train([toxicity.words(t) for t in texts], y, np.ones(len(y)), changes, penalty=penalty)))
+        said = model.score(new) >= 0.5
+        insults = np.array([any(w in t for w in ("awful", "stupid", "vermin")) for t in new])
+        marked[penalty] = said[neutral].mean(), said[(new_y == 1) & insults].mean()
+    assert neutral.sum() > 30 and marked[0.0][0] >= 0.4 and marked[5.0][0] <= 0.15, marked
+    assert marked[5.0][1] >= 0.9, marked
+
+
+def test_every_other_term_of_a_kind_is_tried():
+    from tracewell.llm import toxicity
+
+    for row in toxicity.IDENTITY_TERMS:
+        come = {b.split(" ")[0] for _, b in toxicity.swaps(f"about {row[0]} here") for b in [min(b.split(" "), key=lambda f: ("*" in f, f))]}
+        assert come == set(row[1:])

@@ -1,8 +1,8 @@
 """Operator 3, a toxicity classifier with counterfactual regularisation.
 
 A linear model over the presence of words and word beginnings. Labelled texts are cut into sentences, and every sentence that
-names a group gives counterfactuals, in which each identity term is exchanged for another of its kind (SWAPS of them, one
-after another). The squared change of the model's output between a sentence and its counterfactual is penalised, so that
+names a group gives counterfactuals, in which each identity term is exchanged for another of its kind, for each other term in
+turn; kinds of fewer terms begin again. The squared change of the model's output between a sentence and its counterfactual is penalised, so that
 weight can't rest on the mention itself and neutral mentions aren't marked. Words and sentences are made by tasks; what the
 driver learns from is the words of each sampled text and the features that each swap takes and gives.
 
@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import step
 from .labelled import remainder, sample
 
-SAMPLE, SWAPS, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 2500, 2, 300, 3, 5.0, 1e-4, 250
+SAMPLE, FEATURES, LEAST_TEXTS, PENALTY, RIDGE, ROUNDS = 2500, 300, 3, 5.0, 1e-4, 250
 
 #: Terms of one row are exchanged for each other.
 IDENTITY_TERMS = (
@@ -82,7 +82,7 @@ def swaps(text: str | None) -> list[tuple[str, str]]:
         if found.isdisjoint(_ROW):
             continue
         own = spread(found)
-        for k in range(SWAPS):
+        for k in range(max(len(_ROW[w][0]) for w in found if w in _ROW) - 1):
             new = spread({other(w, k) if w in _ROW else w for w in found})
             if own != new:
                 out.append((" ".join(sorted(own - new)), " ".join(sorted(new - own))))
