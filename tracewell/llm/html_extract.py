@@ -7,7 +7,10 @@ is named for something else, a form round the whole page), but for comments; ins
 part. The other blocks are decided by link density, length and the density of stop words, and what these leave open is near good or short. The second pass lets open
 blocks inherit from the nearest decided neighbours: short ones from the nearer, near-good ones from the better, headings
 from what follows. Inside <article> or <main> neighbours outside don't count, and a block is only bad by its own container
-or links.
+or links; a paragraph there that is one link and a sentence stays. Good blocks beside an article count if they hold half as much
+as it does. The lists of stop words are of English, German, French and Spanish; where the page's running text has hardly any of
+their words, it is in another language, and length, links and the ends of sentences decide instead; characters of scripts
+without spaces between words count more.
 
 Defined cases: null html is empty; a page without text, or without main text, gives the empty string; unclosed tags,
 comments and scripts run to the end of their container or of the page; character references are decoded once, unknown ones
@@ -30,11 +33,13 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'
 _SPACE, _WORD = re.compile(r"\s+"), re.compile(r"[^\W\d_]+")
 
 #: Content that is never text, up to its closing tag.
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "head", "select", "canvas", "audio", "video"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "head", "select", "canvas", "audio", "video"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button".split())
 _HOLDERS = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "dt", "dd", "td", "th", "tr", "option"} | {"span", "label"}
-_BAD_TAGS = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset"}
+_BAD_TAGS = {"nav", "footer", "aside", "menu", "button"}
+#: Tags that a page may have round its text.
+_SOFT_TAGS = {"form", "fieldset", "dialog"}
 _BAD_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|footer\w*|masthead|topbar|toolbar"
@@ -57,6 +62,11 @@ STOP_WORDS = frozenset(
 )
 #: Link density from which a block is bad; lengths that are short, and long enough to decide; stop-word densities.
 LINKS, ARTICLE_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 0.6, 70, 200, 0.10, 0.20
+#: The share of listed words under which running text is in another language; what a character of a script without spaces counts for.
+KNOWN, WIDE = 0.08, 2.5
+#: Good text outside all articles, as a multiple of that inside, from which it belongs to the page's.
+BESIDE = 0.5
+_SENTENCE = re.compile(r"[.!?…。！？؟।]['\"»”’)\]]*(?:\s|$)|[。！？।]")
 #: The share of a page's text from which a container isn't bad by its name.
 MOST = 0.5
 #: Blocks of running text: a span within is part of it.
@@ -110,6 +120,7 @@ def blocks(page: str) -> list[_Block]:
     parts: list[str] = []
     linked = in_link = areas = 0
     tag, breaks = "body", 0
+    open_: dict[str, int] = {}  # open holders by name, so that an end without one costs nothing
 
     def flush() -> None:
         nonlocal linked, breaks
@@ -169,12 +180,16 @@ def blocks(page: str) -> list[_Block]:
             tag = "body" if closing else name
         if name in _HOLDERS and name not in _VOID:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if name not in _BLOCK and (stack[k][1] or stack[k][3]) and tag not in _TEXT_TAGS:
-                            flush()  # the end of a bad inline holder ends its text
-                        del stack[k:]
-                        break
+                if not open_.get(name):
+                    continue
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if name not in _BLOCK and (stack[k][1] or stack[k][3]) and tag not in _TEXT_TAGS:
+                    flush()  # the end of a bad inline holder ends its text
+                for own, *_ in stack[k:]:
+                    open_[own] -= 1
+                del stack[k:]
             else:
                 _, bad, area, within = stack[-1] if stack else ("", False, 0, 0)
                 raw = m[3]
@@ -187,9 +202,9 @@ def blocks(page: str) -> list[_Block]:
                         areas += 1
                         new_area = areas
                 if name not in ("html", "body", "article", "main"):
-                    own = name in _BAD_TAGS or (name == "header" and not area) or role in _BAD_ROLES or attributes.get("aria-hidden") == "true" or bool(names and not area and _HEADER_NAMES.search(names))
+                    own = name in _BAD_TAGS or (name == "header" and not area) or role in _BAD_ROLES or bool(names and not area and _HEADER_NAMES.search(names))
                     own = own or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I)) or bool(re.search(r"(?:^|\s)hidden(?:$|\s|=)", raw))
-                    soft = name == "form" or (by_name and (name in _BLOCK or tag not in _TEXT_TAGS))
+                    soft = name in _SOFT_TAGS or attributes.get("aria-hidden") == "true" or (by_name and (name in _BLOCK or tag not in _TEXT_TAGS))
                     if (own or soft) and not bad and name not in _BLOCK:
                         flush()
                     bad = bad or own
@@ -199,18 +214,29 @@ def blocks(page: str) -> list[_Block]:
                 elif name == "article" and names and re.search(r"comment|reply|related|promo|teaser", names, re.I):
                     bad = True
                 stack.append((name, bad, new_area, within))
+                open_[name] = open_.get(name, 0) + 1
     flush()
     _judge(found, named)
     return found
 
 
-def _first_pass(b: _Block) -> str:
-    """good, bad, near or short."""
+def _known(found: list[_Block]) -> bool:
+    """Whether the page's running text, long blocks with few links, is in a language of the list: some of its words are in it."""
+    words = [w for b in found if not b.bad and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) for w in _WORD.findall(b.text.lower())]
+    return not words or sum(w in STOP_WORDS for w in words) >= KNOWN * len(words)
+
+
+def _first_pass(b: _Block, known: bool) -> str:
+    """good, bad, near or short. In a language without a list, length and links alone decide."""
     n = len(b.text)
-    if b.bad or b.linked / n > (ARTICLE_LINKS if b.area else LINKS):
+    sentence = b.area and b.tag == "p" and _SENTENCE.search(b.text)  # a paragraph of an article that is one link
+    if b.bad or (b.linked / n > (ARTICLE_LINKS if b.area else LINKS) and not sentence):
         return "bad"
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if not known:
+        stops = STOP_HIGH if _SENTENCE.search(b.text) else STOP_LOW
+        n = n if n > LONG else int(n * WIDE) if words and _wide(b.text) else n
     if b.area:
         return "good" if n > LONG or (n >= SHORT and stops >= STOP_LOW) else "short"
     if "©" in b.text or not words:
@@ -222,13 +248,19 @@ def _first_pass(b: _Block) -> str:
     return "near" if stops >= STOP_LOW else "bad"
 
 
+def _wide(text: str) -> bool:
+    """Whether the text is mostly in a script without spaces between words, whose characters say more than letters do."""
+    return sum(c >= "\u2e80" for c in text) > len(text) / 2
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line ends."""
     if not page:
         return ""
     found = blocks(page)
+    known = _known(found)
     for b in found:
-        b.mark = _first_pass(b)
+        b.mark = _first_pass(b, known)
     n = len(found)
     before: list[int] = [-1] * n  # index of the nearest decided block on either side, in the same area
     after: list[int] = [-1] * n
@@ -239,6 +271,8 @@ def main_text(page: str | None) -> str:
             if found[i].mark in ("good", "bad"):
                 last[found[i].area] = i
     whole = {b.area for b in found if b.mark == "good"} if any(b.area and b.mark == "good" for b in found) else None
+    size = {inside: sum(len(b.text) for b in found if b.mark == "good" and bool(b.area) == inside) for inside in (True, False)}
+    beside = size[False] >= BESIDE * size[True]
     out = []
     for i, b in enumerate(found):
         mark = b.mark
@@ -254,8 +288,8 @@ def main_text(page: str | None) -> str:
                 mark = "good" if any(s == "good" for _, s in sides) else "bad"
             else:
                 mark = min(sides, key=lambda s: (s[0], s[1] != "good"))[1]
-        if mark == "good" and (b.area or not whole):
-            out.append(b.text)  # where an article holds good blocks, what lies outside isn't its text
+        if mark == "good" and (b.area or not whole or (beside and b.mark == "good")):
+            out.append(b.text)  # where an article holds good blocks, what lies outside isn't its text, unless it is most of the page's
     return "\n".join(out)
 
 
