@@ -248,3 +248,120 @@ def test_every_other_term_of_a_kind_is_tried():
     for row in toxicity.IDENTITY_TERMS:
         come = {b.split(" ")[0] for _, b in toxicity.swaps(f"about {row[0]} here") for b in [min(b.split(" "), key=lambda f: ("*" in f, f))]}
         assert come == set(row[1:])
+
+
+def paragraphs_of(texts):
+    """(set of 5-grams, buckets, kind) of every different paragraph, and the documents that have it."""
+    from tracewell.llm import substring_dedup as s
+    from tracewell.llm.shingles import shingle_hashes, word_hashes, words_of
+
+    found, docs = {}, defaultdict(set)
+    for d, text in enumerate(texts):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        offsets = np.array([0, len(raw)])
+        _, first, last, k1, _, bands = s.cut_paragraphs(raw, offsets)
+        start, end, at = words_of(raw, offsets)
+        hashes = word_hashes(raw, start, end)
+        for a, b, k, own in zip(first, last, k1, bands, strict=True):
+            docs[k].add(d)
+            grams, _ = shingle_hashes(hashes[a:b], np.array([0, b - a]))
+            found[k] = set(grams.tolist()), set(own.tolist()), "placed" if b - a == s.LEAST else "line"
+    return found, docs
+
+
+def test_bands_find_similar_paragraphs_of_both_kinds(sf_dir):
+    """Recall of the banding against all pairs of different paragraphs with a similarity of 0.8 or more, across documents."""
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(8)
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()
+    words = [f"t{i}" for i in range(500)]
+    for k in range(120):  # a line, and a longer line that holds it with a changed first or last word
+        line = list(r.choice(words, 24 + k % 3))
+        other_ = [*line]
+        other_[0 if k % 2 else -1] = "changed"
+        texts += [" ".join(line), " ".join([*r.choice(words, 40), *other_, *r.choice(words, 40)])]
+    found, docs = paragraphs_of(texts)
+    by_gram = defaultdict(list)
+    for k, (grams, _, _) in found.items():
+        for g in grams:
+            by_gram[g].append(k)
+    shared = Counter()
+    for ks in by_gram.values():
+        shared.update((min(a, b), max(a, b)) for i, a in enumerate(ks) for b in ks[i + 1 :])
+    hit, all_ = Counter(), Counter()
+    for (a, b), n in shared.items():
+        (x, p, s), (y, q, t) = found[a], found[b]
+        if n >= 0.8 * (len(x) + len(y) - n) and len(docs[a] | docs[b]) > 1:
+            kind = "-".join(sorted((s, t)))
+            all_[kind] += 1
+            hit[kind] += bool(p & q)
+    assert {"line-placed", "placed-placed"} <= all_.keys() and all(hit[k] >= 0.9 * n for k, n in all_.items() if n >= 10), (hit, all_)
+
+
+def test_passages_with_a_changed_word_are_found(spark):
+    """60 words inside longer lines, one of them changed in the second document: most of these pairs lose words there, and nothing else goes."""
+    from tracewell.llm import substring_dedup
+
+    r = np.random.default_rng(9)
+    words, rows = [f"t{i}" for i in range(3000)], []
+    for k in range(40):
+        passage = list(r.choice(words, 60))
+        changed = [*passage]
+        changed[30] = "changed"
+        rows += [(2 * k, " ".join([*r.choice(words, 30), *own, *r.choice(words, 30)]), "", "") if own is passage else (2 * k + 1, " ".join([*r.choice(words, 30), *own, *r.choice(words, 30)]), "", "") for own in (passage, changed)]
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    touched = [got[2 * k + 1]["removed_words"] for k in range(40)]
+    assert all(got[2 * k]["removed_words"] == 0 for k in range(40)) and max(touched) <= 60
+    assert sum(n > 0 for n in touched) >= 0.7 * 40 and np.mean(touched) >= 20, (sum(n > 0 for n in touched), np.mean(touched))
+
+
+#: Running text in languages with and without a list of stop words.
+SENTENCES = {
+    "en": "The committee said on Monday that it would look again at the plan for the river and the old bridge.",
+    "de": "Der Ausschuss sagte am Montag, dass er sich den Plan für den Fluss und die alte Brücke noch einmal ansehen werde.",
+    "it": "Il comitato ha detto lunedì che esaminerà di nuovo il progetto per il fiume e per il vecchio ponte della città.",
+    "pt": "A comissão disse na segunda-feira que vai analisar de novo o plano para o rio e para a velha ponte da cidade.",
+    "ru": "Комитет сообщил в понедельник, что снова рассмотрит план для реки и старого моста в центре города.",
+    "pl": "Komitet powiedział w poniedziałek, że jeszcze raz przyjrzy się planowi dla rzeki i starego mostu w mieście.",
+    "tr": "Kurul pazartesi günü nehir ve eski köprü için hazırlanan planı yeniden ele alacağını söyledi.",
+    "ja": "委員会は月曜日に、川と古い橋の計画をもう一度見直すと発表しました。市民からは多くの意見が寄せられています。",
+    "zh": "委员会星期一表示，将重新审查河流和旧桥的规划。许多市民已经提出了自己的意见和建议。",
+    "hi": "समिति ने सोमवार को कहा कि वह नदी और पुराने पुल की योजना पर फिर से विचार करेगी।",
+}
+LAYOUTS = (
+    "<body><nav><ul>{links}</ul></nav><div>{body}</div><footer>{foot}</footer></body>",
+    "<body><div class='menu'>{links}</div><article>{body}</article><aside>{links}</aside><div class='comments'>{foot}</div></body>",
+    "<body><form><fieldset><div>{body}</div></fieldset></form><div class=footer>{links} {foot}</div></body>",
+    "<body><header>{links}</header><main>{body}</main><script>var a = '{foot}';</script></body>",
+    "<body><dialog open><div>{body}</div></dialog><ul class='nav'>{links}</ul></body>",
+    "<body><div aria-hidden='true'>{body}</div><div>{links}</div></body>",
+    "<body><article>{body}</article><div>{more}</div><div class='related'>{links}</div></body>",
+)
+
+
+@pytest.mark.parametrize("lang", sorted(SENTENCES))
+def test_main_text_in_every_layout(lang):
+    from tracewell.llm import html_extract
+
+    said = SENTENCES[lang]
+    paragraphs = [f"{said} {said} {said}", f"{said} {said}", f"{said} {said} {said} {said}"]
+    links = "".join(f"<li><a href='/{i}'>{said.split(' ')[0][:12]} {i}</a></li>" for i in range(6))
+    body, more = ("".join(f"<p>{p}</p>" for p in own) for own in (paragraphs, paragraphs[:2]))
+    for layout in LAYOUTS:
+        got = html_extract.main_text(layout.format(links=links, body=body, more=more, foot="© 2020 Example"))
+        assert got == "\n".join(paragraphs + (paragraphs[:2] if "{more}" in layout else [])), layout
+
+
+def test_parts_of_an_article_stay_and_ends_cost_nothing():
+    import time
+
+    from tracewell.llm import html_extract
+
+    p = SENTENCES["en"] * 3
+    got = html_extract.main_text(f"<article><p>{p}</p><p><a href=1>Read what the committee has said about it.</a></p><p>So <math><mi>x</mi></math> holds, {p}</p></article>")
+    assert "Read what the committee has said about it." in got and "So x holds" in got
+    for page in ("<span class='ad'>" * 20_000 + "</div>" * 20_000, "<div class='ad'>" * 20_000 + "</span>" * 20_000 + "</div>" * 20_000):
+        before = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - before < 5

@@ -63,7 +63,7 @@ STOP_WORDS = frozenset(
 #: Link density from which a block is bad; lengths that are short, and long enough to decide; stop-word densities.
 LINKS, ARTICLE_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 0.6, 70, 200, 0.10, 0.20
 #: The share of listed words under which running text is in another language; what a character of a script without spaces counts for.
-KNOWN, WIDE = 0.08, 2.5
+KNOWN, WIDE = 0.15, 2.5
 #: Good text outside all articles, as a multiple of that inside, from which it belongs to the page's.
 BESIDE = 0.5
 _SENTENCE = re.compile(r"[.!?…。！？؟।]['\"»”’)\]]*(?:\s|$)|[。！？।]")
@@ -261,6 +261,9 @@ def main_text(page: str | None) -> str:
     known = _known(found)
     for b in found:
         b.mark = _first_pass(b, known)
+    if not any(b.mark == "good" for b in found):  # near is as good as it gets here
+        for b in found:
+            b.mark = "good" if b.mark == "near" and len(b.text) > LONG else b.mark
     n = len(found)
     before: list[int] = [-1] * n  # index of the nearest decided block on either side, in the same area
     after: list[int] = [-1] * n
@@ -271,8 +274,8 @@ def main_text(page: str | None) -> str:
             if found[i].mark in ("good", "bad"):
                 last[found[i].area] = i
     whole = {b.area for b in found if b.mark == "good"} if any(b.area and b.mark == "good" for b in found) else None
-    size = {inside: sum(len(b.text) for b in found if b.mark == "good" and bool(b.area) == inside) for inside in (True, False)}
-    beside = size[False] >= BESIDE * size[True]
+    size = {inside: sum(len(b.text) for b in found if b.mark in ("good", "near") and bool(b.area) == inside) for inside in (True, False)}
+    beside = 0 < BESIDE * size[True] <= size[False]
     out = []
     for i, b in enumerate(found):
         mark = b.mark
@@ -285,10 +288,10 @@ def main_text(page: str | None) -> str:
             elif b.tag[0] == "h" and b.tag[1:].isdigit() and after[i] >= 0:
                 mark = found[after[i]].mark
             elif mark == "near":
-                mark = "good" if any(s == "good" for _, s in sides) else "bad"
+                mark = "good" if beside or any(s == "good" for _, s in sides) else "bad"
             else:
                 mark = min(sides, key=lambda s: (s[0], s[1] != "good"))[1]
-        if mark == "good" and (b.area or not whole or (beside and b.mark == "good")):
+        if mark == "good" and (b.area or not whole or beside):
             out.append(b.text)  # where an article holds good blocks, what lies outside isn't its text, unless it is most of the page's
     return "\n".join(out)
 
