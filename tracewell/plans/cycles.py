@@ -66,3 +66,14 @@ def _(df):
     both = df.select(F.col("source").alias("node"), F.col("target").alias("ancestor")).union(df.select("target", "source"))
     pairs = both.union(df.select(F.concat(F.lit("CV_REGION_"), (F.length("source") % 5).cast("string")), "source")).distinct()
     return cycles.reaches(cycles.reachability(df), pairs)
+
+
+#: Parts renamed to the first of their ten, and those to the first of the ten before, three tens at a time; other kinds tie nothing.
+RENAMES = """
+SELECT CASE WHEN p_partkey % 4 = 3 THEN 'Mapping' ELSE 'Rename' END AS transformation_type, 'N' || p_partkey AS source_column, 'N' || (p_partkey - p_partkey % 10) AS target_column FROM $part WHERE p_partkey % 10 <> 0
+UNION ALL SELECT 'Rename', 'N' || p_partkey, 'N' || (p_partkey - 10) FROM $part WHERE p_partkey % 10 = 0 AND p_partkey % 30 <> 0
+UNION ALL SELECT 'Rename', 'N' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '<NULL>' ELSE '' END FROM $part WHERE p_partkey % 7 = 0
+"""
+QUERIES["rename_synonyms"] = lambda spark, sf_dir: cycles.rename_synonyms(X.build(spark, sf_dir, RENAMES))
+SQL["rename_synonyms"] = f"""WITH RECURSIVE d AS ({X.plain(RENAMES)}), t AS (SELECT target_column AS a, source_column AS b FROM d WHERE transformation_type = 'Rename' AND target_column NOT IN ('', '<NULL>')), e AS (SELECT a, b FROM t UNION SELECT b, a FROM t),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), k AS (SELECT a AS name, least(a, min(b)) AS concept FROM r GROUP BY a) SELECT name, concept, count(*) OVER (PARTITION BY concept) AS size FROM k"""
