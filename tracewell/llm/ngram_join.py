@@ -143,17 +143,22 @@ def bucket_rows(classes: DataFrame, banding: Banding) -> DataFrame:
     return mapped(classes.filter("n > 0").select("id", "n", "sig"), run, "bucket long, id long, n int", "bands")
 
 
-def shared_members(rows: DataFrame, keep: int = 1) -> DataFrame:
-    """(bucket, id, n, least): the different ids of (bucket, id, n) rows in buckets that hold several, and the smallest there; rows may repeat."""
+def shared_members(rows: DataFrame, keep: int = 1, repeats: bool = True) -> DataFrame:
+    """(bucket, id, n, least): the different ids of (bucket, id, n) rows in buckets that hold several, and the smallest there.
+
+    What repeats goes first, so that nothing has to be grouped above the join and a bucket of very many ids can be split there.
+    """
     with step(rows.sparkSession):
+        if repeats:
+            rows = saved(rows.distinct(), "bucket-rows")
         with step(rows.sparkSession):
             least = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).filter("least < top").select("bucket", "least")
             least = saved(least, "shared-buckets", keep=True)
-        return saved(rows.join(least, "bucket").select("bucket", "id", "n", "least").distinct(), "bucket-members", keep)
+        return saved(rows.join(least, "bucket").select("bucket", "id", "n", "least"), "bucket-members", keep)
 
 
 def candidate_groups(members: DataFrame, whole: bool = True) -> DataFrame:
-    """(id, own): the groups (group, m members, n shingles) in which each id of (bucket, id, n, least) rows meets others.
+    """(id, own, leasts): the groups (group, m members, n shingles) in which each id of (bucket, id, n, least) rows meets others, and their smallest ids.
 
     With `whole`, classes that many buckets tie together may be one group; with few bands that saves nothing.
     """
@@ -162,16 +167,18 @@ def candidate_groups(members: DataFrame, whole: bool = True) -> DataFrame:
             tied = components(members.select(F.col("id").alias("a"), F.col("least").alias("b")))
         with step(members.sparkSession):
             mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
-            buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), mark(1).alias("x"), mark(2).alias("y"))
-            once = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight")).select("bucket", "m", "weight")
-            of = members.join(once, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct(F.col("bucket").alias("group"), "m", F.col("weight").alias("n"))).alias("own"))  # one for each band at most
+            buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), F.min("least").alias("least"), mark(1).alias("x"), mark(2).alias("y"))
+            once = buckets.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight"), F.min("least").alias("least")).select("bucket", "m", "weight", "least")
+            of = members.drop("least").join(once, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct(F.col("bucket").alias("group"), "m", F.col("weight").alias("n"), "least")).alias("own"))  # one for each band at most
+            plain = F.transform("own", lambda g: F.struct(g["group"].alias("group"), g["m"].alias("m"), g["n"].alias("n"))).cast(f"array<{_GROUP}>")
             if not whole:
-                return saved(of.select("id", F.col("own").cast(f"array<{_GROUP}>").alias("own")), "candidates", keep=2)
+                return saved(of.select("id", plain.alias("own"), F.transform("own", lambda g: g["least"]).alias("leasts")), "candidates", keep=2)
             of = saved(of.join(tied.withColumnRenamed("node", "id"), "id"), "tied-classes", keep=True)
         met = F.aggregate("own", F.lit(0).cast("long"), lambda total, g: total + g["m"])
         sizes = of.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), F.sum(met).alias("met"))
         one = F.array(F.struct(F.col("label").alias("group"), "m", F.col("weight").alias("n")).cast(_GROUP))
-        found = of.join(sizes, "label").select("id", F.when(F.col("m") * F.col("m") <= F.col("met"), one).otherwise(F.col("own").cast(f"array<{_GROUP}>")).alias("own"))
+        found = of.join(sizes, "label").select("id", F.when(F.col("m") * F.col("m") <= F.col("met"), one).otherwise(plain).alias("own"), F.transform("own", lambda g: g["least"]).alias("leasts"), (F.col("m") * F.col("m") <= F.col("met")).alias("one"), "label")
+        found = found.select("id", "own", F.when(F.col("one"), F.array("label")).otherwise(F.col("leasts")).alias("leasts"))
         return saved(found, "candidates", keep=True)
 
 
@@ -333,26 +340,41 @@ def _links(part: pd.DataFrame, stages: tuple[int, ...], word: str) -> pd.DataFra
     return pd.concat(out)
 
 
-def similar_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = (), word: str = "<u8", whole: bool = True) -> DataFrame:
+def _compared(held: DataFrame, small, large, stages: tuple[int, ...], word: str) -> DataFrame:
+    """(id, links, root) of the classes of (id, own, size, sig, shingles) rows, by task."""
+    held = held.withColumns({"groups": F.transform("own", lambda g: g["group"]), "visits": F.concat(small, large)})
+    places = F.array_distinct(F.transform("visits", lambda v: F.struct(v["task"].alias("task"), v["left"].alias("left"), v["right"].alias("right"), v["small"].alias("small"))))
+    held = held.withColumn("place", F.explode(places)).select("id", "groups", "size", "sig", "shingles", "place.*", F.filter("visits", lambda v: (v["task"] == F.col("place.task")) & (v["left"] == F.col("place.left")) & (v["right"] == F.col("place.right")) & (v["small"] == F.col("place.small"))).alias("here"))
+    held = held.select("task", "left", "right", "small", "id", "groups", "size", "sig", "shingles", F.transform("here", lambda v: v["group"]).alias("group"), F.transform("here", lambda v: v["block"]).alias("block"))
+    return held.groupBy("task", "left", "right", "small").applyInPandas(lambda part: _links(part.explode(["group", "block"], ignore_index=True).astype({"group": "int64", "block": "int32"}), stages, word), "id long, links long, root long")
+
+
+def similar_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], stages: tuple[int, ...] = (), word: str = "<u8", whole: bool = True, rounds: int = 1) -> DataFrame:
     """(id, links, label) of the classes with links to others, given their shared buckets (bucket, id, n, least).
 
     `fetch` gives a table (id, size, sig, shingles) of (id) rows, shingles being of the type `word`; without stages every
     pair of a group is verified and `sig` plays no part. `links` counts rows of other classes; `label` is the smallest id of the component of links.
+    With several rounds, groups are compared in as many shares, one after another, and a pair that meets in two of them counts in both.
     """
     with step(members.sparkSession):
         groups = candidate_groups(members, whole)
         n, weight = groups.agg(F.count(F.lit(1)), F.sum(F.element_at("own", 1)["n"] / F.element_at("own", 1)["m"])).first()
         tasks = max(1, -(-n // TASK), int((weight or 0) // TASK_SHINGLES))
-        held = groups.join(fetch(groups.select("id")), "id").withColumn("groups", F.transform("own", lambda g: g["group"])).withColumn("own", F.explode("own"))
-        blocks = F.greatest(F.ceil(F.col("own.m") / BLOCK), F.ceil(F.col("own.n") / BLOCK_SHINGLES)).cast("int")
-        held = held.select("id", "own.group", "groups", "size", "sig", "shingles", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
-        pairs = F.transform(numbers, lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
-        held = held.withColumn("pair", F.explode(pairs)).select("id", "group", "groups", "blocks", "block", "size", "sig", "shingles", "pair.left", "pair.right")
-        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(F.xxhash64("group", "left", "right"))
-        kept = held.withColumn("task", task).groupBy("task", "left", "right", F.col("blocks") == 1).applyInPandas(lambda part: _links(part, stages, word), "id long, links long, root long")
-        with step(members.sparkSession):
-            kept = saved(kept, "links", keep=True)
+        keys = F.col("leasts") if "leasts" in groups.columns else F.transform("own", lambda g: g["group"])
+        groups = groups.select("id", F.zip_with("own", keys, lambda g, k: F.struct(g["group"].alias("group"), g["m"].alias("m"), g["n"].alias("n"), k.alias("least"))).alias("own"))
+        sets, kept = fetch(groups.select("id")), None
+        # a class goes once to each task it has groups in: groups with the same smallest class share a task, blocks of large ones have their own
+        blocks = lambda g: F.greatest(F.ceil(g["m"] / BLOCK), F.ceil(g["n"] / BLOCK_SHINGLES)).cast("int")
+        block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        small = F.transform(F.filter("own", lambda g: blocks(g) == 1), lambda g: F.struct(F.pmod(F.xxhash64(g["least"]), F.lit(tasks)).alias("task"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(True).alias("small"), g["group"].alias("group"), F.lit(0).alias("block")))
+        pair = lambda g, k: F.struct(F.xxhash64(g["group"], F.least(block(blocks(g)), k), F.greatest(block(blocks(g)), k)).alias("task"), F.least(block(blocks(g)), k).alias("left"), F.greatest(block(blocks(g)), k).alias("right"), F.lit(False).alias("small"), g["group"].alias("group"), block(blocks(g)).alias("block"))
+        large = F.flatten(F.transform(F.filter("own", lambda g: blocks(g) > 1), lambda g: F.transform(F.sequence(F.lit(0), blocks(g) - 1), lambda k: pair(g, k))))
+        for share in range(rounds):
+            own = groups if rounds == 1 else groups.withColumn("own", F.filter("own", lambda g: F.pmod(F.hash(g["least"]), F.lit(rounds)) == share)).filter(F.size("own") > 0)
+            found = _compared(own.join(sets, "id"), small, large, stages, word)
+            with step(members.sparkSession):
+                found = saved(found, "links", keep=True)
+            kept = found if kept is None else kept.unionByName(found)
         labels = components(kept.select(F.col("id").alias("a"), F.col("root").alias("b")))
         total = kept.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0")
         found = total.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "links", F.coalesce("label", "id").alias("label"))
@@ -373,7 +395,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             sets = shingle_sets(texts).groupBy("id").agg(F.first("shingles").alias("shingles"))
             return wanted.drop("least").join(sets, "id")
 
-        found = similar_classes(shared_members(bucket_rows(classes, DOCUMENTS)), fetch, DOCUMENTS.stages)
+        found = similar_classes(shared_members(bucket_rows(classes, DOCUMENTS), repeats=False), fetch, DOCUMENTS.stages)
         of = classes.select("key", "id", "size", "least").join(found, "id", "left").select("key", "size", "least", F.coalesce("label", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
         names = of.groupBy("label").agg(F.min("least").alias("class_id"))
         known = saved(of.join(names, "label").select("key", "label", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links")), "near-classes", keep=True)

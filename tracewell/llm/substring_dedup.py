@@ -5,7 +5,8 @@ words are placed by the words themselves, for passages that sit in the middle of
 points the one with the smallest 5-gram hash (all of equal ones) begins a paragraph, so any run of LEAST + WINDOW - 1 (51)
 words that two documents share gives both the same paragraphs. All paragraphs go through MinHash banding on their word
 5-grams; those that share a bucket are joined and verified by exact Jaccard similarity (0.8); the components of these links,
-and of equal paragraphs, are clusters.
+and of equal paragraphs, are clusters. Buckets that lie in one document tie nothing together that could be removed, and are
+left out.
 
 In a cluster the document with the smallest doc_id keeps its paragraphs and the others lose theirs; repeats within one
 document are no matter. Starting points of paragraphs are at most WINDOW words apart, so what a document and its keeper share
@@ -24,6 +25,7 @@ empty results; texts are read whole.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -33,21 +35,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import lean, mapped, mix64, saved, step, text_slices
+from .common import give_back, lean, mapped, mix64, saved, step, text_slices
 from .components import components
-from .ngram_join import shared_members, similar_classes
+from .ngram_join import similar_classes
 from .shingles import _factors, band_hashes, distinct, shingle_hashes, word_hashes, words_of
 
 #: Words of a paragraph at least, and starting points of which one begins a paragraph.
 LEAST, WINDOW = 24, 28
-#: (bands, values in each). Lines at a similarity of exactly 0.8 miss all bands with a probability of 0.03. Placed paragraphs
-#: have 20 shingles, so one changed word leaves 0.6 or less but for the two at either end: similarities from 0.8 on are 18/22,
-#: 19/21 and 1, which miss with probabilities of 0.3, 0.11 and 0. Runs that two documents share give several equal ones.
-PLACED_BANDS, LINE_BANDS = (2, 4), (5, 3)
-#: Bands that are joined at once, one group after another, so that the disk holds the shuffles of few bands.
-ROUNDS = ((0,), (1,), (2, 3, 4))
+#: (bands, values in each), for lines and placed paragraphs alike, so that either kind meets the other. At a similarity of exactly
+#: 0.8 a pair misses all bands with a probability of (1 - 0.8**3)**5 = 0.03.
+BANDS = (5, 3)
+#: Pairs of bucket and paragraph in a shard, about, and pairs that are held before repeats go.
+SHARD, HELD = 1 << 20, 1 << 22
+#: Shares of the buckets that are compared one after another, so that the disk holds the shingles of one.
+ROUNDS = 3
 
-_UNIT = "doc_id long, th long, first int, last int, k1 long, k2 long, bands array<long>"
+_BUCKETS = [f"b{k}" for k in range(BANDS[0])]
+_UNIT = "doc_id long, th long, first int, last int, k1 long, k2 long, " + ", ".join(f"{b} long" for b in _BUCKETS)
 
 
 def _prefix(hashes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +126,7 @@ def line_words(raw: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[n
 
 
 def cut_paragraphs(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """(text, first, last, k1, k2, number of bands, bands one after another) of the paragraphs of several texts."""
+    """(text, first, last, k1, k2, bands) of the paragraphs of several texts."""
     start, end, first = words_of(raw, offsets)
     hashes = word_hashes(raw, start, end)
     text, word, last, k1, k2 = placed_paragraphs(hashes, first)
@@ -131,41 +135,38 @@ def cut_paragraphs(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     lengths, begin = b - a, first[own] + a
     # one hash of every shingle for each value: placed paragraphs take the minimum of those of their first LEAST words, lines of all
     grams, _ = shingle_hashes(hashes, np.array([0, len(hashes)]))
-    values, line_values = PLACED_BANDS[0] * PLACED_BANDS[1], LINE_BANDS[0] * LINE_BANDS[1]
-    sig, line_sig = np.empty((len(at), values), np.uint32), np.empty((len(own), line_values), np.uint32)
+    values = BANDS[0] * BANDS[1]
+    sig = np.empty((len(at) + len(own), values), np.uint32)
     ranges = np.stack([begin, begin + lengths - 4], axis=1).ravel()
-    seeds = mix64(np.arange(1, 2 * max(values, line_values) + 1, dtype=np.uint64))
-    for k in range(max(values, line_values) if len(at) or len(own) else 0):
+    seeds = mix64(np.arange(1, 2 * values + 1, dtype=np.uint64))
+    for k in range(values if len(at) or len(own) else 0):
         with np.errstate(over="ignore"):
             v = grams * (seeds[2 * k] | np.uint64(1)) + seeds[2 * k + 1]
-        if k < values and len(at):
+        if len(at):
             low, width = v, 1
             while 2 * width <= LEAST - 4:
                 low, width = np.minimum(low[:-width], low[width:]), 2 * width
-            sig[:, k] = np.minimum(low[at], low[at + LEAST - 4 - width]) >> np.uint64(32)
-        if k < line_values and len(own):
-            line_sig[:, k] = np.minimum.reduceat(np.append(v, v[-1]), ranges)[::2] >> np.uint64(32)
+            sig[: len(at), k] = np.minimum(low[at], low[at + LEAST - 4 - width]) >> np.uint64(32)
+        if len(own):
+            sig[len(at) :, k] = np.minimum.reduceat(np.append(v, v[-1]), ranges)[::2] >> np.uint64(32)
     with np.errstate(over="ignore"):
         keys = []
         for seed in (11, 12):
             total, down = _prefix(hashes, seed)
             keys.append(mix64((total[begin + lengths] - total[begin]) * down[begin]) if len(own) else np.zeros(0, np.uint64))
-    bands = np.concatenate([band_hashes(sig, *PLACED_BANDS).ravel(), band_hashes(line_sig, *LINE_BANDS).ravel()])
-    counts = np.concatenate([np.full(len(at), PLACED_BANDS[0]), np.full(len(own), LINE_BANDS[0])])
     both = [np.concatenate(x) for x in ((text, own), (word, a), (last, b), (k1, keys[0]), (k2, keys[1]))]
-    return [*both, counts, bands]
+    return [*both, band_hashes(sig, *BANDS)]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first, last, k1, k2, bands) of every paragraph of (doc_id, th, text) rows; k1 and k2 name its words."""
+    """(doc_id, th, first, last, k1, k2, b0, ...) of every paragraph of (doc_id, th, text) rows; k1 and k2 name its words, the others are its buckets."""
 
     def run(batches):
         for batch in batches:
             for at, _, raw, offsets in text_slices(batch, "text"):
-                text, first, last, k1, k2, counts, bands = cut_paragraphs(raw, offsets)
+                text, first, last, k1, k2, bands = cut_paragraphs(raw, offsets)
                 of = pa.array(text + at)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(bands))
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists]
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *map(pa.array, bands.T.copy())]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _UNIT.split(", ")])
 
     return mapped(docs, run, _UNIT, "paragraphs")
@@ -195,26 +196,107 @@ def paragraph_sets(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFra
                     sets = distinct((grams >> np.uint64(32)).astype("<u4"), bounds)
                     yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
-        held = docs.join(places, ["doc_id", "th"]).select("text", "places")
-        sets = mapped(held, run, "id long, shingles binary", "paragraph-sets", keep=True)
+        sets = None
+        for share in range(ROUNDS):
+            of = lambda rows: rows.filter(F.pmod(F.hash("doc_id"), F.lit(ROUNDS)) == share)  # noqa: B023, E731
+            with step(docs.sparkSession):
+                own = mapped(of(docs).join(of(places), ["doc_id", "th"]).select("text", "places"), run, "id long, shingles binary", "paragraph-sets", keep=2)
+            sets = own if sets is None else sets.unionByName(own)
     # rows that repeat a document repeat its paragraphs
     return sets.dropDuplicates(["id"]).select("id", F.lit(1).cast("long").alias("size"), F.lit(None).cast("binary").alias("sig"), "shingles")
 
 
+def _dealt(batches, shards: int):
+    """Packed rows (shard, keys, values, docs, sizes) of rows (key, value, doc, size)."""
+    for batch in _lots(batches, 1 << 17):
+        own, values, docs, sizes = (batch.column(k).combine_chunks().to_numpy() for k in range(4))
+        of = (own.view(np.uint64) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+        order = np.argsort(of, kind="stable")
+        of = of[order].astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, int)
+        parts = [[x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (own[order], values[order], docs[order], sizes[order])]
+        yield pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in parts)], ["shard", "keys", "vals", "docs", "sizes"])
+
+
+def _lots(batches, rows: int):
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _once(keys: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs of key and value, in order, with the first and last document that has each."""
+    if not len(keys):
+        return keys, values, low, high, sizes
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+    start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])]))
+    return keys[start], values[start], np.minimum.reduceat(low[order], start), np.maximum.reduceat(high[order], start), sizes[order][start]
+
+
+def _several(keys: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows whose key lies in several documents."""
+    order = np.argsort(keys)
+    start = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, int)
+    wide = np.minimum.reduceat(low[order], start) < np.maximum.reduceat(high[order], start) if len(keys) else np.zeros(0, bool)
+    at = order[np.repeat(wide, np.diff(np.append(start, len(keys))))]
+    return keys[at], values[at], low[at], high[at], sizes[at]
+
+
+def _shared(batches, members: bool):
+    """Of the keys with several values that several documents hold: the key, each value, its size and the smallest value; or without `members` the keys alone.
+
+    Rows come by shard. What a task holds is the different pairs of one shard, 36 bytes each.
+    """
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, own in itertools.groupby(rows, lambda r: r[0]):
+        held, pending = [(*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.int32))], 0
+        for _, keys, values, docs, sizes in own:
+            doc = np.frombuffer(docs, np.int64)
+            held.append((np.frombuffer(keys, np.int64), np.frombuffer(values, np.int64), doc, doc, np.frombuffer(sizes, np.int32)))
+            pending += len(doc)
+            if pending > HELD:
+                held, pending = [_once(*map(np.concatenate, zip(*held, strict=True)))], 0
+        keys, values, _, _, sizes = _once(*_several(*map(np.concatenate, zip(*held, strict=True))))
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        count = np.diff(np.append(start, len(keys)))
+        if members:
+            many, least = np.repeat(count > 1, count), np.repeat(values[start], count)
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (keys, values, sizes, least)], ["bucket", "id", "n", "least"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[start[count > 1]])], ["k1"])
+    give_back()
+
+
+def shared_keys(rows: DataFrame, shards: int, members: bool, keep: int = 1) -> DataFrame:
+    """Of rows (key, value, doc, size): (bucket, id, n, least), the different values of keys that several have, or without `members` (k1), such keys.
+
+    Keys that one document alone holds tie it to no other and are left out.
+    """
+    with step(rows.sparkSession):
+        dealt = rows.mapInArrow(lambda b: _dealt(b, shards), "shard long, keys binary, vals binary, docs binary, sizes binary")
+        dealt = dealt.repartition("shard").sortWithinPartitions("shard")
+        return mapped(dealt, lambda b: _shared(b, members), "bucket long, id long, n int, least long" if members else "k1 long", "shared-keys", keep)
+
+
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bucket, id, n, least) of paragraphs in buckets of several different ones, and (doc_id, th, first, last, k1, k2) of all
     that are among these or lie in several documents."""
     spark = docs.sparkSession
     with step(spark):
         units = paragraphs(docs)
-        members = []
-        for bands in ROUNDS:
-            at = F.get("bands", F.lit(bands[0])) if len(bands) == 1 else F.explode(F.slice("bands", bands[0] + 1, len(bands)))
-            rows = units.select(at.alias("bucket"), F.col("k1").alias("id"), (F.col("last") - F.col("first")).alias("n"))
-            members.append(shared_members(rows, keep=2))
-        members = functools.reduce(DataFrame.unionByName, members)
+        n = units.count()
         with step(spark):
-            equal = units.groupBy("k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("k1")
+            shards, size = max(32, n // SHARD), (F.col("last") - F.col("first")).alias("n")
+            members = [shared_keys(units.select(b, "k1", "doc_id", size), shards, True, keep=3) for b in _BUCKETS]  # the disk holds the shuffle of one band
+            members = functools.reduce(DataFrame.unionByName, members)
+            equal = shared_keys(units.select("k1", "doc_id", F.col("doc_id").alias("d"), F.lit(0).alias("n")), shards, False)
             wanted = saved(equal.unionByName(members.select(F.col("id").alias("k1"))).distinct(), "wanted-paragraphs", keep=True)
         found = saved(units.select("doc_id", "th", "first", "last", "k1", "k2").join(wanted, "k1"), "candidate-paragraphs", keep=True)
         return members, found
@@ -226,7 +308,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with step(spark):
         members, units = candidates(docs)
-        near = similar_classes(members, lambda ids: paragraph_sets(docs, units, ids), word="<u4", whole=False)
+        near = similar_classes(members, lambda ids: paragraph_sets(docs, units, ids), word="<u4", whole=False, rounds=ROUNDS)
         with step(spark):
             # without links to others, both hashes make a cluster
             cluster = [F.coalesce("label", "k1").alias("cluster"), F.when(F.col("label").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("sub")]
