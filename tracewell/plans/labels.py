@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import jobs, rows
+from ..operators import graph, jobs, rows
 from .catalogue import QUERIES, SQL, register
 
 
@@ -76,3 +76,15 @@ def _similar_terms(spark: SparkSession, sf_dir: str):
 QUERIES["similar_terms"] = _similar_terms
 SQL["similar_terms"] = """WITH t AS (SELECT p_name AS c FROM part WHERE p_name IS NOT NULL UNION SELECT n_name FROM nation WHERE n_name IS NOT NULL)
 SELECT a.c AS concept, b.c AS other FROM t a JOIN t b ON a.c < b.c AND 1 - levenshtein(a.c, b.c) / greatest(len(a.c), len(b.c)) >= 0.8"""
+
+
+_EDGES_SQL = "+ e AS (SELECT current_node AS t, source_object AS s FROM lineage WHERE current_node LIKE 'ANV%' OR current_node LIKE 'CV_REGION%'), p AS (SELECT node, CAST(length(node) + ascii(right(node, 1)) AS DOUBLE) AS position FROM (SELECT t AS node FROM e UNION SELECT s FROM e))"
+
+
+@register("barycentres", "lineage", _EDGES_SQL + """, a AS (SELECT p.node, coalesce(m.x, p.position) AS position FROM p LEFT JOIN (SELECT e.t AS node, avg(p.position) AS x FROM e JOIN p ON p.node = e.s GROUP BY e.t) m ON m.node = p.node)
+SELECT a.node, round(coalesce(m.x, a.position), 6) AS position FROM a LEFT JOIN (SELECT e.s AS node, avg(a.position) AS x FROM e JOIN a ON a.node = e.t GROUP BY e.s) m ON m.node = a.node""")
+def _(df):
+    edges = df.filter("current_node LIKE 'ANV%' OR current_node LIKE 'CV_REGION%'").select(F.col("current_node").alias("target"), F.col("source_object").alias("source"))
+    nodes = edges.select(F.explode(F.array("target", "source")).alias("node")).distinct()
+    placed = nodes.withColumn("position", (F.length("node") + F.ascii(F.right("node", F.lit(1)))).cast("double"))
+    return graph.barycentres(edges, placed, 2).select("node", F.round("position", 6).alias("position"))
