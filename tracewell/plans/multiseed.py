@@ -32,11 +32,13 @@ def _(df):
     return multiseed.reached_by(_search(df, r"%V\_%")[0])
 
 
-#: Regions, their nations, what fits of the level below by name, and what that leads to, which is too much.
-_CUT = _EDGES + """, s0 AS (SELECT DISTINCT t AS seed FROM e WHERE t LIKE 'CV~_REGION~_%' ESCAPE '~'), n1 AS (SELECT DISTINCT seed, s AS node FROM s0 JOIN e ON e.t = seed),
-n2 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node) AS place FROM (SELECT DISTINCT seed, e.s AS node FROM n1 JOIN e ON e.t = n1.node ANTI JOIN n1 x ON x.seed = n1.seed AND x.node = e.s)),
-u AS (SELECT seed, count(*) + 1 AS used FROM n1 GROUP BY seed), k AS (SELECT seed, seed AS node, 0 AS hop FROM s0 UNION ALL SELECT seed, node, 1 FROM n1 UNION ALL SELECT n2.seed, node, 2 FROM n2 JOIN u USING (seed) WHERE place + used <= 40),
-g AS (SELECT seed, node, min(hop) AS hop FROM (SELECT n2.seed, node, 2 AS hop FROM n2 JOIN u USING (seed) WHERE place + used > 40 UNION ALL SELECT k.seed, e.s, 3 FROM k JOIN e ON e.t = k.node WHERE k.hop = 2) WHERE (seed, node) NOT IN (SELECT (seed, node) FROM k) GROUP BY ALL)"""
+#: Regions and, level by level as the fixture has four, what fits of each by name into 40 rows a region; what doesn't leads no further.
+_CUT = _EDGES + """, k0 AS (SELECT DISTINCT t AS seed, t AS node FROM e WHERE t LIKE 'CV~_REGION~_%' ESCAPE '~')""" + "".join(f"""
+, a{n} AS (SELECT seed, node, 1 AS one FROM k0 {" ".join(f"UNION ALL SELECT seed, node, 1 FROM k{m}" for m in range(1, n))}),
+n{n} AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node) AS place FROM (SELECT DISTINCT k{n - 1}.seed, e.s AS node FROM k{n - 1} JOIN e ON e.t = k{n - 1}.node WHERE (k{n - 1}.seed, e.s) NOT IN (SELECT (seed, node) FROM a{n}))),
+f{n} AS (SELECT n{n}.*, place + used <= 40 AS fits FROM n{n} JOIN (SELECT seed, count(*) AS used FROM a{n} GROUP BY seed) USING (seed)), k{n} AS (SELECT seed, node FROM f{n} WHERE fits)""" for n in range(1, 5)) + """
+, k AS (SELECT seed, node, 0 AS hop FROM k0 UNION ALL SELECT seed, node, 1 FROM k1 UNION ALL SELECT seed, node, 2 FROM k2 UNION ALL SELECT seed, node, 3 FROM k3 UNION ALL SELECT seed, node, 4 FROM k4),
+g AS (SELECT seed, node, min(hop) AS hop FROM (SELECT seed, node, 1 AS hop FROM f1 WHERE NOT fits UNION ALL SELECT seed, node, 2 FROM f2 WHERE NOT fits UNION ALL SELECT seed, node, 3 FROM f3 WHERE NOT fits UNION ALL SELECT seed, node, 4 FROM f4 WHERE NOT fits) WHERE (seed, node) NOT IN (SELECT (seed, node) FROM k) GROUP BY ALL)"""
 
 
 def _budgeted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
