@@ -19,3 +19,12 @@ def test_output_lists_stay_out_of_intermediate_rows(spark, monkeypatch):
     assert kinds["Calculated_Measure"] == (2100, 2100) and kinds["Synth_Mapping"][0] == 2100
     assert kinds["Synth_Mapping"][1] == 2100 and kinds["Source_Table"] == (2, 1)
     assert all(df.filter("node_output_columns <> '<NULL>'").isEmpty() for df in written if "node_output_columns" in df.columns)
+
+
+def test_documents_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(shred, "_SLICE", 7)
+    texts = {"a": "<a><b x='é'>tüt</b><b/></a>", "open": "<a><b>ö", "none": "", "b": "<a>" + "<c/>" * 50 + "</a>"}
+    docs = spark.createDataFrame([*((k, v.encode()) for k, v in texts.items()), ("null", None)], "path string, content binary").coalesce(1)
+    got = {(r["path"], r["node_id"]): (r["local_name"], r["text"], r["error"]) for r in shred.shred(docs).collect()}
+    assert got["a", 1] == ("b", "tüt", None) and got["open", 1] == ("b", "ö", None) and sum(p == "b" for p, _ in got) == 51
+    assert {p for p, n in got if n == -1} == {"open", "none", "null"} and got["open", -1][2].startswith("no element found")
