@@ -28,3 +28,20 @@ def test_documents_come_in_slices(spark, monkeypatch):
     got = {(r["path"], r["node_id"]): (r["local_name"], r["text"], r["error"]) for r in shred.shred(docs).collect()}
     assert got["a", 1] == ("b", "tüt", None) and got["open", 1] == ("b", "ö", None) and sum(p == "b" for p, _ in got) == 51
     assert {p for p, n in got if n == -1} == {"open", "none", "null"} and got["open", -1][2].startswith("no element found")
+
+
+def test_a_kind_of_column_record_needs_no_search_of_the_other(spark, sf_dir, monkeypatch):
+    from tracewell.operators import graph
+    from tracewell.plans import columns
+    from tracewell.sources import column_routes, repository
+
+    written = []
+    for module in (graph, column_routes, repository):
+        monkeypatch.setattr(module, "materialized", lambda df, name, by=None, real=module.materialized: written.append(name) or real(df, name, by))
+    docs = columns.documents(spark, sf_dir).limit(2)
+    monkeypatch.setattr(columns, "documents", lambda spark, sf_dir: docs)
+    n = columns.projections(spark, sf_dir).count()
+    assert n and not {"front", "column-edges"} & set(written)
+    written.clear()
+    assert columns.mappings(spark, sf_dir).count() and not {"routes", "closure"} & set(written)
+    assert column_routes.column_records(shred.shred(docs)).filter("record_type = 'PROJECTION'").count() == n
