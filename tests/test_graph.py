@@ -69,6 +69,22 @@ def test_trace_falls_back_to_base_names(spark):
     assert rows(graph.column_trace(df, seeds(spark, "X", column="target"), 0), "row_seq", "trace_match") == [(2, "BASE"), (3, "BASE")]
 
 
+def test_trace_resolves_only_what_it_reaches(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "tracewell"
+    columns = "row_seq long, source_file string, xpath string, transformation_type string, current_node string, parent_input_object string, source_object string, source_column string, target_column string, formula string, filter_expression string, join_expression string, join_left_object string, join_left_column string, join_right_object string, join_right_column string"
+    n = "<NULL>"
+    row = lambda k, node, source: (k, "f", node, "Mapping", node, source, n, f"T{source}", f"T{node.strip()}", n, n, n, n, n, n, n)
+    data = [row(1, "A", "B"), row(2, "B", "C"), row(9, "B", "C"), row(3, "B ", "D"), *[row(100 + k, f"X{k}", f"Y{k}") for k in range(300)]]
+    df = spark.createDataFrame(data, columns)
+    before = set(shared.glob("trace-terms-*"))
+    got = rows(graph.column_trace(df, seeds(spark, "A.TA", column="target")), "row_seq", "trace_depth", "trace_match")
+    assert got == [(1, 0, "EXACT"), (2, 1, "PARENT"), (3, 1, "PARENT")]  # of equal rows the first
+    made = set(shared.glob("trace-terms-*")) - before
+    assert made and sum(spark.read.parquet(str(m)).count() for m in made) < 10
+
+
 def test_cluster_collapse(spark):
     e = spark.createDataFrame([("s", "m1"), ("s", "m2"), ("m1", "t"), ("c", "t")], "src string, tgt string")
     m = spark.createDataFrame([("m1", "c"), ("m2", "c")], "member string, cluster string")

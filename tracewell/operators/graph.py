@@ -131,10 +131,15 @@ def paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, near: str = "
         steps.unpersist()
 
 
+def trace_target():
+    """The qualified target column of a row."""
+    return S.qualified_column(["current_node", "target_object", "target_node"], "target_column")
+
+
 def trace_rows(rows: DataFrame) -> DataFrame:
     """Rows with tgt_q and the qualified columns src_q, jl_q and jr_q that they come from."""
-    return rows.withColumns({
-        "tgt_q": S.qualified_column(["current_node", "target_object", "target_node"], "target_column"),
+    own = {} if "tgt_q" in rows.columns else {"tgt_q": trace_target()}
+    return rows.withColumns(own | {
         "src_q": S.qualified_column(["parent_input_object", "source_object", "source_node"], "source_column"),
         "jl_q": S.qualified_column(["join_left_object"], "join_left_column"),
         "jr_q": S.qualified_column(["join_right_object"], "join_right_column"),
@@ -142,7 +147,42 @@ def trace_rows(rows: DataFrame) -> DataFrame:
 
 
 def _base(x):
-    return S.trimmed(F.element_at(F.split(x, r"\."), -1))
+    return S.trimmed(F.substring_index(x, ".", -1))
+
+
+def _resolved(terms: DataFrame, goals: DataFrame, bases: DataFrame) -> DataFrame:
+    """(requested, goal, how) of (requested, term): the goal of a term's name, or else every one with its base name.
+
+    Only base names of terms without a goal of their own meet the goals, and only those that some goal has.
+    """
+    found = materialized(terms.join(goals, terms["term"] == goals["goal"], "left").select("requested", "term", F.col("goal").isNotNull().alias("exact")), "trace-terms")
+    hit = found.filter("exact").select("requested", F.col("term").alias("goal"), F.lit("EXACT").alias("how"))
+    open_ = found.filter("NOT exact").select("requested", _base(F.col("term")).alias("b")).distinct().join(bases, "b", "left_semi")
+    open_ = materialized(open_, "trace-bases")
+    if open_.isEmpty():
+        return hit
+    return hit.unionByName(open_.join(goals.withColumn("b", _base(F.col("goal"))), "b").select("requested", "goal", F.lit("BASE").alias("how")))
+
+
+def _named(rows: DataFrame) -> DataFrame | None:
+    """(near, far): the known columns that formula, filter and join expression of each target name; None if they name nothing."""
+    texts = [F.when(~F.col(c).isin("", tokens.NULL), F.col(c)) for c in ("formula", "filter_expression", "join_expression")]
+    said = rows.select(F.col("tgt_q").alias("near"), F.explode(F.array_distinct(F.filter(F.array(*texts), lambda x: x.isNotNull()))).alias("expression"))
+    listed = materialized(said.select("expression").distinct().select("expression", F.explode(S.references("expression")).alias("token")), "trace-names")
+    if listed.isEmpty():
+        return None
+    # names of the rows are made distinct only where an expression has their base name
+    wanted = materialized(listed.select("token", _base(F.col("token")).alias("b")).distinct(), "trace-wanted")
+    known = rows.select(F.explode(F.array("tgt_q", *_PARENTS)).alias("full")).filter("full <> ''").withColumn("b", _base(F.col("full")))
+    known = materialized(known.join(wanted.select("b").distinct(), "b", "left_semi").distinct(), "trace-known")
+    exact = wanted.join(known, wanted["token"] == known["full"], "left_semi").select("token", F.col("token").alias("far"))
+    fallback = wanted.join(known, wanted["token"] == known["full"], "left_anti").join(known, "b").select("token", F.col("full").alias("far"))
+    leads = materialized(listed.join(exact.unionByName(fallback), "token").select("expression", "far").distinct(), "trace-leads")
+    return said.join(leads, "expression").select("near", "far")
+
+
+#: What a row comes from directly, of `trace_rows`.
+_PARENTS = ("src_q", "jl_q", "jr_q")
 
 
 def column_trace(rows: DataFrame, targets: DataFrame, max_hops: int = 9999) -> DataFrame:
@@ -151,37 +191,47 @@ def column_trace(rows: DataFrame, targets: DataFrame, max_hops: int = 9999) -> D
     `targets` has the column target. A term stands for the target column of that name, or else for every one with its base
     name. Parents are the source, the join columns, and the identifiers of formula, filter and join expression that name
     a known column. trace_depth is the smallest number of hops; trace_match tells exact terms from base names.
+
+    A hop resolves the terms that the last one has reached, no others. Rows whose identity is theirs alone, by a digest of it,
+    are given out as they are; only the others are compared.
     """
     for c in ("target_object", "target_node", "source_node"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
-    rows = materialized(trace_rows(rows).withColumn("__row", F.monotonically_increasing_id()), "trace-rows")
-    tokens_ = rows.select(F.explode(F.array("tgt_q", "src_q", "jl_q", "jr_q")).alias("token")).filter("token <> ''").distinct()
-    goals = rows.select(F.col("tgt_q").alias("goal")).filter("goal <> ''").distinct()
-    expressions = F.explode(F.array_distinct(F.array("formula", "filter_expression", "join_expression")))
-    listed = rows.select(expressions.alias("expression")).filter("expression IS NOT NULL").distinct().select("expression", F.explode(S.references("expression")).alias("token"))
-    named = materialized(rows.select("__row", expressions.alias("expression")).join(listed, "expression").select("__row", "token").distinct(), "trace-names")
-    exact = named.join(tokens_, "token", "left_semi")
-    fallback = named.join(tokens_, "token", "left_anti").withColumn("b", _base(F.col("token"))).join(tokens_.select(F.col("token").alias("full"), _base(F.col("token")).alias("b")), "b").select("__row", F.col("full").alias("token"))
-    direct = rows.select("__row", F.explode(F.array("src_q", "jl_q", "jr_q")).alias("token")).filter("token <> ''")
-    parents = direct.unionByName(exact).unionByName(fallback).join(rows.select("__row", F.col("tgt_q").alias("target")), "__row").select("target", F.col("token").alias("source")).distinct()
-    # a parent term leads to the target of its name, or else to those with its base name
-    terms = parents.select("source").distinct().unionByName(targets.select(S.unquoted("target").alias("source")).distinct()).distinct()
-    hit = terms.join(goals, terms["source"] == goals["goal"]).select("source", "goal", F.lit("EXACT").alias("how"))
-    base = terms.join(goals, terms["source"] == goals["goal"], "left_anti").withColumn("b", _base(F.col("source"))).join(goals.withColumn("b", _base(F.col("goal"))), "b").select("source", "goal", F.lit("BASE").alias("how"))
-    resolved = materialized(hit.unionByName(base), "trace-terms")
-    steps = parents.join(resolved, "source").select("target", F.col("goal").alias("source"))
-    asked = targets.select(F.col("target").alias("requested"), S.unquoted("target").alias("source")).join(resolved, "source").select("requested", "goal", "how")
-    seen = reach(steps.filter("target <> source"), asked.select(F.col("goal").alias("seed")), max_hops)
-    depth = asked.join(seen, F.col("goal") == F.col("seed")).groupBy("requested", "node").agg(F.min("hop").alias("trace_depth"), F.min(F.when(F.col("hop") == 0, F.col("how"))).alias("trace_match"))
-    out = depth.join(rows, F.col("node") == F.col("tgt_q"))
+    given, key = rows.columns, [c for c in tokens.ROW_KEY if c in rows.columns]
+    rows = trace_rows(materialized(rows.withColumns({"tgt_q": trace_target(), "__key": F.xxhash64(*key)}), "trace-rows"))
+    direct = rows.select(F.col("tgt_q").alias("near"), F.explode_outer(F.filter(F.array(*_PARENTS), lambda t: t != "")).alias("far"))
+    named = _named(rows)
+    steps = (direct if named is None else direct.unionByName(named)).filter("near <> ''").repartition("near").distinct().sortWithinPartitions("near").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        goals = steps.select(F.col("near").alias("goal")).distinct()
+        bases = materialized(goals.select(_base(F.col("goal")).alias("b")).distinct(), "trace-goal-bases")
+        first = _resolved(targets.select(F.col("target").alias("requested"), S.unquoted("target").alias("term")).distinct(), goals, bases)
+        front = materialized(first.groupBy("requested", F.col("goal").alias("node")).agg(F.min("how").alias("trace_match")), "front")
+        depth, seen, hop = front.withColumn("trace_depth", F.lit(0)), front.select("requested", "node"), 0
+        while hop < max_hops and not front.isEmpty():
+            hop += 1
+            terms = steps.join(front, steps["near"] == front["node"]).filter("far IS NOT NULL").select("requested", F.col("far").alias("term")).distinct()
+            new = _resolved(terms, goals, bases).select("requested", F.col("goal").alias("node")).distinct()
+            front = materialized(new.join(seen, ["requested", "node"], "left_anti"), "front")
+            seen = seen.unionByName(front)
+            depth = depth.unionByName(front.select("requested", "node", F.lit("PARENT").alias("trace_match"), F.lit(hop).alias("trace_depth")))
+    finally:
+        steps.unpersist()
+    shared = materialized(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key"), "trace-shared")
     reason = F.when(~S.is_missing("formula"), "FORMULA").when(~S.is_missing("filter_expression"), "FILTER").when(~S.is_missing("join_expression"), "JOIN").otherwise("STRUCTURAL")
-    key = [c for c in tokens.ROW_KEY if c in rows.columns]
-    parents_text = F.array_join(F.filter(F.array("src_q", "jl_q", "jr_q"), lambda p: p != ""), ";")
-    out = out.select("requested", F.col("node").alias("trace_target"), "trace_depth", parents_text.alias("trace_parents"), reason.alias("trace_reason"), F.coalesce("trace_match", F.lit("PARENT")).alias("trace_match"), *[c for c in rows.columns if c not in ("__row", "tgt_q", "src_q", "jl_q", "jr_q")])
+    parents_text = F.array_join(F.filter(F.array(*_PARENTS), lambda p: p != ""), ";")
+
+    def traced(some: DataFrame) -> DataFrame:
+        out = depth.join(some, F.col("node") == F.col("tgt_q"))
+        return out.select("requested", F.col("node").alias("trace_target"), "trace_depth", parents_text.alias("trace_parents"), reason.alias("trace_reason"), "trace_match", *given)
+
+    if shared.isEmpty():
+        return traced(rows)
+    out = traced(rows.join(shared, "__key", "left_semi"))
     whole = F.struct("trace_depth", *([] if "row_seq" not in out.columns else ["row_seq"]), *[c for c in out.columns if c not in ("trace_depth", "row_seq")])
-    kept = out.groupBy("requested", *key).agg(F.min(whole).alias("r"))
-    return kept.select(*[F.col(f"r.{c}") for c in out.columns])
+    kept = out.groupBy("requested", *key).agg(F.min(whole).alias("r")).select(*[F.col(f"r.{c}") for c in out.columns])
+    return traced(rows.join(shared, "__key", "left_anti")).unionByName(kept)
 
 
 def trace_summary(trace: DataFrame) -> DataFrame:
