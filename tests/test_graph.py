@@ -129,3 +129,14 @@ def test_singular_terms_and_synonyms(spark):
     single = rows_.singular_concepts(found)
     assert {r["concept"]: r["names"] for r in single.collect()} == {"Order": ["ORD", "ORDS"], "Glass": ["GLASS"]}
     assert {tuple(r) for r in rows_.synonyms(single).collect()} == {("Order", "ORD"), ("Order", "ORDS"), ("Order", "order"), ("Glass", "GLASS"), ("Glass", "glass")}
+
+
+def test_terms_are_made_of_distinct_names(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "tracewell"
+    before = set(shared.glob("names-*"))
+    df = spark.createDataFrame([("CUST_NBR", "ord_qty", "x")] * 500, "current_node string, target_column string, source_column string")
+    assert {r["concept"]: r["names"] for r in rows_.concepts(df).collect()} == {rows_.concepts(df).first()["concept"]: ["ord_qty"]}
+    made = set(shared.glob("names-*")) - before
+    assert made and all(spark.read.parquet(str(m)).count() == 3 for m in made)
