@@ -1,5 +1,6 @@
 """Bits of many targets against plain searches, and budgets whose cuts account for every missing row."""
 
+import contextlib
 import random
 
 from pyspark.sql import functions as F
@@ -48,3 +49,25 @@ def test_budgets_tell_what_they_cut(spark):
     assert kept == {("a", "a"), ("a", "DWH.P"), ("a", "b1"), ("z", "z"), ("z", "c1"), ("z", "d")} and gone == {("a", "b2", 1, "ROWS"), ("a", "e", 2, "ROWS"), ("a", "c1", 2, "ROWS")}
     kept, gone = run(max_edges=5)
     assert {h for _, _, h, _ in gone} == {2} and {x for _, _, _, x in gone} == {"EDGES"} and len(kept) == 6
+
+
+def test_bits_of_many_equal_edges_are_shuffled_into_parts_by_rows(spark, monkeypatch):
+    from tracewell import storage
+
+    set_to, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    real = storage.spread.__wrapped__
+
+    @storage.contextmanager
+    def small(table, rows=100):
+        with contextlib.contextmanager(real)(table, rows):
+            set_to.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+            yield
+
+    monkeypatch.setattr(multiseed, "spread", small)
+    edges = spark.createDataFrame([(f"a{k % 5}", f"b{k % 3}") for k in range(1000)] + [("b0", "a0"), ("b1", "c")], "target string, source string")
+    found, numbers = multiseed.bit_reach(edges, spark.createDataFrame([("a0",), ("a1",), ("b1",)], "seed string"))
+    got = {tuple(r) for r in multiseed.expanded(found, numbers).collect()}
+    want = {("a0", "a0", 0), ("a1", "a1", 0), ("b1", "b1", 0), ("b1", "c", 1)}
+    want |= {(a, f"b{k}", 1) for a in ("a0", "a1") for k in range(3)} | {(a, "c", 2) for a in ("a0", "a1")} | {("a1", "a0", 2)}
+    assert got == want
+    assert set_to == [11] and spark.conf.get("spark.sql.shuffle.partitions") == before

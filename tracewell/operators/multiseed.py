@@ -1,8 +1,8 @@
 """Searches upstream of many targets at once, within budgets (GRA2, GRA7, GRA9, ENR14).
 
 A node keeps the targets that have reached it as bits: one row for each (node, word), a word being 63 targets, instead of one for
-each (target, node). What a hop finds is merged by bitwise or, so what moves is the new bits of nodes, packed; of what has been seen,
-only the rows of nodes that the hop meets are merged.
+each (target, node). What a hop finds is merged by bitwise or, so what moves is the new bits of nodes, packed; the same aggregate
+takes off what has been seen.
 
 Budgets end a search early in a fixed order: a target's rows are kept by hop, then by name, up to `limit_rows`; the edges that all
 targets may follow in sum up to `max_edges`; physical sources may stop it. What is cut is listed, so nothing goes missing unsaid.
@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialized
+from ..storage import materialized, spread
 
 #: Targets in a word of bits; the sign stays unused.
 WORD = 63
@@ -37,19 +38,28 @@ def _numbered(seeds: DataFrame) -> DataFrame:
 
 def bit_reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 10, near: str = "target", far: str = "source") -> tuple[DataFrame, DataFrame]:
     """(node, word, bits, hop): the targets that first reach each node at each hop; and (seed, number): target n is bit n % 63 of word n // 63."""
-    steps = materialized(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near IS NOT NULL AND far IS NOT NULL").distinct(), "steps")
-    numbers = materialized(_numbered(seeds), "seed-numbers")
+    steps = materialized(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near IS NOT NULL AND far IS NOT NULL"), "steps")
+    with spread(steps):
+        # many edges between the same two nodes change no bits, so only what is kept for all hops is made distinct
+        kept = steps.repartition("near").distinct().sortWithinPartitions("near").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return _hops(kept, materialized(_numbered(seeds), "seed-numbers"), max_hops)
+        finally:
+            kept.unpersist()
+
+
+def _hops(steps: DataFrame, numbers: DataFrame, max_hops: int) -> tuple[DataFrame, DataFrame]:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % WORD).cast("int"))
     front = numbers.groupBy(F.col("seed").alias("node"), F.floor(F.col("number") / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
     front = materialized(front, "bits")
-    every, seen, hop = front.withColumn("hop", F.lit(0)), front, 0
+    every, seen, hop, none = front.withColumn("hop", F.lit(0)), front, 0, F.lit(None).cast("long")
     while hop < max_hops and not front.isEmpty():
         hop += 1
-        new = steps.join(front, steps["near"] == front["node"]).groupBy(F.col("far").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
-        # only the nodes that the hop meets are looked up, and one row of each stands for all earlier hops
-        met = seen.join(new.select("node", "word"), ["node", "word"], "left_semi").groupBy("node", "word").agg(F.bit_or("bits").alias("had"))
-        fresh = new.join(met, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))).filter("bits <> 0")
-        front = materialized(fresh.select("node", "word", "bits"), "bits")
+        new = steps.join(front, steps["near"] == front["node"]).select(F.col("far").alias("node"), "word", "bits", none.alias("had"))
+        # one aggregate merges what the hop finds and what earlier hops had
+        both = new.unionByName(seen.select("node", "word", none.alias("bits"), F.col("bits").alias("had"))).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        fresh = both.select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits")).filter("bits <> 0")
+        front = materialized(fresh, "bits")
         seen = seen.unionByName(front)
         every = every.unionByName(front.withColumn("hop", F.lit(hop)))
     return every, numbers
