@@ -45,3 +45,18 @@ def test_a_kind_of_column_record_needs_no_search_of_the_other(spark, sf_dir, mon
     written.clear()
     assert columns.mappings(spark, sf_dir).count() and not {"routes", "closure"} & set(written)
     assert column_routes.column_records(shred.shred(docs)).filter("record_type = 'PROJECTION'").count() == n
+
+
+def test_small_documents_are_parsed_once(monkeypatch):
+    import io
+
+    from tracewell.sources import shred
+
+    def never(document):
+        raise AssertionError("checked apart")
+
+    monkeypatch.setattr(shred, "_flaw", never)
+    read = lambda data: [r for some in shred._rows_of("p", io.BytesIO(data), frozenset()) for r in some]
+    assert [(r[5], r[7], r[13]) for r in read(b"<a><b>x</b></a>")] == [("b", "x", None), ("a", "", None)]
+    assert [(r[5], r[7]) for r in read(b"<a><b>x</a>")] == [(None, None), ("b", "x"), ("a", "")]
+    assert "mismatched tag" in read(b"<a><b>x</a>")[0][13] and read(b"")[0][13] and len(read(b"")) == 1
