@@ -33,6 +33,23 @@ def test_cycles_end_and_are_their_own_ancestors(spark):
     assert rows(graph.paths(e, seeds(spark, "a")), "node", "depth") == [("a", 0), ("b", 1)]
 
 
+def test_closure_writes_no_pairs_of_last_sources(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "tracewell"
+    before = set(shared.glob("closure-*"))
+    r = random.Random(7)
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("v", "a"), ("v", "b"), *[("c", f"x{k}") for k in range(300)], *[(r.choice("abcv"), f"y{k % 9}") for k in range(40)], *[("y1", "y2"), ("y2", "y1"), ("y1", "y1")]]
+    want = {(t, s) for t, s in pairs}
+    while more := {(n, s) for n, a in want for t, s in pairs if t == a} - want:
+        want |= more
+    got = rows(graph.closure(edges(spark, *pairs, *pairs)), "node", "ancestor")
+    assert got == sorted(want)
+    assert rows(graph.closure(edges(spark, *pairs), seeds(spark, "v", "y1", column="node")), "node", "ancestor") == sorted(p for p in want if p[0] in ("v", "y1"))
+    made = set(shared.glob("closure-*")) - before
+    assert sum(spark.read.parquet(str(m)).count() for m in made if list(m.glob("*.parquet"))) < 3 * 300 < len(want)
+
+
 def test_hop_bound_and_empty_graph(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
     assert rows(graph.reach(e, seeds(spark, "a"), 2), "node") == [("a",), ("b",), ("c",)]

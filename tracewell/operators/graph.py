@@ -8,7 +8,7 @@ costs its tasks. The driver only learns whether a frontier is empty.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import tokens
@@ -91,27 +91,49 @@ def spotlight(edges: DataFrame, nodes: DataFrame, direction: str = "both", max_h
     return out.select("seed", "node", "side", "hop")
 
 
+def _described(edges: DataFrame) -> DataFrame:
+    """Distinct (near, far, sole, last): whether `near` alone takes from `far`, and whether nothing feeds `far`."""
+    known = edges.select(F.col("target").alias("near"), F.col("source").alias("far")).filter("near IS NOT NULL AND far IS NOT NULL")
+    fed = known.select(F.col("near").alias("far")).distinct().withColumn("fed", F.lit(True))
+    # the rows of one `far` lie together for all three: distinct, count and join
+    counted = known.repartition("far").distinct().withColumn("takers", F.count(F.lit(1)).over(Window.partitionBy("far")))
+    return counted.join(fed, "far", "left").select("near", "far", (F.col("takers") == 1).alias("sole"), F.col("fed").isNull().alias("last"))
+
+
 def closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, ancestor): everything upstream of each node (GRA3, SET5); a node is its own ancestor only on a cycle.
 
     Semi-naive: each round extends only what the last one found. `nodes` (column node) bounds it to some nodes.
+    What one node alone takes from is found once, through that node, so only the others are compared with what is known.
+    Rounds follow the edges to what is itself fed; the last edges are joined once, at the end.
     """
-    steps = _followed(edges, "target", "source")
+    steps = materialized(_described(edges), "steps")
+    start = steps.select(F.col("near").alias("node"), F.col("far").alias("ancestor"), "sole", "last")
+    if nodes is not None:
+        start = start.join(nodes.select("node").distinct(), "node", "left_semi")
+        start = materialized(start, "closure")
+    inner = steps.filter("NOT last").select("near", "far", "sole").repartition("near").sortWithinPartitions("near").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def extended(pairs: DataFrame, by: DataFrame) -> DataFrame:
+        # from a node to itself and on lies an edge, known from the start
+        return pairs.join(by, pairs["ancestor"] == by["near"]).filter("node <> near").select("node", F.col("far").alias("ancestor"), "sole")
+
     try:
-        start = steps.select(F.col("near").alias("node"), F.col("far").alias("ancestor"))
-        if nodes is not None:
-            start = start.join(nodes.select("node").distinct(), "node", "left_semi")
-        front = materialized(start, "closure")
-        all_ = front
+        front = start.filter("NOT last").select("node", "ancestor")
+        every, seen = front, start.filter("NOT last AND NOT sole").select("node", "ancestor")
         while True:  # ends, as every round adds pairs
-            new = front.join(steps, front["ancestor"] == steps["near"]).select("node", F.col("far").alias("ancestor")).distinct()
-            front = materialized(new.join(all_, ["node", "ancestor"], "left_anti"), "closure")
+            found = materialized(extended(front, inner), "closure")
+            new = materialized(found.filter("NOT sole").select("node", "ancestor").distinct().join(seen, ["node", "ancestor"], "left_anti"), "closure")
+            front, seen = found.filter("sole").select("node", "ancestor").unionByName(new), seen.unionByName(new)
             if front.isEmpty():
                 break
-            all_ = all_.unionByName(front)
-        return all_
+            every = every.unionByName(front)
     finally:
-        steps.unpersist()
+        inner.unpersist()
+    final, ends = steps.filter("last").select("near", "far", "sole"), start.filter("last")
+    alone = extended(every, final.filter("sole")).select("node", "ancestor").unionByName(ends.filter("sole").select("node", "ancestor"))
+    others = extended(every, final.filter("NOT sole")).select("node", "ancestor").unionByName(ends.filter("NOT sole").select("node", "ancestor")).distinct()
+    return every.unionByName(alone).unionByName(others)
 
 
 def paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, near: str = "target", far: str = "source") -> DataFrame:
