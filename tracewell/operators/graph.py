@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from .. import tokens
 from ..functions import scalars as S
 from ..storage import materialized
-from .cycles import condensed
-from .cycles import layers as component_layers
+from .cycles import condensed, fed_layers
 
 
 def dependency_edges(rows: DataFrame, qualified: bool = False) -> DataFrame:
@@ -281,11 +280,10 @@ def bottom_up(edges: DataFrame, cycles: str = "error") -> DataFrame:
     A round follows only what the last one reached. On a cycle no order exists: a ValueError, or with `cycles="condense"` one
     layer for all that feed each other. An edge from a node to itself doesn't count.
     """
-    found = condensed(edges.filter("target <> source"))
-    if cycles == "error" and not found.nodes.filter("cyclic").isEmpty():
+    found = condensed(edges)
+    if cycles == "error" and found.rings:
         raise ValueError("the edges have a cycle")
-    alone = edges.filter("target = source").select(F.col("target").alias("node")).distinct().join(found.nodes, "node", "left_anti").withColumn("layer", F.lit(0))
-    return found.nodes.join(component_layers(found), "component").select("node", "layer").unionByName(alone)
+    return found.nodes.join(fed_layers(found.edges), "component", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 
 def barycentres(edges: DataFrame, positions: DataFrame, passes: int = 4) -> DataFrame:

@@ -63,9 +63,10 @@ def _(df):
 @_put("reachability_pairs", """, p AS (SELECT source AS node, target AS ancestor FROM e UNION SELECT target, source FROM e UNION SELECT 'CV_REGION_' || (length(source) % 5), source FROM e)
 SELECT p.node, p.ancestor, r.node IS NOT NULL AS reached FROM p LEFT JOIN r ON r.node = p.node AND r.ancestor = p.ancestor""")
 def _(df):
-    both = df.select(F.col("source").alias("node"), F.col("target").alias("ancestor")).union(df.select("target", "source"))
-    pairs = both.union(df.select(F.concat(F.lit("CV_REGION_"), (F.length("source") % 5).cast("string")), "source")).distinct()
-    return cycles.reaches(cycles.reachability(df), pairs)
+    pair = lambda node, ancestor: F.struct(F.col(node).alias("node"), F.col(ancestor).alias("ancestor"))
+    region = F.concat(F.lit("CV_REGION_"), (F.length("source") % 5).cast("string"))
+    pairs = df.withColumn("region", region).select(F.explode(F.array(pair("source", "target"), pair("target", "source"), pair("region", "source"))).alias("p"))
+    return cycles.reaches(cycles.reachability(df), pairs.select("p.node", "p.ancestor").distinct())
 
 
 #: Parts renamed to the first of their ten, and those to the first of the ten before, three tens at a time; other kinds tie nothing.
