@@ -1,6 +1,7 @@
 """Source divergence, prefix forest and prefix trie against brute force on small tables with odd rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracewell.llm import divergence, prefix_forest, prefix_trie, queries
+from tracewell.llm import common, divergence, prefix_forest, prefix_trie, queries
 
 DOCS = "doc_id long, text string, lang string, source string, term string, n long"
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -136,6 +137,32 @@ def test_recall_of_isotropic_vectors(spark, monkeypatch, norms):
     assert len(want & found[0].keys()) >= 0.9 * len(want)
 
 
+def test_forests_of_blocks_write_vectors_once(spark, monkeypatch, tmp_path):
+    """Blocks, rounds and groups of queries change nothing; what is written doesn't grow with the number of trees."""
+    x = vectors(3000, 64, 5).astype(np.float32)
+    x[1500:1520] = x[1] * np.float32(1.01) + np.float32(1e-4) * x[2000:2020]  # close neighbours: deep intervals
+    df = spark.createDataFrame([(i, v.tolist(), 0.0, "") for i, v in enumerate(x.astype(float))], VECS)
+    written, mapped = [], common.mapped
+
+    def measured(*args, **kwargs):
+        out = mapped(*args, **kwargs)
+        written.append(sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles()))
+        return out
+
+    for module in (common, prefix_forest):
+        monkeypatch.setattr(module, "mapped", measured)
+    found = []
+    for block in (None, 250):
+        if block:
+            monkeypatch.setattr(prefix_forest, "BLOCK", block)
+            plan = prefix_forest.Plan(3000, 1.0, 64, 4)
+            assert (plan.blocks, plan.first) == (12, 4)
+        found.append({(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in prefix_forest.neighbours(spark, df).collect()})
+        assert sum(written) < 6 * x.nbytes  # the vectors once, then queries, keys and results
+        written.clear()
+    assert len(found[0]) == 150 * 20 and found[0] == found[1]
+
+
 TURNS = "conv_id long, turn long, role string, text string, depth long"
 
 

@@ -3,18 +3,21 @@
 Each of TREES trees gives a vector a long hash string. A digit is the closest of the AXES axes, with its sign, of a random
 rotation (6 bits); a string has more digits than it takes to tell all vectors apart at random. So that the largest inner
 product is the smallest angle, vectors are scaled to the largest norm and get one more component that fills them up to length 1.
-Of a tree, the sorted strings are its index; the vectors lie beside them. An array is dealt into segments by its first digits
-(as many as make them small), a segment that is still large into parts, and a segment that many queries visit is read by blocks
-of queries.
+Of a tree, the sorted strings are its index. Vectors are dealt into blocks of bounded size by a hash; each block has the forest
+of its own vectors, made where they are read from strings that depend on the vector alone. So a vector moves once in a pass, not
+once a tree, and what a query finds in all blocks is what it would find in one forest.
 
 A query descends in each tree to the vectors with the longest common prefix, an interval of the sorted array. It then ascends in
 all trees at once: one digit less at a time, until the intervals hold EFFORT * n**POWER vectors in sum (n different vectors in
-all; with no digit left that is every vector). The first pass over the arrays counts the intervals at each length, the second
-reads the chosen ones, all of them, and computes inner products in double precision. Every vector is indexed, and no interval is
+all; with no digit left that is every vector). The first pass over the blocks counts the intervals at each length, the second
+reads the chosen ones, all of them, and computes inner products in double precision; what falls below the best that a query has
+found so far is not returned. The second pass reads some blocks first, and the scores found there hold for the others, so a query
+gets about as many rows from all blocks as from the square root of their number. Every vector is indexed, and no interval is
 cut. EFFORT and POWER hold the recall of 20 among isotropic vectors, the hardest, over 0.9 from a few hundred to some 10**5 (see
 the tests); where vectors have close neighbours, less would do.
 
-Equal vectors are one in the index and bring the k + 1 smallest of their vec_ids, which is all that k results can need.
+Equal vectors are one in the index (told by 128-bit digests of their components) and bring the k + 1 smallest of their vec_ids,
+which is all that k results can need. Vectors travel in 4 bytes a component where these hold them exactly.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors meet only vectors of
 their own length; a query never meets rows of its own vec_id; rows that repeat a vector or a vec_id are candidates each for
@@ -25,15 +28,13 @@ fewer candidates than k all are returned; equal scores go by vec_id; extra colum
 from __future__ import annotations
 
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from .common import give_back, mapped, saved, step
 from .topk import usable
@@ -42,22 +43,33 @@ from .topk import usable
 TREES, AXES, BITS = 40, 32, 6
 #: Candidates at which the ascent ends: EFFORT * n**POWER.
 EFFORT, POWER = 6.3, 0.7
-#: Vectors that are packed together, vectors of a segment or part, and queries that read one at once, about.
-PACK, SEGMENT, QUERIES = 8192, 16_384, 2048
-
-GROUP = ["dim", "tree", "seg"]
-_PACKED = "dim int, tree int, seg long, n int, codes binary, vids binary, least binary, vectors binary, wide boolean"
-_ASKED = "vid long, dim int, tree int, code long, seg long"
+#: Vectors of a block at most, bytes of their doubles at most, and vectors below which a block isn't split for idle cores.
+BLOCK, BLOCK_BYTES, LEAST_BLOCK = 65_536, 1 << 25, 4096
+#: Vectors from which an interval of a block is multiplied as a matrix, not pair by pair, and queries that read a block at once.
+SEGMENT, QUERIES = 128, 2048
+#: Vectors that are hashed together, and pairs that are scored together.
+SLICE, PAIRS = 256, 65_536
+
+UNIT = ["dim", "block", "part", "asks"]
+_KEYED = "digest binary, dim int, vec_id long, norm double, vector binary"
+_ASKED = "vid long, dim int, codes binary, vector binary"
+_HITS = "vid long, found long, least long, score double"
 
 
 class Plan:
-    """Of the vectors of one length: how many there are, their largest norm, digits of a string and of a segment, and the target."""
+    """Of the vectors of one length: how many there are, their largest norm, digits of a string, the target, and how they are dealt.
 
-    def __init__(self, n: int, norm: float):
+    `segment` is the number of digits from which on an interval is small.
+    """
+
+    def __init__(self, n: int, norm: float, dim: int = 1, cores: int = 1):
         levels = next(x for x in range(1, 11) if 64**x >= n or x == 10)
         self.n, self.norm, self.digits = n, norm, min(10, levels + 1)
         self.segment = next(x for x in range(1, self.digits + 1) if n / 64**x <= SEGMENT / 2 or x == self.digits)
         self.target = EFFORT * n**POWER
+        self.blocks = max(-(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))), min(cores, -(-n // LEAST_BLOCK)))
+        self.first = int(np.ceil(np.sqrt(self.blocks)))  # blocks of the first round
+        self.parts = -(-cores // self.first) if n > LEAST_BLOCK else 1  # groups of queries there, so that all cores have work
 
 
 @cache
@@ -72,242 +84,286 @@ def axes(dim: int, digits: int) -> np.ndarray:
 
 def codes_of(x: np.ndarray, plan: Plan, query: bool) -> np.ndarray:
     """The hash strings of vectors, (rows, TREES), as integers of `digits` digits."""
-    size = np.sqrt((x**2).sum(axis=1))
-    unit = x / (size if query else np.full(len(x), plan.norm))[:, None]
-    rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (size / plan.norm) ** 2))
-    y = np.concatenate([unit, rest[:, None]], axis=1).astype(np.float32) @ axes(x.shape[1], plan.digits)
-    y = y.reshape(len(x), TREES, plan.digits, AXES)
-    at = np.abs(y).argmax(axis=3)
-    digit = 2 * at + (np.take_along_axis(y, at[..., None], axis=3)[..., 0] > 0)
-    return digit.astype(np.int64) @ (np.int64(1) << BITS * np.arange(plan.digits - 1, -1, -1, dtype=np.int64))
-
-
-def _gathered(batches):
-    """Rows (vid, dim, least, embedding) in lots of one dim, PACK at most."""
-    held: dict[int, list] = {}
+    kind = np.int32 if BITS * plan.digits < 31 else np.int64
+    out, all_axes = np.empty((len(x), TREES), kind), axes(x.shape[1], plan.digits)
+    place = np.int64(1) << BITS * np.arange(plan.digits - 1, -1, -1, dtype=np.int64)
+    lot = np.zeros((SLICE, x.shape[1] + 1), np.float32)  # always of one shape, so that a vector's string doesn't depend on the others
+    for at in range(0, len(x), SLICE):
+        own = x[at : at + SLICE]
+        size = np.sqrt((own**2).sum(axis=1))
+        lot[:] = 0
+        lot[: len(own), :-1] = own / (size if query else np.full(len(own), plan.norm))[:, None]
+        lot[: len(own), -1] = 0 if query else np.sqrt(np.maximum(0, 1 - (size / plan.norm) ** 2))
+        y = (lot @ all_axes)[: len(own)].reshape(len(own), TREES, plan.digits, AXES)
+        far = np.abs(y).argmax(axis=3)
+        digit = 2 * far + (np.take_along_axis(y, far[..., None], axis=3)[..., 0] > 0)
+        out[at : at + SLICE] = digit.astype(np.int64) @ place
+    return out
+
+
+def _keyed(batches):
+    """Vectors as bytes, 4 for each component where these hold it and else 8, with digests that tell them apart."""
+    names = [c.split()[0] for c in _KEYED.split(", ")]
     for batch in batches:
+        if not batch.num_rows:
+            continue
         dims = batch.column(1).to_numpy()
-        for dim in np.unique(dims):
-            own = batch.filter(pa.array(dims == dim))
-            held.setdefault(int(dim), []).append(own)
-            if sum(b.num_rows for b in held[dim]) >= PACK:
-                yield int(dim), pa.Table.from_batches(held.pop(dim)).combine_chunks()
-    for dim, own in held.items():
-        yield dim, pa.Table.from_batches(own).combine_chunks()
-
-
-def _matrix(table: pa.Table, dim: int) -> np.ndarray:
-    return table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-
-def _packs(batches, plans: dict[int, Plan]):
-    """The vectors of each segment of each tree that lie in this task."""
-    names = [c.split()[0] for c in _PACKED.split(", ")]
-    for dim, table in _gathered(batches):
-        x, plan = _matrix(table, dim), plans[dim]
-        vids, least = (table.column(c).to_numpy() for c in ("vid", "least"))
-        narrow = x.astype(np.float32)
-        wide = bool((narrow != x).any())
-        codes = codes_of(x, plan, False)
-        for tree in range(TREES):
-            order = np.argsort(codes[:, tree], kind="stable")
-            own = codes[order, tree]
-            seg = own >> BITS * (plan.digits - plan.segment)
-            cuts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]]))
-            rows = [(dim, tree, int(seg[a]), int(b - a), own[a:b].tobytes(), vids[order[a:b]].tobytes(), least[order[a:b]].tobytes(), (x if wide else narrow)[order[a:b]].tobytes(), wide) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-    give_back()
+        flat = batch.column(2).flatten().to_numpy(zero_copy_only=False) + 0.0  # of both zeros one
+        ends = np.cumsum(dims, dtype=np.int64)
+        starts = ends - dims
+        with np.errstate(over="ignore"):
+            narrow = flat.astype(np.float32)
+            norms = np.sqrt(np.add.reduceat(flat**2, starts))
+        fits = np.logical_and.reduceat(narrow == flat, starts)
+        vectors = [(narrow if f else flat)[a:b].tobytes() for f, a, b in zip(fits.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+        digests = [blake2b(v, digest_size=16, salt=int(d).to_bytes(16, "little")).digest() for v, d in zip(vectors, dims, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(1), batch.column(0), pa.array(norms), pa.array(vectors, pa.binary())], names)
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    """Vectors, in doubles, of their bytes."""
+    items = column.to_pylist()
+    out, wide = np.empty((len(items), dim)), np.array([len(v) > 4 * dim for v in items], bool)
+    for own, kind in ((wide, np.float64), (~wide, np.float32)):
+        out[own] = np.frombuffer(b"".join([v for v, w in zip(items, own.tolist(), strict=True) if w]), kind).reshape(-1, dim)
+    return out
 
 
 def _strings(batches, plans: dict[int, Plan]):
-    """Where each query lies in each tree."""
-    for dim, table in _gathered(batches):
-        plan, n = plans[dim], table.num_rows
-        codes = codes_of(_matrix(table, dim), plan, True).ravel()
-        columns = [np.repeat(table.column("vid").to_numpy(), TREES), np.full(n * TREES, dim, np.int32), np.tile(np.arange(TREES, dtype=np.int32), n), codes, codes >> BITS * (plan.digits - plan.segment)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _ASKED.split(", ")])
-
-
-def _groups(batches, key: int):
-    """Runs of rows (as lists of batches) with equal values in the first `key` columns."""
-    now, held = None, []
+    """The strings of queries in all trees."""
     for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in range(key)]
-        n = batch.num_rows
-        if not n:
-            continue
-        new = np.zeros(n, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(new), [n]])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            name = tuple(int(c[a]) for c in columns)
-            if name != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = name
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield now, pa.Table.from_batches(held)
-
+        dims = batch.column(1).to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = batch.filter(pa.array(dims == dim))
+            codes = codes_of(_matrix(own.column(2), dim), plans[dim], True)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), own.column(2)], [c.split()[0] for c in _ASKED.split(", ")])
+    give_back()
 
-def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
+class Forest:
+    """The vectors of one block, and of each tree their order and their sorted strings."""
 
-def _interval(codes: np.ndarray, asked: np.ndarray, digits: int, level) -> tuple[np.ndarray, np.ndarray]:
-    """Where the strings that share `level` digits with the asked ones begin and end in the sorted array."""
-    low = BITS * (digits - level)
-    first = (asked >> low) << low
-    return np.searchsorted(codes, first), np.searchsorted(codes, first + (np.int64(1) << low))
+    def __init__(self, dim: int, plan: Plan, table: pa.Table):
+        self.dim, self.plan = dim, plan
+        self.x = _matrix(table.column("vector"), dim)
+        self.vids, self.least = (table.column(c).to_numpy() for c in ("vid", "least"))
+        codes = codes_of(self.x, plan, False)
+        self.orders = [np.argsort(codes[:, t], kind="stable").astype(np.int32) for t in range(TREES)]
+        self.codes = [codes[order, t] for t, order in enumerate(self.orders)]
+        self.longest = float(np.sqrt((self.x**2).sum(axis=1).max()))
 
+    def interval(self, tree: int, asked: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+        """Where the strings that share `level` digits with the asked ones begin and end in the sorted array."""
+        low = BITS * (self.plan.digits - level)
+        first = (asked.astype(np.int64) >> low) << low
+        codes = self.codes[tree]
+        last = first + (np.int64(1) << low) - 1
+        return np.searchsorted(codes, first.astype(codes.dtype)), np.searchsorted(codes, last.astype(codes.dtype), "right")
 
-def _counts(batches, plans: dict[int, Plan]):
-    """(vid, level, n): how many strings of one part share `level` digits or more with a query, from the segment's digits on."""
-    for (dim, *_), table in _groups(batches, 4):
-        plan, entry = plans[dim], table.column("codes").is_valid().combine_chunks()
-        asked = table.filter(pa.compute.invert(entry))
-        codes = np.sort(_joined(table.filter(entry), "codes", np.int64))
-        if not len(codes) or not asked.num_rows:
-            continue
-        code, vid = asked.column("code").to_numpy(), asked.column("vid").to_numpy()
-        for level in range(plan.segment, plan.digits + 1):
-            a, b = _interval(codes, code, plan.digits, level)
-            has = b > a
-            yield pa.RecordBatch.from_arrays([pa.array(vid[has]), pa.array(np.full(has.sum(), level, np.int32)), pa.array((b - a)[has])], ["vid", "level", "n"])
 
+def _asked_codes(table: pa.Table, plan: Plan) -> np.ndarray:
+    kind = np.int32 if BITS * plan.digits < 31 else np.int64
+    return np.frombuffer(b"".join(table.column("codes").to_pylist()), kind).reshape(-1, TREES)
 
-_HITS = "vid long, found long, least long, score double"
 
-
-def best_in(q: np.ndarray, x: np.ndarray, least: np.ndarray, k: int):
-    """(query, row, score) of the k best rows of x for each query, ties to the smaller `least`; scores don't depend on the others."""
-    rough = q @ x.T
-    if x.shape[0] > k:
-        cut = np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k]
-        slack = 1e-12 * (np.abs(cut) + np.sqrt((q**2).sum(axis=1) * (x**2).sum(axis=1).max()))
-        i, j = np.nonzero(rough >= (cut - slack)[:, None])
-    else:
-        i, j = (a.ravel() for a in np.indices(rough.shape))
-    score = np.concatenate([(q[i[at : at + 65536]] * x[j[at : at + 65536]]).sum(axis=1) for at in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-    order = np.lexsort((least[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    start = np.searchsorted(i, i)
-    keep = np.arange(len(i)) - start < k
-    return i[keep], j[keep], score[keep]
-
-
-def _scores(batches, plans: dict[int, Plan], k: int):
-    """The best of each query among the vectors of its interval in one part."""
-    for (dim, *_), table in _groups(batches, 5):
-        plan, entry = plans[dim], table.column("codes").is_valid().combine_chunks()
-        asked, packs = table.filter(pa.compute.invert(entry)), table.filter(entry)
-        codes = _joined(packs, "codes", np.int64)
-        if not len(codes) or not asked.num_rows:
+def _visits(batches, plans: dict[int, Plan]):
+    """(forest, queries): the forest of each unit, whose vectors come first, with about QUERIES of its queries at a time."""
+    unit, vectors, forest, held, n = None, [], None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        x = np.concatenate([np.frombuffer(v, np.float64 if w else np.float32).astype(np.float64).reshape(-1, dim) for v, w in zip(packs.column("vectors").to_pylist(), packs.column("wide").to_pylist(), strict=True)])
-        order = np.argsort(codes, kind="stable")
-        codes, x, vids, least = codes[order], x[order], _joined(packs, "vids", np.int64)[order], _joined(packs, "least", np.int64)[order]
-        code, vid, level = (asked.column(c).to_numpy() for c in ("code", "vid", "level"))
-        q = np.frombuffer(b"".join(asked.column("vectors").to_pylist()), np.float64).reshape(-1, dim)
-        a, b = _interval(codes, code, plan.digits, np.maximum(level, plan.segment).astype(np.int64))
-        a, b = np.where(level < plan.segment, 0, a), np.where(level < plan.segment, len(codes), b)
-        runs, of = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
-        of = of.ravel()
-        for r, (lo, hi) in enumerate(runs.tolist()):
-            who = np.flatnonzero(of == r)
-            for at in range(0, len(who) if hi > lo else 0, 256):
-                some = who[at : at + 256]
-                i, j, score = best_in(q[some], x[lo:hi], least[lo:hi], k)
-                yield pa.RecordBatch.from_arrays([pa.array(vid[some][i]), pa.array(vids[lo + j]), pa.array(least[lo + j]), pa.array(score)], ["vid", "found", "least", "score"])
+        keys = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(len(UNIT))], axis=1)
+        cuts = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)), [len(keys)]]).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            *own, asks = keys[a].tolist()
+            if own != unit:
+                if held and forest:
+                    yield forest, pa.Table.from_batches(held)
+                unit, vectors, forest, held, n = own, [], None, [], 0
+            if not asks:
+                vectors.append(batch.slice(a, b - a))
+                continue
+            if vectors:
+                forest, vectors = Forest(own[0], plans[own[0]], pa.Table.from_batches(vectors)), []
+            held.append(batch.slice(a, b - a))
+            n += b - a
+            if n >= QUERIES:
+                if forest:
+                    yield forest, pa.Table.from_batches(held)
+                held, n = [], 0
+    if held and forest:
+        yield forest, pa.Table.from_batches(held)
     give_back()
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(vid, dim, least, embedding, ids) of the different vectors, ids being the k + 1 smallest vec_ids and their copies, and (query_id, embedding) rows' base."""
-    pairs = saved(rows.groupBy("embedding", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n")), "vectors-by-id")
-    first = pairs.withColumn("nth", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
-    vectors = first.groupBy("embedding").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))  # k + 1 at most
-    vectors = vectors.select(F.monotonically_increasing_id().alias("vid"), F.size("embedding").alias("dim"), F.col("ids")[0]["vec_id"].alias("least"), "embedding", "ids")
-    return pairs, saved(vectors, "distinct-vectors")
-
-
-def _dealt(rows: DataFrame, by: int) -> DataFrame:
-    keys = [*GROUP, "part", "block"][:by]
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+def _counts(batches, plans: dict[int, Plan]):
+    """(vid, level, n): how many strings of a block share `level` digits with a query, in all trees."""
+    for forest, table in _visits(batches, plans):
+        vid, codes = table.column("vid").to_numpy(), _asked_codes(table, forest.plan)
+        for level in range(1, forest.plan.digits + 1):
+            n = np.zeros(len(vid), np.int64)
+            for tree in range(TREES):
+                a, b = forest.interval(tree, codes[:, tree], level)
+                n += b - a
+            has = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(vid[has]), pa.array(np.full(has.sum(), level, np.int32)), pa.array(n[has])], ["vid", "level", "n"])
+
+
+class Best:
+    """The k best vectors of a block for each of some queries, ties to the smaller `least`; scores don't depend on the others."""
+
+    def __init__(self, q: np.ndarray, forest: Forest, floor: np.ndarray, k: int):
+        self.q, self.forest, self.floor, self.k = q, forest, floor, k
+        self.slack = max(1e-12, 1e-15 * forest.dim) * np.sqrt((q**2).sum(axis=1)) * forest.longest
+        self.i, self.j, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new: list[tuple] = []
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Score pairs of queries and vectors; those under a query's floor go."""
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            score = (self.q[a] * self.forest.x[b]).sum(axis=1)
+            keep = score >= self.floor[a]
+            self.new.append((a[keep], b[keep], score[keep]))
+
+    def matrix(self, who: np.ndarray, rows: np.ndarray) -> None:
+        """Compare some queries with some vectors, all with all."""
+        for at in range(0, len(rows), 8192):
+            own = rows[at : at + 8192]
+            x = self.forest.x[own]
+            for first in range(0, len(who), 256):
+                some = who[first : first + 256]
+                rough = self.q[some] @ x.T
+                cut = self.floor[some]
+                bare = np.flatnonzero(np.isneginf(cut))
+                if len(bare) and len(own) > self.k:
+                    cut = cut.copy()
+                    cut[bare] = np.partition(rough[bare], len(own) - self.k, axis=1)[:, len(own) - self.k]
+                i, j = np.nonzero(rough >= (cut - self.slack[some])[:, None])
+                self.pairs(some[i], own[j])
+
+    def settle(self) -> None:
+        """Keep the best of what has been found, and raise floors."""
+        if not sum(len(n[0]) for n in self.new):
+            return
+        i, j, score = (np.concatenate([old, *[n[c] for n in self.new]]) for c, old in enumerate((self.i, self.j, self.score)))
+        self.new = []
+        _, once = np.unique(i * len(self.forest.vids) + j, return_index=True)
+        i, j, score = i[once], j[once], score[once]
+        order = np.lexsort((self.forest.vids[j], self.forest.least[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = nth < self.k
+        self.i, self.j, self.score = i[keep], j[keep], score[keep]
+        last = nth == self.k - 1
+        self.floor[i[last]] = np.maximum(self.floor[i[last]], score[last])
 
 
-def levels_of(asked: DataFrame, forest: DataFrame, segments: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+def _scores(batches, plans: dict[int, Plan], k: int):
+    """The best of each query among the vectors of its intervals in one block."""
+    for forest, table in _visits(batches, plans):
+        vid, level, codes = table.column("vid").to_numpy(), table.column("level").to_numpy(), _asked_codes(table, forest.plan)
+        best = Best(_matrix(table.column("vector"), forest.dim), forest, table.column("floor").to_numpy().copy(), k)
+        n = len(forest.vids)
+        short = level < Plan(n, 1.0).segment
+        best.matrix(np.flatnonzero(level == 0), np.arange(n))  # without digits, all vectors
+        best.settle()
+        below = np.flatnonzero(level > 0)
+        for tree in range(TREES):
+            order = forest.orders[tree]
+            a, b = forest.interval(tree, codes[below, tree], level[below].astype(np.int64))
+            large = (b > a) & (short[below] | (b - a > SEGMENT))
+            at = np.flatnonzero((b > a) & ~large)
+            sizes = (b - a)[at]
+            for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
+                own, size = at[some], sizes[some]
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                best.pairs(np.repeat(below[own], size), order[np.repeat(a[own], size) + within])
+            at = np.flatnonzero(large)
+            at = at[np.lexsort((b[at], a[at]))]
+            new = np.flatnonzero((np.diff(a[at]) != 0) | (np.diff(b[at]) != 0)) + 1
+            for own in np.split(at, new):
+                if len(own):
+                    best.matrix(below[own], order[a[own[0]] : b[own[0]]])
+            best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(vid[best.i]), pa.array(forest.vids[best.j]), pa.array(forest.least[best.j]), pa.array(best.score)], ["vid", "found", "least", "score"])
+
+
+def distinct_vectors(rows: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, vec_id, n) of the rows, n being copies; (vid, digest, dim, least, norm, vector, ids, asks) of the different vectors.
+
+    ids are the k + 1 smallest vec_ids and their copies; asks tells whether a query has the vector. Only the last join moves vectors.
+    """
+    keyed = rows.select("vec_id", "dim", "embedding").mapInArrow(_keyed, _KEYED)
+    pairs = saved(keyed.groupBy("digest", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n")), "vectors-by-id")
+    first = pairs.withColumn("nth", F.row_number().over(W.partitionBy("digest").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
+    lists = first.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))  # k + 1 at most
+    asks = pairs.filter(F.col("vec_id") % every == 0).groupBy("digest").agg(F.lit(True).alias("asks"))
+    lists = lists.join(asks, "digest", "left").select("digest", F.col("ids")[0]["vec_id"].alias("vec_id"), "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
+    # rows that repeat the smallest vec_id of a vector bring it more than once
+    whole = keyed.join(lists, ["digest", "vec_id"]).groupBy("digest", "vec_id").agg(*[F.first(c).alias(c) for c in ("dim", "norm", "vector", "ids", "asks")])
+    return pairs, saved(whole.select(F.monotonically_increasing_id().alias("vid"), "digest", "dim", F.col("vec_id").alias("least"), "norm", "vector", "ids", "asks"), "distinct-vectors", keep=True)
+
+
+def _planned(plans: dict[int, Plan], what: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for d, p in plans.items() for x in (d, getattr(p, what))]), F.col("dim"))
+
+
+def _dealt(vectors: DataFrame, asked: DataFrame, plans: dict[int, Plan], turn: int | None = None) -> DataFrame:
+    """The vectors of each block with the queries that visit it: of all blocks, or those of the first round or of the others."""
+    begin, end = F.lit(0) if turn != 1 else _planned(plans, "first"), _planned(plans, "first" if turn == 0 else "blocks")
+    parts = _planned(plans, "parts") if turn == 0 else F.lit(1)
+    numbers = lambda low, n: F.explode(F.sequence(low, n - 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    block = F.pmod(F.xxhash64("vid"), _planned(plans, "blocks")).cast("int")
+    own = vectors.withColumn("block", block).filter((F.col("block") >= begin) & (F.col("block") < end)).withColumn("part", numbers(F.lit(0), parts))
+    own = own.select("dim", "block", "part", F.lit(0).alias("asks"), "vid", "least", "vector", none("binary").alias("codes"), none("int").alias("level"), none("double").alias("floor"))
+    wanted = asked.filter(begin < end).withColumn("block", numbers(begin, end)).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vid"), parts).cast("int"))
+    wanted = wanted.select("dim", "block", "part", F.lit(1).alias("asks"), "vid", none("long").alias("least"), "vector", "codes", "level", "floor")
+    units = sum(p.blocks if turn is None else p.first * p.parts if turn == 0 else p.blocks - p.first for p in plans.values())
+    count = min(3 * units, max(3 * cores_of(vectors.sparkSession), units))  # so that few tasks have two units while others have none
+    return own.unionByName(wanted).repartition(count, *UNIT[:3]).sortWithinPartitions(*UNIT)
+
+
+def cores_of(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def levels_of(vectors: DataFrame, asked: DataFrame, plans: dict[int, Plan]) -> DataFrame:
     """(vid, level): the digits that candidates share with each query where its ascent ends."""
-    keys = [*GROUP, "part"]
-    entries = forest.select(*keys, "codes", F.lit(None).cast("long").alias("vid"), F.lit(None).cast("long").alias("code"))
-    visits = asked.join(segments.select(*GROUP, "parts"), GROUP).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    visits = visits.select(*keys, F.lit(None).cast("binary").alias("codes"), "vid", "code")
-    found = _dealt(entries.unionByName(visits), 4).mapInArrow(lambda batches: _counts(batches, plans), "vid long, level int, n long")
-    shallow = ascended(asked, segments, plans, least=1).select("vid", "level", "n")
-    sums = found.unionByName(shallow).groupBy("vid", "level").agg(F.sum("n").alias("n"))
-    target = F.element_at(F.create_map(*[F.lit(x) for d, p in plans.items() for x in (d, p.target)]), F.col("dim"))
-    enough = asked.filter("tree = 0").select("vid", "dim").join(sums, "vid", "left").groupBy("vid").agg(F.max(F.when(F.col("n") >= target, F.col("level"))).alias("level"))
+    rows = _dealt(vectors, asked.withColumns({"level": F.lit(None).cast("int"), "floor": F.lit(None).cast("double")}), plans)
+    sums = rows.mapInArrow(lambda batches: _counts(batches, plans), "vid long, level int, n long").groupBy("vid", "level").agg(F.sum("n").alias("n"))
+    enough = asked.select("vid", "dim").join(sums, "vid", "left").groupBy("vid").agg(F.max(F.when(F.col("n") >= _planned(plans, "target"), F.col("level"))).alias("level"))
     return enough.select("vid", F.coalesce("level", F.lit(0)).alias("level"))
 
 
-def ascended(asked: DataFrame, segments: DataFrame, plans: dict[int, Plan], least: int = 0) -> DataFrame:
-    """(vid, dim, tree, code, level, seg, n): segments below each prefix of a query that is shorter than theirs, from `least` digits on.
-
-    `asked` may have the column level; then only that length counts.
-    """
-    depth = F.element_at(F.create_map(*[F.lit(x) for d, p in plans.items() for x in (d, p.segment)]), F.col("dim"))
-    own = F.call_function("shiftright", F.col("seg"), (BITS * (depth - F.col("level"))).cast("int"))
-    lengths = lambda rows: rows.withColumn("level", F.explode(F.sequence(F.lit(least), depth - 1))) if max(p.segment for p in plans.values()) > least else rows.withColumn("level", F.lit(0)).filter("false")
-    below = lengths(segments.select(*GROUP, "n").filter(depth > least)).withColumn("prefix", own).select("dim", "tree", "level", "prefix", F.col("seg").alias("below"), "n")
-    from_ = asked if "level" in asked.columns else lengths(asked.filter(depth > least))
-    from_ = from_.withColumn("prefix", own).drop("seg")
-    return from_.join(below, ["dim", "tree", "level", "prefix"]).withColumnRenamed("below", "seg").drop("prefix")
-
-
 def neighbours(spark: SparkSession, embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score; queries are the rows whose vec_id is divisible by `every`."""
-    rows = usable(embeddings).filter(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
+    rows = usable(embeddings).filter(F.exists("embedding", lambda x: x != 0))
     with step(spark):
-        pairs, vectors = distinct_vectors(rows, k)
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
-        plans = {r["dim"]: Plan(r["n"], r["norm"]) for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm")).collect()}  # one for each length
-        queries = saved(pairs.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").join(vectors.select("vid", "embedding"), "embedding").select("query_id", "vid"), "queries")
+        with step(spark):  # shuffles of a pass go when it ends
+            pairs, vectors = distinct_vectors(rows, k, every)
+            queries = saved(pairs.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "digest").join(vectors.select("vid", "digest"), "digest").select("query_id", "vid"), "queries", keep=True)
+        plans = {r["dim"]: Plan(r["n"], r["norm"], r["dim"], cores_of(spark)) for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).collect()}  # one for each length
         if not plans:
             return saved(queries.select("query_id", F.lit(1).alias("rank"), F.col("vid").alias("vec_id"), F.lit(0.0).alias("score")), "neighbours", keep=True)
-        data = vectors.select("vid", "dim", "least", "embedding")
-        forest = mapped(data, lambda batches: _packs(batches, plans), _PACKED, "prefix-forest")
-        segments = forest.groupBy(*GROUP).agg(F.sum("n").alias("n"))
-        segments = saved(segments.withColumn("parts", F.ceil(F.col("n") / SEGMENT).cast("int")), "segments")
-        asking = saved(data.join(queries.select("vid").distinct(), "vid", "left_semi"), "asking")
-        asked = mapped(asking, lambda batches: _strings(batches, plans), _ASKED, "asked")
-        part = F.pmod(F.xxhash64("vids"), F.col("parts")).cast("int").alias("part")
-        parted = forest.join(segments.select(*GROUP, "parts"), GROUP)
-        levels = saved(levels_of(asked, parted.withColumn("part", part), segments, plans), "levels")
-        # the second pass: the chosen intervals; without digits, the whole of the first tree
-        chosen = asked.join(levels, "vid").filter("level > 0 OR tree = 0")
-        depth = F.element_at(F.create_map(*[F.lit(x) for d, p in plans.items() for x in (d, p.segment)]), F.col("dim"))
-        columns = ["vid", *GROUP, "code", "level"]
-        visits = saved(chosen.filter(F.col("level") >= depth).select(*columns).unionByName(ascended(chosen.filter(F.col("level") < depth), segments, plans).select(*columns)), "visits")
-        read = visits.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks")).join(segments.select(*GROUP, "parts"), GROUP)
-        read = saved(read, "read-segments")
-        numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        none = lambda kind: F.lit(None).cast(kind)
-        entries = forest.join(read, GROUP).withColumn("block", numbers("blocks")).select(*GROUP, part, "block", "codes", "vids", "least", "vectors", "wide", none("long").alias("vid"), none("long").alias("code"), none("int").alias("level"))
-        own = asking.select("vid", vector_bytes("embedding").alias("vectors"))
-        wanted = visits.join(own, "vid").join(read, GROUP).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).withColumn("part", numbers("parts"))
-        wanted = wanted.select(*GROUP, "part", "block", none("binary").alias("codes"), none("binary").alias("vids"), none("binary").alias("least"), "vectors", none("boolean").alias("wide"), "vid", "code", "level")
-        hits = mapped(_dealt(entries.unionByName(wanted), 5), lambda batches: _scores(batches, plans, k + 1), _HITS, "hits")
-        best = hits.distinct().withColumn("nth", F.row_number().over(W.partitionBy("vid").orderBy(F.col("score").desc(), "least", "found"))).filter(F.col("nth") <= k + 1)
+        data = vectors.select("vid", "dim", "least", "vector")
+        asked = mapped(vectors.filter("asks").select("vid", "dim", "vector"), lambda batches: _strings(batches, plans), _ASKED, "asked")
+        with step(spark):
+            levels = saved(levels_of(data, asked, plans), "levels", keep=True)
+        visits = saved(asked.join(levels, "vid").withColumn("floor", F.lit(float("-inf"))), "visits")
+        order = W.partitionBy("vid").orderBy(F.col("score").desc(), "least", "found")
+        best = None
+        for turn in (0, 1) if any(p.first < p.blocks for p in plans.values()) else (0,):
+            with step(spark):
+                if best is not None:
+                    floors = best.groupBy("vid").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least_score"))
+                    visits = visits.join(floors, "vid", "left").withColumn("floor", F.coalesce("least_score", "floor")).drop("least_score")
+                hits = _dealt(data, visits, plans, turn).mapInArrow(lambda batches: _scores(batches, plans, k + 1), _HITS)
+                hits = hits if best is None else hits.unionByName(best)
+                best = saved(hits.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).drop("nth"), "best", keep=True)
         lists = best.select("vid", "found", "score").join(vectors.select(F.col("vid").alias("found"), "ids"), "found")
         lists = saved(lists.select("vid", "score", F.explode("ids").alias("id")).select("vid", "score", F.col("id.vec_id").alias("vec_id"), F.col("id.n").alias("n")), "listed")
-        found = queries.join(lists, "vid").filter("query_id <> vec_id").withColumn("copy", numbers("n"))
+        found = queries.join(lists, "vid").filter("query_id <> vec_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         rank = F.row_number().over(W.partitionBy("query_id", "vid").orderBy(F.col("score").desc(), "vec_id"))
         return saved(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours", keep=True)
-
-
-@F.pandas_udf(BinaryType())
-def vector_bytes(vectors: pd.Series) -> pd.Series:
-    """Vectors as their components in 8 bytes each."""
-    return vectors.map(lambda v: np.asarray(v, np.float64).tobytes())
