@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import repository, shred
+from ..sources import repository
 from .catalogue import QUERIES, SQL
 
 #: A dataflow for each nation: two SQL transforms with a target each, a query that joins, filters, groups and orders, a union,
@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.records(shred.shred(documents(spark, sf_dir)))
+    return repository.records(repository.elements(documents(spark, sf_dir)))
 
 
 def _register(name: str, kinds: tuple[str, ...], columns: tuple[str, ...], rows: list[tuple]) -> None:
